@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, near_dup, pii, quality, token_files
+from . import langid, licenses, near_dup, pii, quality, substring_dedup, token_files
 from .shared import held_out, new_path
 
 
@@ -39,6 +39,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
+    "op7_passages": op7_passages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pii": op10_pii,
 }
