@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, near_dup, pii, quality, substring_dedup, token_files
+from . import decontamination, langid, licenses, near_dup, pii, quality, substring_dedup, token_files
 from .shared import held_out, new_path
 
 
@@ -43,6 +43,10 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -57,8 +61,26 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_passages": op7_passages,
+    "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": r"""
+        WITH dw AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
+        iw AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM benchmark),
+        ds AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+        it AS (
+            SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+        n AS (SELECT item_id, count(*) AS n_item FROM it GROUP BY item_id),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN it USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+        FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+    """,
+}
