@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, near_dup, pii, quality, substring_dedup, token_files, topk
+from . import decontamination, langid, licenses, near_dup, pii, quality, segmentation, substring_dedup, token_files, topk
 from .shared import held_out, new_path
 
 
@@ -19,6 +19,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.samples(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,6 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_segmentations": op2_segmentations,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
