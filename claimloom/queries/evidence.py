@@ -208,13 +208,13 @@ SKIPPED = [
 
 @query(rf"""WITH v(id, text) AS (VALUES {', '.join(f'({i}, {quoted(t)})' for i, t in enumerate(SKIPPED))}), a AS (SELECT id, text FROM v UNION ALL SELECT 1000 + conv_id * 100 + turn, text FROM conversations),
     t AS (SELECT id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM a),
-    c AS (SELECT id, t, length(t) - length(replace(t, '"', '')) AS q, length(replace(t, '“', '')) <> length(replace(t, '”', '')) OR length(replace(t, '‘', '')) <> length(replace(t, '’', '')) AS u FROM t)
+    c AS (SELECT id, t, regexp_replace(t, '[\x{{C0}}-\x{{24F}}]', 'z', 'g') AS b, length(t) - length(replace(t, '"', '')) AS q, length(replace(t, '“', '')) <> length(replace(t, '”', '')) OR length(replace(t, '‘', '')) <> length(replace(t, '’', '')) AS u FROM t)
     SELECT CAST(id AS BIGINT) AS id, CASE WHEN t = '' THEN 'empty_claim' WHEN regexp_matches(t, '{_pattern('LOW_VALUE')}') THEN 'low_value_rhetorical_or_connective' WHEN regexp_matches(t, '{_pattern('FRAGMENT')}') THEN 'malformed_fragment'
-        WHEN regexp_matches(t, '{_pattern('TRAILING_ABBREVIATION')}') THEN 'malformed_trailing_abbreviation' WHEN regexp_matches(t, '(?:[,:;]|,[.])$') THEN 'malformed_trailing_punctuation'
-        WHEN regexp_matches(t, '{_pattern('SINGLE_INITIAL')}') AND NOT regexp_matches(t, '{_pattern('INITIALS')}') THEN 'malformed_trailing_initial' WHEN regexp_matches(t, '{_pattern('DANGLING')}') THEN 'malformed_dangling_clause'
+        WHEN regexp_matches(b, '{_pattern('TRAILING_ABBREVIATION')}') THEN 'malformed_trailing_abbreviation' WHEN regexp_matches(t, '(?:[,:;]|,[.])$') THEN 'malformed_trailing_punctuation'
+        WHEN regexp_matches(b, '{_pattern('SINGLE_INITIAL')}') AND NOT regexp_matches(b, '{_pattern('INITIALS')}') THEN 'malformed_trailing_initial' WHEN regexp_matches(b, '{_pattern('DANGLING')}') THEN 'malformed_dangling_clause'
         WHEN q % 2 = 1 OR u THEN 'malformed_unbalanced_quote' WHEN len(regexp_extract_all(t, '[A-Za-z][A-Za-z''-]*')) < 4 THEN 'too_short' WHEN regexp_matches(t, '^[,.;:"'']') THEN 'malformed_leading_punctuation'
-        WHEN regexp_matches(t, '^[a-z]') THEN 'malformed_lowercase_start' WHEN starts_with(lower(t), 'supported by allowed answer facts') THEN 'low_value_rhetorical_or_connective'
-        WHEN NOT regexp_matches(regexp_replace(t, '[\x{{C0}}-\x{{24F}}]', 'z', 'g'), '{_pattern('FINITE_VERB')}') THEN 'no_finite_verb' END AS reason FROM c""")
+        WHEN regexp_matches(t, '^\p{{Ll}}') THEN 'malformed_lowercase_start' WHEN starts_with(lower(t), 'supported by allowed answer facts') THEN 'low_value_rhetorical_or_connective'
+        WHEN NOT regexp_matches(b, '{_pattern('FINITE_VERB')}') THEN 'no_finite_verb' END AS reason FROM c""")
 def claim_skip_reasons(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     rows = spark.createDataFrame(list(enumerate(SKIPPED)), "id long, text string").unionByName(talk)
