@@ -1 +1 @@
-"""Part of claimloom: plans."""
+"""Plans: operators put together for whole batches of questions."""
