@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import answering, evidence, ingestion, planned, prompting, searching, store, verification  # noqa: E402, F401
+from . import answering, evidence, guarding, ingestion, planned, prompting, searching, store, verification  # noqa: E402, F401
