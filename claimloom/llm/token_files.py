@@ -36,7 +36,7 @@ BLOCK_IDS = 4_000_000
 _HEAD = struct.Struct("<4sBBIQ")
 _MAGIC = b"EFT1"
 #: Entries of the memo of spellings to ids that a worker keeps.
-MEMO = 600_000
+MEMO = 1_500_000
 
 
 class EliasFano:
@@ -95,10 +95,32 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, EliasFano]:
     return np.frombuffer(block, "<u2" if width == 2 else "<u4", total, ids_at), EliasFano(bits, n, low, block[at:ids_at])
 
 
+#: Marks that never share a token of the pre-tokenizer with a letter before them.
+_MARKS = ".,;:!?|&*#$%()[]"
+#: Letters on which all versions of the character tables agree.
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: White space beside a space: such texts are cut with care.
 _WIDE = re.compile(r" \s|\s |^ | $")
 
 
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ids[start[w] : start[w] + size[w]] of all w in which, back to back."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return ids[np.repeat(start[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)]
+
+
+class _Numbers(dict):
+    """Numbers spellings in the order they are first asked for."""
+
+    def __init__(self, take):
+        self._take = take
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = self._take(key)
+        return number
+
+
 class Encoder:
     """Text to ids with a byte-level tokenizer of the tokenizers library.
 
@@ -122,11 +144,20 @@ class Encoder:
 
     def _forget(self) -> None:
         #: Piece number by spelling: of pieces as they are, and of those after a space.
-        self._bare: dict[str, int] = {}
-        self._led: dict[str, int] = {}
+        self._bare, self._led = _Numbers(self._take_bare), _Numbers(self._take_led)
+        self._new: list[str] = []
+        self._known = 0
         self._start, self._length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
+    def _take_bare(self, piece: str) -> int:
+        self._new.append(piece)
+        return self._known + len(self._new) - 1
+
+    def _take_led(self, piece: str) -> int:
+        self._new.append(f" {piece}")
+        return self._known + len(self._new) - 1
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The pieces of any text; all but the first start with a space."""
@@ -141,63 +172,83 @@ class Encoder:
             blank = not part or part[-1].isspace()
         return out
 
-    def _spell(self, pieces: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(pieces)
+    def _spell(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in some order, and where each piece's ids start and how many they are."""
         plain = [i for i, p in enumerate(pieces) if p and "\n" not in p]
+        odd = [i for i, p in enumerate(pieces) if not p or "\n" in p]
+        order, sizes, ids = [], [], []
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
             # a line feed between the pieces is a token of its own there
-            ids = np.asarray(self._tokenizer.encode_batch_fast(["\n".join(["", *(pieces[i] for i in part), ""])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self._feed)
+            got = np.asarray(self._tokenizer.encode_batch_fast(["\n".join(["", *(pieces[i] for i in part), ""])], add_special_tokens=False)[0].ids, np.uint32)
+            feeds = got == self._feed
+            cuts = np.flatnonzero(feeds)
             if len(cuts) == len(part) + 1:
-                for k, i in enumerate(part):
-                    out[i] = ids[cuts[k] + 1 : cuts[k + 1]]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(rest), 2000):
-            part = rest[at : at + 2000]
-            for i, got in zip(part, self._tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = np.asarray(got.ids, np.uint32)
-        return out
-
-    def _learn(self, bare: set[str], led: set[str]) -> None:
-        new_bare, new_led = [p for p in bare if p not in self._bare], [p for p in led if p not in self._led]
-        if len(self._start) + len(new_bare) + len(new_led) > MEMO and len(self._start):
-            self._forget()
-            new_bare, new_led = list(bare), list(led)
-        if not new_bare and not new_led:
+                order += part
+                sizes.append(np.diff(cuts) - 1)
+                ids.append(got[~feeds])
+            else:
+                odd += part
+        for at in range(0, len(odd), 2000):
+            part = odd[at : at + 2000]
+            got = [x.ids for x in self._tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)]
+            order += part
+            sizes.append(np.array([len(x) for x in got], np.int64))
+            ids.append(np.array([y for x in got for y in x], np.uint32))
+        in_order = np.concatenate(sizes)
+        start, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        start[order], size[order] = np.cumsum(in_order) - in_order, in_order
+        return np.concatenate(ids), start, size
+
+    def _learn(self) -> None:
+        """Spell out the pieces that were asked for since the last call.
+
+        Letters followed by marks are two tokens of the pre-tokenizer, so most
+        pieces with punctuation need no encoding of their own.
+        """
+        new, self._new = self._new, []
+        if not new:
             return
-        ids = self._spell([*new_bare, *(f" {p}" for p in new_led)])
-        at = len(self._start)
-        self._bare.update(zip(new_bare, range(at, at + len(new_bare)), strict=True))
-        self._led.update(zip(new_led, range(at + len(new_bare), at + len(ids)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts: dict[str, int] = {}
+        number = parts.setdefault
+        head, tail = [], []
+        for piece in new:
+            core = piece.rstrip(_MARKS)
+            if len(core) < len(piece) and _LETTERS.fullmatch(core):
+                head.append(number(core, len(parts)))
+                tail.append(number(piece[len(core) :], len(parts)))
+            else:
+                head.append(number(piece, len(parts)))
+                tail.append(-1)
+        ids, start, size = self._spell(list(parts))
+        both = np.stack([np.array(head), np.array(tail)], 1)
+        lengths = size[both[:, 0]] + np.where(both[:, 1] >= 0, size[both[:, 1]], 0)
         self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(lengths) - lengths])
         self._length = np.concatenate([self._length, lengths])
-        self._ids = np.concatenate([self._ids, *ids])
+        self._ids = np.concatenate([self._ids, _gather(ids, start, size, both[both >= 0])])
+        self._known += len(new)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts back to back, and the number of ids of each text."""
-        bare_of, led_of = [], []
-        for text in texts:
+        if self._known > MEMO:
+            self._forget()
+        bare, led = self._bare.__getitem__, self._led.__getitem__
+        numbers: list[int] = []
+        sizes = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
             if _WIDE.search(text):
-                bare, *led = self.pieces(text)
-                led = [p[1:] for p in led]
+                first, *rest = self.pieces(text)
+                rest = [p[1:] for p in rest]
             else:
-                bare, *led = text.split(" ")
-            bare_of.append(bare)
-            led_of.append(led)
-        self._learn(set(bare_of), set().union(*led_of))
-        known_bare, known_led = self._bare.__getitem__, self._led.__getitem__
-        sizes = np.fromiter((len(x) + 1 for x in led_of), np.int64, len(texts))
+                first, *rest = text.split(" ")
+            sizes[i] = len(rest) + 1
+            numbers.append(bare(first))
+            numbers.extend(map(led, rest))
+        self._learn()
         at = np.cumsum(sizes) - sizes
-        piece = np.empty(int(sizes.sum()), np.int64)
-        piece[at] = list(map(known_bare, bare_of))
-        for a, led in zip(at, led_of, strict=True):
-            piece[a + 1 : a + 1 + len(led)] = list(map(known_led, led))
-        lengths = self._length[piece]
-        ends = np.cumsum(lengths)
-        ids = self._ids[np.repeat(self._start[piece] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        return ids, np.add.reduceat(lengths, at) if len(texts) else np.zeros(0, np.int64)
+        piece = np.array(numbers, np.int64)
+        ids = _gather(self._ids, self._start, self._length, piece)
+        return ids, np.add.reduceat(self._length[piece], at) if len(texts) else np.zeros(0, np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
