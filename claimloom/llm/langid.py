@@ -155,11 +155,11 @@ def fit(labelled: DataFrame) -> Model:
     return Model(langs, bits, prior - np.log(sum(n for _, n in per_lang)), np.log(counts / counts.sum(0)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``score`` (added, or replaced)."""
+def predict(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its posterior, in columns of these names (added, or replaced)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.langs, model.bits, model.log_prior, model.log_like))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     where = keep.index("text")
 
@@ -169,8 +169,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [m.predict(t) for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, *names],
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
