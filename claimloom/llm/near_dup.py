@@ -6,13 +6,18 @@ their low ``BITS`` bits, packed, estimate the similarity of a candidate pair by
 bit counts, corrected for chance collisions. Candidates whose estimate is not
 far below the threshold are confirmed on the full sets.
 
-A bucket never yields all of its pairs. First each member meets the least
-member of its bucket; confirmed links give components. Only buckets that still
-hold several components are searched on, in blocks of bounded size, and only
-pairs across components that pass the estimate are confirmed. Every pair that
-shares a band is thus linked, already connected, or refused by the estimate
-(six standard deviations below the threshold) or by the full sets. A pair at
-similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS = 4e-8.
+A bucket never yields all of its pairs. In each of ``ROUNDS`` rounds a document
+meets one other at most: of the buckets that still hold several components, each
+names the member that is least in the order of the round, and of these a
+document takes the least. Confirmed links give components. Buckets that still
+hold several components after that are searched on in blocks of bounded size:
+what leaves a block is not pairs but which component a document may join,
+oriented from the smaller component to the larger. Then each such document meets
+the members of that component, again in blocks, until the full sets confirm one
+link. Every pair that shares a band is thus linked, already connected, or
+refused by the estimate (six standard deviations below the threshold) or by the
+full sets. A pair at similarity 0.8 shares no band with probability
+(1 - 0.8**ROWS)**BANDS = 4e-8.
 
 Defined cases: a text with fewer words than a shingle is one shingle, its whole
 sequence; a null or empty text has the empty set and is linked with nothing;
@@ -37,6 +42,8 @@ from .wordhash import Rolling, Words, by_bytes, mix, seeded, split_words
 
 ROWS, BANDS, BITS = 6, 56, 4
 HASHES = ROWS * BANDS
+#: Rounds in which a document meets one hub before buckets are searched in full.
+ROUNDS = 2
 #: Bucket members compared with each other in one task at most.
 BLOCK = 1024
 
@@ -110,7 +117,7 @@ def _signatures(size: int):
         for whole in batches:
             for batch in by_bytes(whole, "text", 2_000_000):
                 counts, nodes, signs, bands = [], [], [], []
-                for s in shingle_sets(split_words(batch.column(1), lower=True), size):
+                for s in shingle_sets(split_words(batch.column(2), lower=True), size):
                     counts.append(len(s))
                     if not len(s):
                         nodes.append(None)
@@ -123,8 +130,8 @@ def _signatures(size: int):
                     with np.errstate(over="ignore"):
                         bands.append(mix((m.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(1, dtype=np.uint64) + _BAND_NO).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "sign", "bands"],
+                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "mark", "n_shingles", "node", "sign", "bands"],
                 )
 
     return run
@@ -177,15 +184,15 @@ def _estimates(least: float):
     return run
 
 
-def _across(least: float, percent: int):
-    """Pairs of different components in one block pair of a bucket."""
+def _touches(least: float, percent: int):
+    """From one block pair of a bucket: (document, component) where an estimate passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out = [np.zeros((0, 2), np.int64)]
             for members in batch.column(0):
                 m = members.values
-                node, root, size, side = (m.field(f).to_numpy() for f in ("node", "root", "n", "side"))
+                node, root, of_root, size, side = (m.field(f).to_numpy() for f in ("node", "root", "of_root", "n", "side"))
                 sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint64).reshape(len(m), -1)
                 left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
                 for at in range(0, len(left), 64):
@@ -193,27 +200,61 @@ def _across(least: float, percent: int):
                     good = root[row][:, None] != root[right][None]
                     good &= 100 * np.minimum(size[row][:, None], size[right]) >= percent * np.maximum(size[row][:, None], size[right])
                     x, y = np.nonzero(good)
-                    close = estimate(sign[row[x]], sign[right[y]]) >= least
-                    x, y = node[row[x[close]]], node[right[y[close]]]
-                    out_a.append(np.minimum(x, y))
-                    out_b.append(np.maximum(x, y))
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+                    x, y = row[x], right[y]
+                    close = estimate(sign[x], sign[y]) >= least
+                    x, y = x[close], y[close]
+                    small = (of_root[x] < of_root[y]) | ((of_root[x] == of_root[y]) & (root[x] < root[y]))
+                    out.append(np.unique(np.stack([node[np.where(small, x, y)], root[np.where(small, y, x)]], 1), axis=0))
+            got = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, i])) for i in (0, 1)], names=["node", "root"])
+
+    return run
+
+
+def _settle(size: int, percent: int, least: float):
+    """One link at most from each document of a block to a block of a component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            links = []
+            for members in batch.column(0):
+                m = members.values
+                node, n, asks = (m.field(f).to_numpy(zero_copy_only=False) for f in ("node", "n", "asks"))
+                sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint64).reshape(len(m), -1)
+                packed = m.field("packed")
+                known: dict[int, np.ndarray] = {}
+
+                def shingles(i: int) -> np.ndarray:
+                    if i not in known:
+                        known[i] = shingle_sets(split_words(pa.array([unpress(packed[i].as_py())]).cast(pa.string()), lower=True), size)[0]
+                    return known[i]
+
+                there = np.flatnonzero(~asks)
+                for x in np.flatnonzero(asks).tolist():
+                    near = estimate(sign[x][None], sign[there])
+                    ok = (near >= least) & (100 * np.minimum(n[x], n[there]) >= percent * np.maximum(n[x], n[there]))
+                    order = np.flatnonzero(ok)
+                    for y in there[order[np.argsort(-near[order], kind="stable")]].tolist():
+                        if similar(shingles(x), shingles(y), percent):
+                            links.append((int(node[x]), int(node[y])))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def groups(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    """One row for each row of (doc_id, text): doc_id, mark (hash of the text), n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(_signatures(size), f"doc_id {id_type}, n_shingles long, node long, sign binary, bands array<long>"), "signatures")
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_signatures(size), f"doc_id {id_type}, mark long, n_shingles long, node long, sign binary, bands array<long>"), "signatures")
     least = least_estimate(percent / 100)
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = rows.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
-    shared = materialize(members.join(buckets, "bucket").select("bucket", "node", "hub").distinct(), "buckets")
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    shared = materialize(members.join(buckets, "bucket").select("bucket", "node").distinct(), "buckets")
 
     signs = rows.where("node is not null").groupBy("node").agg(F.min("sign").alias("sign"), F.first("n_shingles").alias("n"))
     involved = shared.select("node").distinct()
@@ -230,39 +271,64 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
         return materialize(both.mapInArrow(_confirm(size, percent), "a long, b long"), "links")
 
-    star = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    a = known.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"), F.col("n").alias("n_a"))
-    b = known.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"), F.col("n").alias("n_b"))
-    near = (
-        star.join(a, "a")
-        .join(b, "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .select("a", "b", "sign_a", "sign_b")
-        .mapInArrow(_estimates(least), "a long, b long")
-    )
-    links = confirmed(near)
-    roots = components(links)
+    def near(pairs: DataFrame) -> DataFrame:
+        a = known.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"), F.col("n").alias("n_a"))
+        b = known.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"), F.col("n").alias("n_b"))
+        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return sized.select("a", "b", "sign_a", "sign_b").mapInArrow(_estimates(least), "a long, b long")
+
+    links, placed = None, shared.withColumn("root", F.col("node"))
+    for no in range(ROUNDS):
+        hubs = (
+            placed.groupBy("bucket")
+            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(no)).alias("at"), "node", "root")).alias("hub"))
+            .where("lo < hi")
+            .select("bucket", "hub")
+        )
+        met = placed.join(hubs, "bucket").where("root <> hub.root").groupBy("node").agg(F.min("hub").alias("hub"))
+        got = confirmed(near(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))))
+        links = got if links is None else links.unionByName(got)
+        roots = components(links)
+        placed = materialize(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
 
-    placed = materialize(shared.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("n_blocks"))
-    cross = (
+    nodes = placed.select("node", "root").distinct()
+    counts = nodes.groupBy("root").agg(F.count("*").alias("of_root"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    touches = (
         placed.join(mixed, "bucket")
+        .join(counts, "root")
         .join(known, "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+        .withColumn("block", block("n_blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             "bucket",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
-            F.struct("node", "root", "n", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "sign").alias("m"),
+            F.struct("node", "root", "of_root", "n", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "sign").alias("m"),
         )
         .groupBy("bucket", "i", "j")
         .agg(F.collect_list("m").alias("members"))  # two blocks of a bucket
         .select("members")
-        .mapInArrow(_across(least, percent), "a long, b long")
+        .mapInArrow(_touches(least, percent), "node long, root long")
         .distinct()
     )
-    more = confirmed(cross)
+    touches = materialize(touches, "touches")
+    asking = touches.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x_blocks")).join(counts, "root").select("root", "x_blocks", F.ceil(F.col("of_root") / BLOCK).cast("int").alias("y_blocks"))
+    full = known.join(texts, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = touches.join(asking, "root").join(full, "node").withColumns({"asks": F.lit(True), "x": block("x_blocks")}).withColumn("y", spread("y_blocks"))
+    y = nodes.join(asking, "root").join(full, "node").withColumns({"asks": F.lit(False), "y": block("y_blocks")}).withColumn("x", spread("x_blocks"))
+    columns = ["root", "x", "y", F.struct("asks", "node", "n", "sign", "packed").alias("m")]
+    more = (
+        x.select(*columns)
+        .unionByName(y.select(*columns))
+        .groupBy("root", "x", "y")
+        .agg(F.collect_list("m").alias("members"))  # a block of askers and one of the component
+        .select("members")
+        .mapInArrow(_settle(size, percent, least), "a long, b long")
+    )
+    more = materialize(more, "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
@@ -270,8 +336,8 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     least_id = by_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = by_root.select("node", "root").join(least_id, "root").select("node", "component_id")
     return (
-        rows.select("doc_id", "n_shingles", "node")
+        rows.select("doc_id", "mark", "n_shingles", "node")
         .join(of_node, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "mark", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

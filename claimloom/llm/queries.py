@@ -57,7 +57,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.groups(_table(spark, sf_dir, "documents"), size=2, percent=80)
+    return near_dup.groups(_table(spark, sf_dir, "documents"), size=2, percent=80).drop("mark")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
