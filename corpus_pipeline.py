@@ -17,15 +17,16 @@ from claimloom.llm.shared import materialize
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told; the others have no letter."""
-    columns = docs.columns
     model = langid.fit(docs.select("lang", "text"))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*columns)
+    told = langid.predict(docs, model, names=("predicted language", "its posterior"))
+    return told.where(F.col("predicted language") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the least id."""
-    gone = near_dup.groups(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = near_dup.groups(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id", "mark").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.mark"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
