@@ -11,10 +11,11 @@ meets one other at most: of the buckets that still hold several components, each
 names the member that is least in the order of the round, and of these a
 document takes the least. Confirmed links give components. Buckets that still
 hold several components after that are searched on in blocks of bounded size:
-what leaves a block is not pairs but which component a document may join,
-oriented from the smaller component to the larger. Then each such document meets
-the members of that component, again in blocks, until the full sets confirm one
-link. Every pair that shares a band is thus linked, already connected, or
+what leaves a block is not pairs but a spanning forest of those the estimate
+lets pass, so at most a row for each member. Documents that these forests join
+are a cluster; in each cluster, again in blocks, documents of different
+components are compared on their full sets unless links of the block have joined
+them before, and a forest of links comes out. Every pair that shares a band is thus linked, already connected, or
 refused by the estimate (six standard deviations below the threshold) or by the
 full sets. A pair at similarity 0.8 shares no band with probability
 (1 - 0.8**ROWS)**BANDS = 4e-8.
@@ -184,35 +185,62 @@ def _estimates(least: float):
     return run
 
 
-def _touches(least: float, percent: int):
-    """From one block pair of a bucket: (document, component) where an estimate passes."""
+class _Forest:
+    """Union-find over small numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _block(m, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, estimates) of pairs of one block pair that belong to different components."""
+    root, size, side = (m.field(f).to_numpy() for f in ("root", "n", "side"))
+    sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint64).reshape(len(m), -1)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for at in range(0, len(left), 64):
+        row = left[at : at + 64]
+        good = root[row][:, None] != root[right][None]
+        good &= 100 * np.minimum(size[row][:, None], size[right]) >= percent * np.maximum(size[row][:, None], size[right])
+        x, y = np.nonzero(good)
+        x, y = row[x], right[y]
+        near = estimate(sign[x], sign[y])
+        close = near >= least
+        yield x[close], y[close], near[close]
+
+
+def _numbered(m) -> tuple[np.ndarray, list[int], _Forest]:
+    """Nodes of a block, their components as small numbers, and a forest over those."""
+    _, number = np.unique(m.field("root").to_numpy(), return_inverse=True)
+    return m.field("node").to_numpy(), number.tolist(), _Forest(int(number.max(initial=-1)) + 1)
+
+
+def _weak(least: float, percent: int):
+    """A spanning forest over the components of a block pair, by estimates alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros((0, 2), np.int64)]
+            links = []
             for members in batch.column(0):
-                m = members.values
-                node, root, of_root, size, side = (m.field(f).to_numpy() for f in ("node", "root", "of_root", "n", "side"))
-                sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint64).reshape(len(m), -1)
-                left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-                for at in range(0, len(left), 64):
-                    row = left[at : at + 64]
-                    good = root[row][:, None] != root[right][None]
-                    good &= 100 * np.minimum(size[row][:, None], size[right]) >= percent * np.maximum(size[row][:, None], size[right])
-                    x, y = np.nonzero(good)
-                    x, y = row[x], right[y]
-                    close = estimate(sign[x], sign[y]) >= least
-                    x, y = x[close], y[close]
-                    small = (of_root[x] < of_root[y]) | ((of_root[x] == of_root[y]) & (root[x] < root[y]))
-                    out.append(np.unique(np.stack([node[np.where(small, x, y)], root[np.where(small, y, x)]], 1), axis=0))
-            got = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, i])) for i in (0, 1)], names=["node", "root"])
+                node, of, forest = _numbered(members.values)
+                for x, y, _ in _block(members.values, least, percent):
+                    links += [(int(node[i]), int(node[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True) if forest.join(of[i], of[j])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _settle(size: int, percent: int, least: float):
-    """One link at most from each document of a block to a block of a component."""
+    """A forest of confirmed links over the components of a block pair of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
@@ -220,8 +248,7 @@ def _settle(size: int, percent: int, least: float):
             links = []
             for members in batch.column(0):
                 m = members.values
-                node, n, asks = (m.field(f).to_numpy(zero_copy_only=False) for f in ("node", "n", "asks"))
-                sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint64).reshape(len(m), -1)
+                node, of, forest = _numbered(m)
                 packed = m.field("packed")
                 known: dict[int, np.ndarray] = {}
 
@@ -230,15 +257,12 @@ def _settle(size: int, percent: int, least: float):
                         known[i] = shingle_sets(split_words(pa.array([unpress(packed[i].as_py())]).cast(pa.string()), lower=True), size)[0]
                     return known[i]
 
-                there = np.flatnonzero(~asks)
-                for x in np.flatnonzero(asks).tolist():
-                    near = estimate(sign[x][None], sign[there])
-                    ok = (near >= least) & (100 * np.minimum(n[x], n[there]) >= percent * np.maximum(n[x], n[there]))
-                    order = np.flatnonzero(ok)
-                    for y in there[order[np.argsort(-near[order], kind="stable")]].tolist():
-                        if similar(shingles(x), shingles(y), percent):
-                            links.append((int(node[x]), int(node[y])))
-                            break
+                for x, y, near in _block(m, least, percent):
+                    order = np.argsort(-near, kind="stable")
+                    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                        if forest.find(of[i]) != forest.find(of[j]) and similar(shingles(i), shingles(j), percent):
+                            forest.join(of[i], of[j])
+                            links.append((int(node[i]), int(node[j])))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -292,42 +316,24 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
         placed = materialize(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
 
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("n_blocks"))
+    def in_blocks(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+        """Rows (group, n_blocks, ..) dealt to all pairs of blocks of their group: (members)."""
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+        pairs = dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n", side.alias("side"), "sign", *columns).alias("m"))
+        return pairs.groupBy(group, "i", "j").agg(F.collect_list("m").alias("members")).select("members")  # two blocks
+
+    weak = in_blocks(placed.join(mixed, "bucket").join(known, "node"), "bucket").mapInArrow(_weak(least, percent), "a long, b long").distinct()
+    clusters = components(weak).withColumnRenamed("root", "cluster")
+    # a component that a cluster touches takes part as a whole
     nodes = placed.select("node", "root").distinct()
-    counts = nodes.groupBy("root").agg(F.count("*").alias("of_root"))
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    touches = (
-        placed.join(mixed, "bucket")
-        .join(counts, "root")
-        .join(known, "node")
-        .withColumn("block", block("n_blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            "bucket",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            F.struct("node", "root", "of_root", "n", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "sign").alias("m"),
-        )
-        .groupBy("bucket", "i", "j")
-        .agg(F.collect_list("m").alias("members"))  # two blocks of a bucket
-        .select("members")
-        .mapInArrow(_touches(least, percent), "node long, root long")
-        .distinct()
-    )
-    touches = materialize(touches, "touches")
-    asking = touches.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x_blocks")).join(counts, "root").select("root", "x_blocks", F.ceil(F.col("of_root") / BLOCK).cast("int").alias("y_blocks"))
-    full = known.join(texts, "node")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = touches.join(asking, "root").join(full, "node").withColumns({"asks": F.lit(True), "x": block("x_blocks")}).withColumn("y", spread("y_blocks"))
-    y = nodes.join(asking, "root").join(full, "node").withColumns({"asks": F.lit(False), "y": block("y_blocks")}).withColumn("x", spread("x_blocks"))
-    columns = ["root", "x", "y", F.struct("asks", "node", "n", "sign", "packed").alias("m")]
-    more = (
-        x.select(*columns)
-        .unionByName(y.select(*columns))
-        .groupBy("root", "x", "y")
-        .agg(F.collect_list("m").alias("members"))  # a block of askers and one of the component
-        .select("members")
-        .mapInArrow(_settle(size, percent, least), "a long, b long")
-    )
+    touched = clusters.join(nodes, "node").select("cluster", "root").distinct()
+    inside = components(touched.groupBy("root").agg(F.min("cluster").alias("least")).join(touched, "root").select(F.col("least").alias("a"), F.col("cluster").alias("b")))
+    cluster_of = touched.groupBy("root").agg(F.min("cluster").alias("c")).join(inside.select(F.col("node").alias("c"), F.col("root").alias("whole")), "c", "left").select("root", F.coalesce("whole", "c").alias("cluster"))
+    taking_part = nodes.join(cluster_of, "root").select("node", "root", "cluster")
+    blocks = taking_part.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    full = taking_part.join(blocks, "cluster").join(known, "node").join(texts, "node")
+    more = in_blocks(full, "cluster", "packed").mapInArrow(_settle(size, percent, least), "a long, b long")
     more = materialize(more, "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
