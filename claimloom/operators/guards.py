@@ -94,10 +94,14 @@ def located(rows: DataFrame, *, answer: str, claim: str, start: str) -> DataFram
     """
 
     def nearest(hay: Column, needle: Column) -> Column:
-        n = F.length(hay) - F.length(needle)
-        hits = F.filter(F.when(n >= 0, F.sequence(F.lit(0), n)), lambda i: F.substring(hay, i + 1, F.length(needle)) == needle)
-        at = F.element_at(F.array_sort(F.transform(hits, lambda i: F.struct(F.abs(i - F.coalesce(F.col(start), F.lit(0))).alias("d"), i.alias("i")))), 1)["i"]
-        return F.when((F.length(needle) > 0) & (F.size(hits) > 0), F.struct(at.cast("long").alias("s"), (at + F.length(needle)).cast("long").alias("e")))
+        # the first one from the start on, and the last one up to it by the reversed text
+        size, at = F.length(needle), F.greatest(F.coalesce(F.col(start), F.lit(0)).cast("int"), F.lit(0))
+        last = F.length(hay) - size
+        after = F.position(needle, hay, at + 1) - 1
+        before = last - (F.position(F.reverse(needle), F.reverse(hay), F.greatest(last - at, F.lit(0)) + 1) - 1)
+        right, left = F.when(after >= 0, after), F.when(before <= last, before)
+        best = F.when(right.isNull() | (at - left <= right - at), left).otherwise(right)
+        return F.when((size > 0) & best.isNotNull(), F.struct(best.cast("long").alias("s"), (best + size).cast("long").alias("e")))
 
     a, c = F.col(answer), F.col(claim)
     own = F.when(F.substring(a, F.col(start) + 1, F.length(c)) == c, F.struct(F.col(start).cast("long").alias("s"), (F.col(start) + F.length(c)).cast("long").alias("e")))

@@ -77,7 +77,7 @@ def topic_questions(spark, sf_dir):
         WHEN len(e3) > 0 THEN list_sort(list_transform(e3, lambda i: {'d': abs(i - start), 'i': i}))[1].i END AS s, CASE WHEN own[1] OR len(e1) > 0 THEN length(claim) WHEN len(e2) > 0 THEN length(regexp_replace(claim, '^\s+|\s+$', '', 'g')) WHEN len(e3) > 0 THEN length(claim) END AS n FROM o)
     SELECT conv_id, k, CAST(s AS BIGINT) AS start_at, CAST(s + n AS BIGINT) AS end_at FROM f""")
 def claim_locations(spark, sf_dir):
-    a = answering._answers(spark, sf_dir).select("conv_id", F.substring(F.replace("text", F.lit("ß"), F.lit("ss")), 1, 400).alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
+    a = answering._answers(spark, sf_dir).select("conv_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     k = F.col("k")
     part = F.substring("text", 11, 20)
     claim = F.when(k == 0, part).when(k == 1, F.upper(part)).when(k == 2, F.concat(F.lit(" "), F.substring("text", 5, 8), F.lit("  "))).otherwise("nowhere at all")
