@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import lexicon
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -32,6 +34,14 @@ def clean_document(x) -> Column:
     return normalize_lines(F.regexp_replace(F.regexp_replace(_c(x), r"\r\n?", "\n"), r"(\w)-[ \t]*\n[ \t]*(\w)", "$1$2"))
 
 
+def clean_legal(x) -> Column:
+    """Collapsed text without print notices, 'Cite as' lines, page headers and page references."""
+    out = _c(x)
+    for noise in (lexicon.PRINT_NOTICE, lexicon.CITE_AS, lexicon.PAGE_HEADER, lexicon.PAGE_REFERENCE):
+        out = F.regexp_replace(out, noise, " ")
+    return collapse(out)
+
+
 def words(x) -> Column:
     return F.array_remove(F.split(collapse(x), " "), "")
 
@@ -72,6 +82,20 @@ def shortened(x, limit: int) -> Column:
     return F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x)
 
 
+def conversation_summary(query, response, limit: int = 1000) -> Column:
+    """``Q: ..`` and, where there is a response, ``A: ..`` on the next line; cut to ``limit`` with three dots."""
+    said = lambda x: collapse(F.coalesce(_c(x), F.lit("")))
+    out = F.concat(F.lit("Q: "), said(query), F.when(said(response) != "", F.concat(F.lit("\nA: "), said(response))).otherwise(""))
+    return F.when(F.length(out) > limit, F.concat(F.regexp_replace(F.substring(out, 1, limit - 3), r"\s+$", ""), F.lit("..."))).otherwise(out)
+
+
+def citation(citations) -> Column:
+    """``volume reporter page`` of the first of an array of structs that has all three; else null."""
+    given = lambda v: v.isNotNull() & (v.cast("string") != "") & ((F.typeof(v) == "string") | F.coalesce(v.try_cast("double") != 0, F.lit(True)))
+    whole = F.filter(_c(citations), lambda c: given(c["volume"]) & given(c["reporter"]) & given(c["page"]))
+    return F.get(F.transform(whole, lambda c: F.concat_ws(" ", c["volume"].cast("string"), c["reporter"], c["page"].cast("string"))), F.lit(0))
+
+
 def strip_html(x) -> Column:
     """Text of a page: no scripts or tags, common entities replaced, collapsed."""
     out = F.regexp_replace(_c(x), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

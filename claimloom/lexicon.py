@@ -109,6 +109,12 @@ LOWER_COURT = r"(?i)\b(?:district court|court of appeals|sixth circuit|federal c
 NOT_AUTHORITATIVE = r"(?i)\b(?:(?:petitioners?|respondents?|party|government)\s+(?:argue|argued|contend|contended|claim|claimed)|dissent(?:ing)?\b|concurr(?:ing|ence)\b|(?:court of appeals|district court|lower court)\s+(?:held|concluded|reasoned|ruled)|rejected\s+(?:that|this|the)\s+(?:argument|view|contention|claim))"
 POSTURE_CLAIM = r"(?i)\b(?:argue|argument|petitioner|respondent|dissent|concurr|court of appeals|district court|lower court)\b"
 
+# Print noise in opinions.
+PRINT_NOTICE = r"(?iU)\b(?:Page Proof Pending Publication|PRELIMINARY PRINT|OFFICIAL REPORTS OF THE SUPREME COURT|NOTICE: This preliminary print is subject to formal revision before publication)\b"
+CITE_AS = r"(?iU)\bCite as:\s*[^.!?]{0,160}?\(\d{4}\)"
+PAGE_HEADER = r"(?U)\b\d{1,4}\s+[A-Z][A-Z0-9.,'&\-\s]{2,90}\s+v\.\s+[A-Z][A-Z0-9.,'&\-\s]{1,90}\s+(?:Syllabus|Opinion of the Court|Slip Opinion|Per Curiam)\b"
+PAGE_REFERENCE = r"(?U)\b(?:Pp?|pp)\.\s*\d+(?:[-–]\d+)?\b"
+
 # Patterns of answer text outside claims.
 CAVEAT = r"(?i)\b(?:insufficient support|retrieved context does not|retrieved authorities do not|not enough evidence|cannot determine|does not identify|no separate opinion identified|not available in the retrieved context|unclear from the retrieved|do not have .+ in the retrieved database)\b"
 LABEL = r"(?i)^(?:(?:the\s+)?(?:holding|rule|legal\s+rule|core\s+holding)(?:\s+in\s+[^:\n]{1,160})?\s+(?:is|was)\s*:|(?:bottom\s+line|practical\s+takeaway|takeaway|practical\s+rule)\s*:)\s*$"

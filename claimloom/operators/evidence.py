@@ -11,8 +11,8 @@ from ..functions import text as tx
 
 
 def sentences(text: str) -> Column:
-    """Split after an end mark before a capital, digit, quote or bracket."""
-    return F.filter(F.split(tx.collapse(text), r'(?<=[.!?])\s+(?=[A-Z0-9"(])'), lambda s: s != "")
+    """Split after an end mark before a capital, digit, quote or bracket, without print noise."""
+    return F.filter(F.split(tx.clean_legal(text), r'(?<=[.!?])\s+(?=[A-Z0-9"(])'), lambda s: s != "")
 
 
 def sentence_score(sentence: Column, tokens: Column, *, index: Column, named: Column) -> Column:

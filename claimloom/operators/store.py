@@ -44,6 +44,65 @@ CASCADE = {
     "claim_citation_links": ("verified_claim_id", "verified_claims"),
 }
 
+#: Columns that are unique together where none of them is null.
+UNIQUE = {
+    **{t: [("id",)] for t in TABLES},
+    "users": [("id",), ("username",), ("email",)],
+    "sessions": [("id",), ("token_hash",)],
+    "conversation_state": [("conversation_id",)],
+    "verified_claims": [("id",), ("interaction_id", "claim_id")],
+    "interaction_citations": [("id",), ("interaction_id", "chunk_id")],
+    "claim_citation_links": [("id",), ("verified_claim_id", "interaction_citation_id", "relationship")],
+}
+#: Columns that hold the id of a row of another table, or null: (child table, column, parent table).
+REFERENCES = [
+    *[(child, column, parent) for child, (column, parent) in CASCADE.items()],
+    ("messages", "interaction_id", "interactions"),
+    ("claim_citation_links", "interaction_citation_id", "interaction_citations"),
+]
+
+
+def violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rule, key, n): repeated unique keys and references to no row, over the tables that are given."""
+    parts = []
+    for name, df in tables.items():
+        for columns in UNIQUE[name]:
+            counted = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+            parts.append(counted.select(F.lit(name).alias("table_name"), F.lit(f"unique {', '.join(columns)}").alias("rule"), F.to_json(F.struct(*columns)).alias("key"), "n"))
+    for child, column, parent in REFERENCES:
+        if child in tables and parent in tables:
+            counted = tables[child].dropna(subset=[column]).groupBy(column).agg(F.count("*").alias("n"))
+            lost = counted.join(tables[parent].select(F.col("id").alias(column)), column, "left_anti")
+            parts.append(lost.select(F.lit(child).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"), F.to_json(F.struct(column)).alias("key"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def citation_links(claim_rows: DataFrame, citation_rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Rows of claim_citation_links, without id and time, that replace those of the claims.
+
+    The n-th stored claim of an interaction (by id) goes with the n-th of
+    ``claims`` (interaction_id, position, claim_id, verdict and, as chunk ids
+    and scores, best_supporting_chunk, best_chunk, best_supporting_score,
+    final_score, best_contradicting_chunk, best_contradiction_score). Of
+    citations with the same chunk the last row counts; chunks that are not
+    cited give no link.
+    """
+    place = lambda order: F.row_number().over(W.partitionBy("interaction_id").orderBy(order))
+    stored = claim_rows.select("interaction_id", F.col("id").alias("verified_claim_id"), place("id").alias("n"))
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    links = F.array(
+        F.struct(F.lit("supporting").alias("relationship"), F.coalesce(filled("best_supporting_chunk"), filled("best_chunk")).alias("chunk_id"), F.coalesce("best_supporting_score", "final_score").cast("double").alias("score")),
+        F.struct(F.lit("contradicting").alias("relationship"), filled("best_contradicting_chunk").alias("chunk_id"), F.col("best_contradiction_score").cast("double").alias("score")),
+    )
+    said = claims.withColumn("n", place("position")).select("interaction_id", "n", "claim_id", "verdict", F.inline(links))
+    cited = citation_rows.where(filled("chunk_id").isNotNull()).groupBy("interaction_id", F.col("chunk_id").cast("string").alias("chunk_id")).agg(F.max("id").alias("interaction_citation_id"))
+    rows = said.join(stored, ["interaction_id", "n"]).join(cited, ["interaction_id", "chunk_id"])
+    about = F.to_json(F.struct("claim_id", "chunk_id", "relationship", "verdict"), {"ignoreNullFields": "false"})
+    return rows.select("verified_claim_id", "interaction_citation_id", "relationship", "score", about.alias("metadata_json"))
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in order; missing ones (older data) are null, others go."""
