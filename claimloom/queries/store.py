@@ -15,7 +15,18 @@ def recent_messages(spark, sf_dir):
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey)
     SELECT c_custkey, o_orderkey, coalesce(n, 0) AS n_lines, coalesce(lines, '') AS lines FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN n ON l_orderkey = o_orderkey WHERE c_nationkey % 2 = 0""")
 def history_nested(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return _history(spark, sf_dir, table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey)
+    SELECT c_custkey, o_orderkey, coalesce(n, 0) AS n_lines, coalesce(lines, '') AS lines FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN n ON l_orderkey = o_orderkey""")
+def history_nested_all(spark, sf_dir):
+    return _history(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _history(spark, sf_dir, customers):
+    """Orders of the customers with their lines."""
+    users = customers.select(F.col("c_custkey").alias("o_custkey"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(users, "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
     nested = store.history(orders, lines, key="o_orderkey", order=["l_linenumber"], columns=["l_returnflag"], name="lines")
