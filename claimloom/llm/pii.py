@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-_KEYISH = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{10,200}+(?![A-Za-z0-9_/+-])")
+_KEYISH = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{10,}+(?![A-Za-z0-9_/+-])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?dot ?[\])]? ?[A-Za-z0-9-]{2,24}){1,3}(?![A-Za-z0-9-])")
