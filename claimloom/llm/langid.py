@@ -174,3 +174,14 @@ def predict(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("lang_pr
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
+
+
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows whose text is not null and has a letter."""
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([t is not None and bool(_LETTER.search(t)) for t in batch.column(where).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,10 +16,16 @@ from claimloom.llm.shared import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; the others have no letter."""
+    """Keep documents whose language can be told; the others have no letter.
+
+    A posterior of 0 marks the others, as a corpus may have a language of the
+    name ``UNKNOWN``. Where no row has a language all texts with a letter stay.
+    """
     model = langid.fit(docs.select("lang", "text"))
+    if not model.langs:
+        return langid.with_letter(docs)
     told = langid.predict(docs, model, names=("predicted language", "its posterior"))
-    return told.where(F.col("predicted language") != langid.UNKNOWN).select(*docs.columns)
+    return told.where(F.col("its posterior") > 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
