@@ -128,20 +128,34 @@ class Encoder:
     characters that are not white space, so a text is the concatenation of its
     space-led pieces, and each distinct piece is encoded once. The ids of all
     known pieces lie in one array; a text is a gather of its pieces.
+
+    With ``added`` the tokenizer's added tokens are found in the text, as its
+    plain ``encode`` does; else they are spelled out as other text is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
+        tokens = [t for t in self._tokenizer.get_added_tokens_decoder().values() if t.content and (added or not t.special)]
+        #: Added tokens lie in one piece, but for those that hold white space or look beyond themselves.
+        wide = [t for t in tokens if re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word]
+        self._added, self._apart = self._any_of(tokens), self._any_of(wide)
         feed = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._feed = feed[0] if len(feed) == 1 else -1
         self._forget()
 
+    @staticmethod
+    def _any_of(tokens: list) -> re.Pattern | None:
+        return re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
+
+    def _holds_added(self, piece: str) -> bool:
+        return self._added is not None and self._added.search(piece) is not None
+
     def _forget(self) -> None:
         #: Piece number by spelling: of pieces as they are, and of those after a space.
         self._bare, self._led = _Numbers(self._take_bare), _Numbers(self._take_led)
@@ -174,8 +188,9 @@ class Encoder:
 
     def _spell(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in some order, and where each piece's ids start and how many they are."""
-        plain = [i for i, p in enumerate(pieces) if p and "\n" not in p]
-        odd = [i for i, p in enumerate(pieces) if not p or "\n" in p]
+        alone = [not p or "\n" in p or self._holds_added(p) for p in pieces]
+        plain = [i for i, a in enumerate(alone) if not a]
+        odd = [i for i, a in enumerate(alone) if a]
         order, sizes, ids = [], [], []
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
@@ -214,7 +229,7 @@ class Encoder:
         head, tail = [], []
         for piece in new:
             core = piece.rstrip(_MARKS)
-            if len(core) < len(piece) and _LETTERS.fullmatch(core):
+            if len(core) < len(piece) and _LETTERS.fullmatch(core) and not self._holds_added(piece):
                 head.append(number(core, len(parts)))
                 tail.append(number(piece[len(core) :], len(parts)))
             else:
@@ -236,7 +251,9 @@ class Encoder:
         numbers: list[int] = []
         sizes = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if _WIDE.search(text):
+            if self._apart is not None and self._apart.search(text):
+                first, rest = text, []
+            elif _WIDE.search(text):
                 first, *rest = self.pieces(text)
                 rest = [p[1:] for p in rest]
             else:
@@ -251,13 +268,13 @@ class Encoder:
         return ids, np.add.reduceat(self._length[piece], at) if len(texts) else np.zeros(0, np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added=added)
+    return _ENCODERS[path, added]
 
 
 def _in_steps(texts: Iterator, limit: int = 4_000_000) -> Iterator[list]:
@@ -272,8 +289,8 @@ def _in_steps(texts: Iterator, limit: int = 4_000_000) -> Iterator[list]:
         yield held
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
-    """Encode (doc_id, text) and write the token set at ``path``, in doc_id order."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, added: bool = False) -> None:
+    """Encode (doc_id, text) and write the token set at ``path``, in doc_id order; ``added`` as in ``Encoder``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -281,7 +298,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, added)
         no, before = 0, 0
         held_docs: list = []
         held_ids: list[np.ndarray] = []
