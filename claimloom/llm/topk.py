@@ -15,9 +15,10 @@ first threshold is the k-th score within its own block (queries are candidates
 too), so shards send little besides true results.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part; shorter vectors count as padded with zeros; components are clipped to
-26 bits so that every score is an exact 64-bit integer; repeated rows are
-candidates each, but rows with the query's own id are not; of repeated query
+no part; shorter vectors count as padded with zeros; scores are exact, by
+integers of any width where products of the greatest components could pass 61
+bits; a component or a found score without a 64-bit form is an error, as in the
+SQL; repeated rows are candidates each, but rows with the query's own id are not; of repeated query
 ids the least vector asks; ties go to the smaller vec_id.
 """
 
@@ -34,19 +35,23 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 8192
 SHARD = 4096
 BATCH = 128
-_CLIP = float(1 << 26)
+#: Scores below this bound are exact in 64 bits, differences of them too.
+_SAFE = 1 << 61
+#: The threshold of a query that has no k-th score yet.
+_NONE = -_SAFE
 
 
 def integer_vectors(df: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every usable vector."""
     v = F.col("embedding")
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    whole = F.transform(v, lambda x: F.greatest(F.least(F.floor(F.lit(scale) * x.cast("double")), F.lit(_CLIP)), F.lit(-_CLIP)).cast("int"))
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < float(1 << 63), F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component has no 64-bit form")).cast("long")))
     return df.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list<int> array as one matrix of ``width`` columns."""
+    """Rows of a list<long> array as one matrix of ``width`` columns."""
     lengths = np.minimum(np.diff(column.offsets.to_numpy()), width)
     out = np.zeros((len(column), width), np.int64)
     values = column.values.to_numpy(zero_copy_only=False)
@@ -61,7 +66,8 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: int):
         self.ids = ids
-        bound = int(np.abs(vectors).max(initial=0)) * most * vectors.shape[1]
+        self.greatest = int(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        bound = self.greatest * most
         #: The smallest type in which all sums are exact.
         self.type = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
         self.postings = np.ascontiguousarray(vectors.T).astype(self.type)
@@ -69,9 +75,11 @@ class Shard:
 
     def search(self, queries: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (query row, vector row, score) with score >= the query's threshold."""
+        if self.greatest * int(np.abs(queries).max(initial=0)) >= _SAFE:
+            return self._wide(queries, threshold)
         a, b = queries * self.low, queries * self.high
         least, most = np.minimum(a, b), np.maximum(a, b)
-        order = np.argsort(-(most - least).sum(0), kind="stable")
+        order = np.argsort(-(most - least).sum(0, dtype=np.float64), kind="stable")
         most, least = most[:, order], least[:, order]
         # rest[:, m]: what terms m, m+1, .. can add at most; floor[:, m]: the least of the first m
         rest = np.concatenate([np.cumsum(most[:, ::-1], 1)[:, ::-1], np.zeros((len(queries), 1), most.dtype)], 1)
@@ -90,6 +98,15 @@ class Shard:
             row, col, score = row[alive], col[alive], score[alive]
         return row, col, score
 
+    def _wide(self, queries: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``search``, by integers of any width and for all vectors."""
+        score = queries.astype(object) @ self.postings.astype(np.int64).astype(object)
+        row, col = np.nonzero(((score >= threshold[:, None]) | (threshold == _NONE)[:, None]).astype(bool))
+        found = score[row, col]
+        if len(found) and not -(1 << 63) <= found.min() <= found.max() < 1 << 63:
+            raise OverflowError("a score has no 64-bit form")
+        return row, col, found.astype(np.int64)
+
 
 class Best:
     """Running k best candidates of each query."""
@@ -113,7 +130,7 @@ class Best:
     def prune(self) -> np.ndarray:
         """Keep the k best of each query and raise the thresholds."""
         all_ = np.concatenate(self.found)
-        all_ = all_[np.lexsort((all_[:, 2], -all_[:, 1], all_[:, 0]))]
+        all_ = all_[np.lexsort((all_[:, 2], ~all_[:, 1], all_[:, 0]))]
         edge = np.searchsorted(all_[:, 0], np.arange(len(self.queries) + 1))
         rank = np.arange(len(all_)) - np.repeat(edge[:-1], np.diff(edge))
         full = np.flatnonzero(np.diff(edge) >= self.k)
@@ -127,7 +144,11 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, SHARD):
             part = batch.slice(at, SHARD)
-            yield Shard(part.column(0).to_numpy(), matrix(part.column(1), width), most)
+            ids, vectors = part.column(0).to_numpy(), matrix(part.column(1), width)
+            wide = np.abs(vectors).max(1, initial=0) > (_SAFE - 1) // (most * width)
+            for rows in (~wide, wide) if wide.any() else (slice(None),):
+                if len(ids[rows]):
+                    yield Shard(ids[rows], vectors[rows], most)
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
@@ -147,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
         ids = rows.column("vec_id").to_numpy()
         q = matrix(rows.column("v").chunk(0), width)
         most = int(np.abs(q).max(initial=1)) or 1
-        seed = Best(q, ids, np.full(len(q), np.iinfo(np.int64).min // 4), k)
+        seed = Best(q, ids, np.full(len(q), _NONE), k)
         seed.add(Shard(ids[:SHARD], q[:SHARD], most))
         seed.prune()
         sent = spark.sparkContext.broadcast((q, ids, seed.threshold, most))
