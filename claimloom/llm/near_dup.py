@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize
+from .shared import materialize, releasing
 from .wordhash import Rolling, Words, by_bytes, mix, seeded, split_words
 
 ROWS, BANDS, BITS = 6, 56, 4
@@ -47,6 +47,8 @@ HASHES = ROWS * BANDS
 ROUNDS = 2
 #: Bucket members compared with each other in one task at most.
 BLOCK = 1024
+#: Compressed text of a block on average; a text beyond it is a block with what falls to it.
+BLOCK_BYTES = 4_000_000
 
 _SHINGLES = Rolling(0x51A6)
 _MUL = (seeded(HASHES, 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -114,6 +116,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _signatures(size: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text", 2_000_000):
@@ -139,6 +142,7 @@ def _signatures(size: int):
 
 
 def _texts(size: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
@@ -157,6 +161,7 @@ def _texts(size: int):
 
 
 def _confirm(size: int, percent: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -177,6 +182,7 @@ def _confirm(size: int, percent: int):
 
 
 def _estimates(least: float):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
@@ -227,6 +233,7 @@ def _numbered(m) -> tuple[np.ndarray, list[int], _Forest]:
 def _weak(least: float, percent: int):
     """A spanning forest over the components of a block pair, by estimates alone."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
@@ -242,6 +249,7 @@ def _weak(least: float, percent: int):
 def _settle(size: int, percent: int, least: float):
     """A forest of confirmed links over the components of a block pair of a cluster."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -331,8 +339,9 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     inside = components(touched.groupBy("root").agg(F.min("cluster").alias("least")).join(touched, "root").select(F.col("least").alias("a"), F.col("cluster").alias("b")))
     cluster_of = touched.groupBy("root").agg(F.min("cluster").alias("c")).join(inside.select(F.col("node").alias("c"), F.col("root").alias("whole")), "c", "left").select("root", F.coalesce("whole", "c").alias("cluster"))
     taking_part = nodes.join(cluster_of, "root").select("node", "root", "cluster")
-    blocks = taking_part.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    full = taking_part.join(blocks, "cluster").join(known, "node").join(texts, "node")
+    with_text = taking_part.join(texts, "node")
+    blocks = with_text.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("packed")) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    full = with_text.join(blocks, "cluster").join(known, "node")
     more = in_blocks(full, "cluster", "packed").mapInArrow(_settle(size, percent, least), "a long, b long")
     more = materialize(more, "links")
     if not more.isEmpty():

@@ -12,8 +12,9 @@ kappa of the inclusion probability 1 - exp(-exp(log p - kappa)).
 
 Every random number is a hash of the row key, the sample, the place and the
 step, so results don't depend on partitions or retries. No piece spans a word
-start, so lattices are built once for each distinct word of a step, and all
-documents of a step are sampled together in numpy.
+start, so lattices are built once for each distinct word and kept for the
+following steps (up to ``VOCABULARY_CHARS``), and all documents of a step are
+sampled together in numpy.
 
 Defined cases: a null or empty text has one segmentation, without pieces; a
 text with fewer than k segmentations yields them all, with inclusion 1;
@@ -24,6 +25,7 @@ to a space, as the format has it; a null key counts as key 0.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,14 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import releasing
 from .wordhash import mix
 
 SPACE = "▁"
 SAMPLES = 2
 #: Exponent of the piece probabilities; under 1 it flattens them.
 SMOOTHING = 0.4
-STEP_CHARS = 1_500_000
+#: Characters of the texts that are sampled together, and of the words whose lattice is kept.
+STEP_CHARS = 100_000
+VOCABULARY_CHARS = 500_000
+#: Words up to this length are summed without logarithms; a character's share of their scale.
+PLAIN_CHARS, SCALE = 48, 4.0
 _STARTS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+#: Stands after each word; no piece holds it.
+_NO_CHAR = (1 << 21) - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,10 +71,12 @@ class Pieces:
                 rank[i] = -sp.get_score(i)
         weight = (rank + 2) ** -SMOOTHING
         self.log_p = np.log(weight / weight[usable + list(self.byte_of)].sum())
+        #: Probabilities scaled by their length.
+        self.weight = np.exp(self.log_p + SCALE * np.array(list(map(len, self.text))))
         #: Whether words can be treated on their own: no piece goes on past a word start.
         self.by_word = not any(SPACE in self.text[i].lstrip(SPACE) for i in usable)
         #: Pieces that decode on their own; an ASCII byte is a whole character.
-        self.plain = [self.byte_of.get(i, 0) < 0x80 for i in range(n)]
+        self.plain = np.array([self.byte_of.get(i, 0) < 0x80 for i in range(n)])
         self.alone = [chr(self.byte_of[i]) if self.byte_of.get(i, 0x80) < 0x80 else self.text[i] for i in range(n)]
         self.ascii = np.array([self.byte.get(b, -1) for b in range(0x80)], np.int64)
 
@@ -104,9 +115,11 @@ class Pieces:
             open_ = open_[~hit & (found >= 0)]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
-        if all(map(self.plain.__getitem__, ids)):
+        found = np.asarray(ids, np.int64)
+        ids = found.tolist()
+        if self.plain[found].all():
             joined = "".join(map(self.alone.__getitem__, ids))
         else:
             out, held = [], bytearray()
@@ -123,86 +136,195 @@ class Pieces:
 
 
 class Lattice:
-    """Arcs of a set of words. Nodes are their characters; node n is the end of all words."""
-
-    def __init__(self, pieces: Pieces, words: list[str]):
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    """Arcs of a growing set of words. Nodes are their characters and, after each word, its end."""
+
+    def __init__(self, pieces: Pieces):
+        self._pieces = pieces
+        self.spelled = False
+        #: First node of each word, first arc of each node, nodes that are ends.
+        self.first = np.zeros(0, np.int64)
+        self.arc_from = np.zeros(1, np.int64)
+        self.is_end = np.zeros(0, bool)
+        #: Pieces, lengths and probabilities (given their node) of the arcs.
+        self.piece, self.length, self.p = np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0)
+
+    def add(self, words: list[str]) -> None:
+        """Append the arcs of more words."""
+        pieces = self._pieces
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.first = np.cumsum(sizes) - sizes
-        n = self.end = len(code)
-        stop = np.repeat(self.first + sizes, sizes)
-        source, length, piece = [], [], []
-        at, state, depth = np.arange(n), np.zeros(n, np.int64), 0
+        room = sizes + 1
+        first = np.cumsum(room) - room
+        n = int(room.sum())
+        stop = first + sizes
+        is_end = np.zeros(n, bool)
+        is_end[stop] = True
+        code = np.full(n, _NO_CHAR, np.int64)
+        code[~is_end] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at, state, depth = np.flatnonzero(~is_end), np.zeros(n - len(words), np.int64), 0
         while len(at):
             state = pieces.step(state, code[at + depth]).astype(np.int64)
             depth += 1
-            live = state > 0
+            live = np.flatnonzero(state)
             at, state = at[live], state[live]
             got = pieces.piece_at[state]
-            hit = got >= 0
-            source.append(at[hit])
-            length.append(np.full(int(hit.sum()), depth, np.int64))
-            piece.append(got[hit])
-            more = at + depth < stop[at]
-            at, state = at[more], state[more]
+            hit = np.flatnonzero(got >= 0)
+            found.append((at[hit], got[hit]))
         # a character without a piece of its own is spelled in bytes, as one arc
-        single = np.ones(n, bool)
-        single[source[0] if source else []] = False
+        single = ~is_end
+        if found:
+            single[found[0][0]] = False
         odd = np.flatnonzero(single)
-        source.append(odd)
-        length.append(np.ones(len(odd), np.int64))
-        piece.append(-1 - code[odd])
-        source, length, piece = (np.concatenate(x) for x in (source, length, piece))
-        order = np.argsort(source, kind="stable")
-        source, length, self.piece = source[order], length[order], piece[order]
-        target = source + length
-        self.target = np.where(target == stop[source], n, target) if n else target
-        coded = np.where(self.piece < 0, -1 - self.piece, 0)
-        n_bytes = 1 + (coded > 0x7F) + (coded > 0x7FF) + (coded > 0xFFFF)
-        byte_p = pieces.log_p[next(iter(pieces.byte_of))] if pieces.byte_of else -30.0
-        log_p = np.where(self.piece >= 0, pieces.log_p[np.maximum(self.piece, 0)], n_bytes * byte_p)
-        self.arc_from = np.searchsorted(source, np.arange(n + 1))
-        left = np.repeat(self.first + sizes, sizes) - np.arange(n)
-        backward = np.zeros(n + 1)
-        by_left = np.argsort(left, kind="stable")
-        cut = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        counts = np.diff(self.arc_from)
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            nodes = by_left[a:b]
-            c = counts[nodes]
-            edge = np.cumsum(c) - c
-            arcs = np.repeat(self.arc_from[nodes] - edge, c) + np.arange(int(c.sum()))
-            backward[nodes] = np.logaddexp.reduceat(log_p[arcs] + backward[self.target[arcs]], edge)
-        #: Log-probability of each arc given its node.
-        log_c = log_p + backward[self.target] - backward[source]
-        order = np.argsort(source - 0.5 * np.exp(log_c), kind="stable")  # likelier arcs first, so that a draw mostly ends at once
-        self.log_c, self.target, self.piece = log_c[order], self.target[order], self.piece[order]
-        self.up = np.cumsum(np.exp(self.log_c))
-        self.base = np.concatenate([[0.0], self.up])[self.arc_from]
-        self.log_rest = np.where(counts[source] > 1, np.log(np.maximum(-np.expm1(self.log_c), 1e-18)), -np.inf)
+        if len(odd):
+            found[0] = (np.concatenate([found[0][0], odd]), np.concatenate([found[0][1], -1 - code[odd]]))
+            self.spelled = True
+        counts = np.zeros(n, np.int64)
+        for source, _ in found:
+            counts[source] += 1
+        arc_from = np.concatenate([[0], np.cumsum(counts)])
+        # the longest piece of a node comes first: it mostly is the likeliest, so a draw mostly ends at once
+        piece, length = np.empty(int(arc_from[-1]), np.int32), np.empty(int(arc_from[-1]), np.int16)
+        used = arc_from[:-1].copy()
+        for depth in range(len(found), 0, -1):
+            own, got = found[depth - 1]
+            where = used[own]
+            used[own] += 1
+            piece[where], length[where] = got, depth
+        p = np.empty(len(piece))
+        odd_word = np.zeros(len(words), bool)
+        odd_word[np.searchsorted(first, odd, side="right") - 1] = True
+        # products of scaled probabilities; logarithms where they might leave the range of doubles
+        by_log = odd_word | (sizes > PLAIN_CHARS)
+        left = np.repeat(stop, room) - np.arange(n)
+        for logs in (False, True):
+            chosen = np.flatnonzero(np.repeat(by_log == logs, room) & ~is_end)
+            if not len(chosen):
+                continue
+            backward = np.zeros(n) if logs else np.ones(n)
+            by_left = chosen[np.argsort(left[chosen].astype(np.int32), kind="stable")]
+            cut = np.searchsorted(left[by_left], np.arange(1, int(left[chosen].max()) + 2))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                nodes = by_left[a:b]
+                if not len(nodes):
+                    continue
+                c = counts[nodes]
+                edge = np.cumsum(c) - c
+                n_arcs = int(edge[-1] + c[-1])
+                arcs = np.repeat(arc_from[nodes] - edge, c) + np.arange(n_arcs)
+                own = piece[arcs]
+                to = backward[np.repeat(nodes, c) + length[arcs]]
+                if logs:
+                    value = np.where(own >= 0, pieces.log_p[np.maximum(own, 0)], self._spelling(own)) + to
+                    backward[nodes] = total = np.logaddexp.reduceat(value, edge)
+                    p[arcs] = np.exp(value - np.repeat(total, c))
+                else:
+                    value = pieces.weight[own] * to
+                    backward[nodes] = total = np.add.reduceat(value, edge)
+                    p[arcs] = value / np.repeat(total, c)
+        sure = np.flatnonzero(p >= 1)
+        sure = sure[counts[np.searchsorted(arc_from, sure, side="right") - 1] > 1]
+        p[sure] = 1 - 2**-53  # only a lone arc is certain
+        nodes, arcs = len(self.is_end), len(self.p)
+        self.first = np.concatenate([self.first, first + nodes])
+        self.arc_from = np.concatenate([self.arc_from, arc_from[1:] + arcs])
+        self.is_end = np.concatenate([self.is_end, is_end])
+        self.piece, self.length, self.p = (np.concatenate(x) for x in ((self.piece, piece), (self.length, length), (self.p, p)))
+
+    def _spelling(self, coded: np.ndarray) -> np.ndarray:
+        """Log-probability of a character that is spelled in bytes."""
+        code = np.maximum(-1 - coded, 0)
+        byte_p = self._pieces.log_p[next(iter(self._pieces.byte_of))] if self._pieces.byte_of else -30.0
+        return (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * byte_p
+
+    def log_c(self, arcs: np.ndarray) -> np.ndarray:
+        """Log-probabilities of arcs given their nodes."""
+        return np.log(np.maximum(self.p[arcs], 1e-300))
+
+    def log_rest(self, arcs: np.ndarray) -> np.ndarray:
+        """Log-probabilities of all other arcs of the same nodes; nothing where there is none."""
+        rest = 1 - self.p[arcs]
+        return np.log(np.maximum(rest, 1e-18), out=np.full(len(rest), -np.inf), where=self.p[arcs] < 1)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node, by uniform numbers."""
         arc, last = self.arc_from[node], self.arc_from[node + 1] - 1
-        bar = self.base[node] + u * (self.up[last] - self.base[node])
-        open_ = np.flatnonzero((self.up[arc] <= bar) & (arc < last))
+        sums = self.p[arc]
+        open_ = np.flatnonzero((sums <= u) & (arc < last))
         while len(open_):
             arc[open_] += 1
-            open_ = open_[(self.up[arc[open_]] <= bar[open_]) & (arc[open_] < last[open_])]
+            sums[open_] += self.p[arc[open_]]
+            open_ = open_[(sums[open_] <= u[open_]) & (arc[open_] < last[open_])]
         return arc
 
 
+class Vocabulary:
+    """Words met so far, numbered in the order they are first asked for, and their lattice."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._forget()
+
+    def _forget(self) -> None:
+        self.lattice = Lattice(self.pieces)
+        #: Words by their text without the space mark before it, where no other mark is near.
+        self._number: dict[str, int] = {}
+        self._chars = 0
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts back to back as numbers, and the number of words of each text."""
+        if self._chars > VOCABULARY_CHARS:
+            self._forget()
+        words: list[str] = []
+        ends = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text:
+                pass
+            elif not self.pieces.by_word:
+                words.append(SPACE + text.replace(" ", SPACE))
+            elif SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
+                words += _STARTS.split(SPACE + text.replace(" ", SPACE))
+            else:
+                words += text.split(" ")
+            ends[i] = len(words)
+        known = self._number
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            new = [w if w[0] == SPACE else SPACE + w for w in new]
+            self._chars += sum(map(len, new))
+            self.lattice.add(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.diff(ends, prepend=0)
+
+
+def _keyed(seed: np.ndarray, a, b) -> np.ndarray:
+    """Keys that depend on all arguments alone."""
+    with np.errstate(over="ignore"):
+        return mix(seed + np.asarray(a, np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.asarray(b, np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+
+
+def _uniform_of(key: np.ndarray, c) -> np.ndarray:
+    """Uniform numbers in (0, 1) of mixed keys and a step."""
+    with np.errstate(over="ignore"):
+        x = key + np.asarray(c, np.uint64) * np.uint64(0xAAAAAAAAAAAAAAAB)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+    x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 1 / float(1 << 52)
+    return out
+
+
 def _uniform(seed: np.ndarray, a, b, c) -> np.ndarray:
     """Uniform numbers in (0, 1) that depend on all arguments alone."""
-    with np.errstate(over="ignore"):
-        x = mix(seed + np.asarray(a, np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.asarray(b, np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.asarray(c, np.uint64) * np.uint64(0xAAAAAAAAAAAAAAAB))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return _uniform_of(_keyed(seed, a, b), c)
 
 
 def _truncated(phi, bound, e):
     """A Gumbel with location phi, truncated at bound, from an exponential number e."""
     with np.errstate(invalid="ignore"):
-        return np.where(np.isneginf(phi), -np.inf, phi - np.logaddexp(phi - bound, np.log(e)))
+        return np.where(np.isneginf(phi), -np.inf, phi - np.log(np.exp(np.minimum(phi - bound, 700.0)) + e))
 
 
 class _Path:
@@ -210,16 +332,18 @@ class _Path:
 
     def __init__(self, lattice: Lattice, word: np.ndarray, seed: np.ndarray, place: np.ndarray, doc_words: np.ndarray, sample: int):
         steps, arcs = [], []
-        live, node = np.arange(len(word)), lattice.first[word]
+        live, node, key = np.arange(len(word)), lattice.first[word], _keyed(seed, sample, place)
         t = 0
         while len(live):
-            arc = lattice.draw(node, _uniform(seed[live], sample, place[live], t))
+            arc = lattice.draw(node, _uniform_of(key, t))
             steps.append(live)
             arcs.append(arc)
-            node = lattice.target[arc]
-            on = node != lattice.end
-            live, node, t = live[on], node[on], t + 1
-        self.n_of = np.bincount(np.concatenate(steps), minlength=len(word)) if steps else np.zeros(0, np.int64)
+            node = node + lattice.length[arc]
+            on = np.flatnonzero(~lattice.is_end[node])
+            live, node, key, t = live[on], node[on], key[on], t + 1
+        self.n_of = np.zeros(len(word), np.int64)
+        for rows in steps:
+            self.n_of[rows] += 1
         self.first = np.concatenate([[0], np.cumsum(self.n_of)])
         self.arcs = np.empty(int(self.first[-1]), np.int64)
         for t, (rows, got) in enumerate(zip(steps, arcs, strict=True)):
@@ -228,24 +352,11 @@ class _Path:
         self.doc = self.first[doc_words]
 
 
-def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed: int = 0) -> list[list[tuple]]:
+def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed: int = 0, vocabulary: Vocabulary | None = None) -> list[list[tuple]]:
     """For each text up to k samples: (ids, log p, perturbed log p, log inclusion)."""
-    numbers: dict[str, int] = {}
-    word, counts = [], []
-    for text in texts:
-        if not text:
-            counts.append(0)
-            continue
-        if not pieces.by_word:
-            parts = [SPACE + text.replace(" ", SPACE)]
-        elif SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
-            parts = _STARTS.split(SPACE + text.replace(" ", SPACE))
-        else:
-            parts = [SPACE + w for w in text.split(" ")]
-        counts.append(len(parts))
-        word += [numbers.setdefault(w, len(numbers)) for w in parts]
-    lattice = Lattice(pieces, list(numbers))
-    word, counts = np.array(word, np.int64), np.array(counts, np.int64)
+    vocabulary = vocabulary or Vocabulary(pieces)
+    word, counts = vocabulary.numbered(texts)
+    lattice = vocabulary.lattice
     doc_words = np.concatenate([[0], np.cumsum(counts)])
     with np.errstate(over="ignore"):
         own = mix(keys.astype(np.int64).view(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed))
@@ -253,19 +364,19 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
     of_word = np.repeat(own, counts)
 
     n = len(texts)
-    spelled = len(lattice.piece) > 0 and int(lattice.piece.min()) < 0
+    spelled = lattice.spelled
     root = -np.log(-np.log(_uniform(own, 0, 1 << 40, 0)))
     # by document: open sets (-priority, tie, chosen prefix arcs, node, excluded arcs, log p of prefix)
     agenda: list[list] = [[(-root[d], 0, None, None, (), 0.0)] if counts[d] else [] for d in range(n)]
     out: list[list[list]] = [[] for _ in range(n)]
     for s in range(k):
         fresh = _Path(lattice, word, of_word, place, doc_words, s)
-        log_c = lattice.log_c[fresh.arcs]
+        log_c = lattice.log_c(fresh.arcs)
         run = np.concatenate([[0.0], np.cumsum(log_c)])
-        rest = lattice.log_rest[fresh.arcs]
+        rest = lattice.log_rest(fresh.arcs)
         doc_of = np.repeat(np.arange(n), np.diff(fresh.doc))
         within = np.arange(len(fresh.arcs)) - fresh.doc[doc_of]
-        e = -np.log(_uniform(own[doc_of], s, within, 1 << 41))
+        e = -np.log(_uniform_of(_keyed(own, s, 1 << 41)[doc_of], within))
         before = run[:-1] - run[fresh.doc[doc_of]]
         bound, shift, skip = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
         heads: list = [None] * n
@@ -283,27 +394,27 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
             arcs, total = list(prefix[0]), log_prefix
             choice = np.arange(lattice.arc_from[node], lattice.arc_from[node + 1])
             choice = choice[~np.isin(choice, excluded)]
-            p = np.exp(lattice.log_c[choice])
+            p = lattice.p[choice]
             u = float(_uniform(own[d : d + 1], s, 1 << 42, len(arcs))[0]) * p.sum()
             arc = int(choice[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(choice) - 1)])
-            left = float(p.sum() - np.exp(lattice.log_c[arc]))
+            left = float(p.sum() - lattice.p[arc])
             taken = (*excluded, arc)
             if len(choice) > 1:
                 phi = log_prefix + np.log(max(left, 1e-18))
                 g = float(_truncated(phi, bound[d], -np.log(_uniform(own[d : d + 1], s, 1 << 43, len(arcs))[0])))
                 heapq.heappush(agenda[d], (-g, s * 2 + 1, prefix, node, taken, log_prefix))
             arcs.append(arc)
-            total += float(lattice.log_c[arc])
-            node, t = int(lattice.target[arc]), 1
-            while node != lattice.end:
+            total += math.log(max(lattice.p[arc], 1e-300))
+            node, t = node + int(lattice.length[arc]), 1
+            while not lattice.is_end[node]:
                 arc = int(lattice.draw(np.array([node]), _uniform(own[d : d + 1], s, 1 << 44, t))[0])
                 if lattice.arc_from[node + 1] - lattice.arc_from[node] > 1:
-                    phi = total + lattice.log_rest[arc]
+                    phi = total + math.log(max(1 - lattice.p[arc], 1e-18))
                     g = float(_truncated(phi, bound[d], -np.log(_uniform(own[d : d + 1], s, 1 << 45, t))[0]))
                     heapq.heappush(agenda[d], (-g, s * 2 + 2 + t, (tuple(arcs), w), node, (arc,), total))
                 arcs.append(arc)
-                total += float(lattice.log_c[arc])
-                node, t = int(lattice.target[arc]), t + 1
+                total += math.log(max(lattice.p[arc], 1e-300))
+                node, t = node + int(lattice.length[arc]), t + 1
             heads[d] = tuple(arcs)
             skip[d] = fresh.first[doc_words[d] + w + 1] - a  # arcs of the fresh path up to that word
             shift[d] = total - (run[a + skip[d]] - run[a])
@@ -395,10 +506,12 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
 
 
 def _run(path: str, k: int, seed: int, emit, names: list[str], types: list[pa.DataType]):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
+        vocabulary = Vocabulary(pieces)
         for keys, texts in _steps(batches):
-            got = sample_step(pieces, np.array([x or 0 for x in keys], np.int64), texts, k, seed)
+            got = sample_step(pieces, np.array([x or 0 for x in keys], np.int64), texts, k, seed, vocabulary)
             rows = [emit(pieces, key, text, i + 1, *s) for key, text, ss in zip(keys, texts, got, strict=True) for i, s in enumerate(ss)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -410,7 +523,7 @@ def _full(pieces, key, text, no, ids, log_p, g, inclusion):
 
 
 def _digest(pieces, key, text, no, ids, log_p, g, inclusion):
-    return key, no, len(ids), zlib.crc32(ids.astype("<u4").data), log_p, g, inclusion, pieces.decode(ids.tolist()) == text.replace(SPACE, " ")
+    return key, no, len(ids), zlib.crc32(ids.astype("<u4").data), log_p, g, inclusion, pieces.decode(ids) == text.replace(SPACE, " ")
 
 
 def encode(docs: DataFrame, path: str, *, k: int = SAMPLES, seed: int = 0) -> DataFrame:
@@ -425,6 +538,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column ``text`` of its ``ids``."""
     where = encoded.columns.index("ids")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +47,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system.
+
+    Workers live on into the next stage; what they keep is missing there.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries lack the call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(run):
+    """A partition function that calls ``release`` when its partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def held_out(mod: int, rest: int):
     """crc32(doc_id as text) mod ``mod`` == ``rest``; a null id counts as its empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == rest
