@@ -3,17 +3,20 @@
 Training counts every n-gram of every labelled document: each task adds its
 documents into one count matrix (languages x buckets) and emits it in sparse
 form, so what is shuffled is bounded by tasks x languages x buckets and not by
-text. The model is one float32 matrix of fixed size, broadcast to the scorers;
-a batch is scored as a sparse count row times that matrix.
-
-Defined cases: a null text or one without any letter gives ``und`` and score 0;
-with no labelled document every text gives ``und`` and score 0; a null language
-is not learned from; equal posteriors go to the language first in sort order.
+text. The model is one float32 matrix, broadcast to the scorers; a batch is
+counted into sparse rows (text, bucket, count) and scored as their product with
+that matrix. The number of buckets is fixed. The matrix has a column for each
+learned language, ``MAX_LANGS`` at most; a corpus with more is an error.
+
+Defined cases: a null text or one without any letter (``str.isalpha``) gives
+``und`` and score 0; with no labelled document every text gives ``und`` and
+score 0; a null language is not learned from; equal posteriors go to the
+language first in sort order; repeated rows are counted and told alike; a text's
+result does not depend on the other texts of its batch.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,40 +25,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import releasing
 from .wordhash import mix
 
 #: Lengths of the character n-grams.
 NGRAMS = (1, 2, 3)
 BUCKET_BITS = 16
-#: The matrix never has more cells than this, however many languages there are.
-MAX_CELLS = 1 << 24
+#: Languages that can be learned; the model has at most so many cells.
+MAX_LANGS = 256
+MAX_CELLS = MAX_LANGS << BUCKET_BITS
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 200_000
 
 
 def buckets_for(n_langs: int) -> int:
-    bits = BUCKET_BITS
-    while bits > 8 and (max(n_langs, 1) << bits) > MAX_CELLS:
-        bits -= 1
-    return bits
+    """Bits of a bucket number: the same for any number of languages."""
+    return BUCKET_BITS
 
 
-def _grams(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket numbers of all n-grams of a code point sequence."""
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
+def _grams_by_size(codes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bucket numbers of all n-grams of a code point sequence, for each length."""
     shift = np.uint64(64 - bits)
     c = codes.astype(np.uint64) + np.uint64(1)
     out = []
     with np.errstate(over="ignore"):
         h = np.zeros(len(c), np.uint64)
         for n in range(1, max(NGRAMS) + 1):
-            if len(c) < n:
-                break
-            h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :]
+            h = h[: max(len(c) - n + 1, 0)] * np.uint64(0x100000001B3) + c[n - 1 :]
             if n in NGRAMS:
                 out.append((mix(h + np.uint64(n << 56)) >> shift).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return out
+
+
+def _grams(codes: np.ndarray, bits: int) -> np.ndarray:
+    return np.concatenate(_grams_by_size(codes, bits))
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
@@ -87,42 +95,63 @@ def counts_of(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+def sparse_counts(texts: list[str], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse count rows of texts, some at a time: (first text, row from there, bucket, count)."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size + len(texts[to]) <= _CHUNK):
+            size += len(texts[to])
+            to += 1
+        if to == at + 1:
+            bucket, n = counts_of(texts[at], bits)
+            yield at, np.zeros(len(bucket), np.int64), bucket, n
+        else:
+            lower = [t.lower() for t in texts[at:to]]
+            codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+            row = np.repeat(np.arange(to - at), np.fromiter(map(len, lower), np.int64, to - at))
+            keys = []
+            for grams in _grams_by_size(codes, bits):
+                rows = row[: len(grams)]
+                inside = row[len(row) - len(rows) :] == rows  # it ends in the text that it starts in
+                keys.append((rows << bits | grams)[inside])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield at, key >> bits, key & (1 << bits) - 1, n
+        at = to
+
+
 class Model:
     """Log probabilities: prior [L] and likelihood [buckets, L]."""
 
     def __init__(self, langs: list[str], bits: int, log_prior: np.ndarray, log_like: np.ndarray):
         self.langs, self.bits, self.log_prior, self.log_like = langs, bits, log_prior, log_like
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        score = self.log_prior.copy()
-        short = len(text) < _CHUNK
-        for codes, lap in _pieces(text):
-            g = _grams(codes, self.bits)
-            if len(g):
-                score += self._sum(g)
-            if lap:
-                score -= self._sum(_grams(codes[:lap], self.bits))
-            if short:
-                break
-        best = int(np.argmax(score))
-        return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
-
-    def _sum(self, grams: np.ndarray) -> np.ndarray:
-        at, n = np.unique(grams, return_counts=True)
-        return n.astype(np.float64) @ self.log_like[at].astype(np.float64)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and its posterior for each text of a batch."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        told = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
+        score = np.tile(self.log_prior, (len(told), 1))
+        for first, row, bucket, n in sparse_counts([texts[i] for i in told], self.bits):
+            edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            for lang in range(0, len(self.langs), 16):  # bounds the product in memory
+                part = slice(lang, lang + 16)
+                score[first + row[edge], part] += np.add.reduceat(n[:, None] * self.log_like[bucket, part].astype(np.float64), edge)
+        best = score.argmax(1) if told else ()
+        for i, b, own in zip(told, best, score, strict=True):
+            out[i] = self.langs[b], float(1.0 / np.exp(own - own[b]).sum())
+        return out
 
 
 def _count_batches(langs: list[str], bits: int):
     place = {x: i for i, x in enumerate(langs)}
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), 1 << bits), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, n = counts_of(text or "", bits)
-                total[place[lang], at] += n
+            own = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            for first, row, bucket, n in sparse_counts([t or "" for t in batch.column(1).to_pylist()], bits):
+                np.add.at(total, (own[first + row], bucket), n)
         row, col = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(total[row, col])],
@@ -136,7 +165,9 @@ def fit(labelled: DataFrame) -> Model:
     """Fit on all rows of (lang, text) whose language is not null."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull())
-    per_lang = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect())
+    per_lang = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect())
+    if len(per_lang) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = [x for x, _ in per_lang]
     bits = buckets_for(len(langs))
     if not langs:
@@ -163,10 +194,11 @@ def predict(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("lang_pr
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     where = keep.index("text")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(where).to_pylist()]
+            got = m.predict(batch.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 names=[*keep, *names],
@@ -180,8 +212,9 @@ def with_letter(docs: DataFrame) -> DataFrame:
     """The rows whose text is not null and has a letter."""
     where = docs.columns.index("text")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([t is not None and bool(_LETTER.search(t)) for t in batch.column(where).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
