@@ -4,15 +4,17 @@ Bytes are embedded, learned filters of ``WIDTH`` bytes run over the whole
 document, each overlapping chunk keeps the maximum of every filter, and the
 mean and the maximum over all chunks are combined into one probability.
 
-The network is fitted on the driver on a bounded sample: at most
-``TRAIN_DOCS`` labelled documents (those with the least hash of their id) with
-at most ``TRAIN_CHUNKS`` evenly spaced chunks each. Scoring reads every byte.
+The network is fitted on the driver on a bounded sample: whole texts of labelled
+documents in the order of a hash of their id and text, ``TRAIN_DOCS`` documents
+and ``TRAIN_BYTES`` bytes at most. All chunks of these are read, and scoring reads
+every byte of every document.
 Filters over pairs of bytes are folded into lookup tables, so a filter response
 is a sum of three table rows.
 
 Defined cases: a null or empty text is scored as one chunk of padding; without
 labels of both classes every document gets the share of label 1 (0.5 without
-labels); labels other than 0 and 1 are ignored; repeated rows are scored alike.
+labels); labels other than 0 and 1 are ignored; equal rows are learned from once
+and scored alike; a first text beyond ``TRAIN_BYTES`` is taken as it is.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ EMBED = 8
 BLOCK = 64
 CHUNK_BLOCKS, STEP_BLOCKS = 4, 3
 TRAIN_DOCS = 4000
-TRAIN_CHUNKS = 12
+TRAIN_BYTES = 12_000_000
 EPOCHS = 8
 _CHUNK = BLOCK * CHUNK_BLOCKS
 _PIECE = 1 << 17
@@ -69,6 +71,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _peaks(tables: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the greatest response of each filter in each chunk."""
+    response = tables[0][x[:, :_CHUNK]]
+    for w in range(1, WIDTH):
+        response += tables[w][x[:, w : w + _CHUNK]]
+    where = response.argmax(1)
+    return where, np.take_along_axis(response, where[:, None, :], 1)[:, 0]
+
+
 def train(chunks: np.ndarray, doc_of: np.ndarray, labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Fit on chunks [n, _CHUNK + WIDTH - 1] of bytes; ``doc_of`` is sorted, labels by document."""
     net = Network(seed)
@@ -87,11 +98,8 @@ def train(chunks: np.ndarray, doc_of: np.ndarray, labels: np.ndarray, *, epochs:
             starts = np.cumsum(sizes) - sizes
             x = chunks[rows]
             tables = net.tables()
-            response = tables[0][x[:, :_CHUNK]]
-            for w in range(1, WIDTH):
-                response = response + tables[w][x[:, w : w + _CHUNK]]
-            where = response.argmax(1)
-            top = np.take_along_axis(response, where[:, None, :], 1)[:, 0] + net.bias
+            where, top = (np.concatenate(y) for y in zip(*(_peaks(tables, x[k : k + 512]) for k in range(0, len(x), 512))))
+            top = top + net.bias
             hidden = np.maximum(top, 0)
             mean = np.add.reduceat(hidden, starts) / sizes[:, None]
             most = np.maximum.reduceat(hidden, starts)
@@ -160,23 +168,14 @@ class Scorer:
         return _sigmoid(np.concatenate([mean, most], 1) @ self.out + self.out_bias).astype(np.float64)
 
 
-def _sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        ids, labels, out = [], [], []
-        for i, label in enumerate(batch.column(0).to_pylist()):
-            text = data[offsets[i] : offsets[i + 1]]
-            n = max(1, -(-max(len(text) - _CHUNK, 0) // (STEP_BLOCKS * BLOCK)) + 1)
-            for c in sorted(set(np.linspace(0, n - 1, min(n, TRAIN_CHUNKS)).astype(int).tolist())):
-                part = text[c * STEP_BLOCKS * BLOCK :][: _CHUNK + WIDTH - 1]
-                out.append(part.tobytes().ljust(_CHUNK + WIDTH - 1, b"\0"))
-                ids.append(i)
-                labels.append(label)
-        starts = np.r_[True, np.diff(ids) != 0].astype(np.int32) if ids else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(starts), pa.array(out, pa.binary())], names=["label", "starts", "chunk"])
+def _chunks(text: bytes) -> list[bytes]:
+    """All overlapping chunks of a text, each with the bytes that its last filter place needs."""
+    n = -(-max(len(text) - _CHUNK, 0) // (STEP_BLOCKS * BLOCK)) + 1
+    step = STEP_BLOCKS * BLOCK
+    return [text[c * step :][: _CHUNK + WIDTH - 1].ljust(_CHUNK + WIDTH - 1, b"\0") for c in range(n)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> Network | float:
     """Fit on (doc_id, text) and (doc_id, label); a constant if one class is missing."""
     picked = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -186,16 +185,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS) -> Netwo
         .limit(limit)
     )
     # at most ``limit`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("h"))
-    got = rows.orderBy("h").select("label", "text").mapInArrow(_sample_chunks, "label int, starts int, chunk binary").toArrow()
-    if not got.num_rows:
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    # many rows may share an id: the sample is bounded once more, before any text moves
+    sizes = rows.select("h", "label", F.octet_length("text").alias("n")).distinct().orderBy("h", "label").limit(limit).toArrow()
+    within = np.cumsum(sizes.column("n").to_numpy().astype(np.int64)) <= limit_bytes
+    if not within.any():
+        within[:1] = True
+    if not len(within):
         return 0.5
-    chunks = np.frombuffer(b"".join(got.column("chunk").to_pylist()), np.uint8).reshape(got.num_rows, -1)
-    starts = got.column("starts").to_numpy()
-    label = got.column("label").to_numpy()[starts == 1].astype(np.float32)
+    chosen = docs.sparkSession.createDataFrame(sizes.filter(pa.array(within)).select(["h", "label"]).to_pandas(), "h long, label int")
+    got = rows.join(F.broadcast(chosen), ["h", "label"]).groupBy("h", "label").agg(F.min("text").alias("text")).orderBy("h", "label").toArrow()
+    label = got.column("label").to_numpy().astype(np.float32)
     if label.min() == label.max():
         return float((label.sum() + 1) / (len(label) + 2))
-    return train(chunks, np.cumsum(starts) - 1, label)
+    parts = [_chunks(t.encode()) for t in got.column("text").to_pylist()]
+    chunks = np.frombuffer(b"".join(c for p in parts for c in p), np.uint8).reshape(-1, _CHUNK + WIDTH - 1)
+    return train(chunks, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), label)
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
