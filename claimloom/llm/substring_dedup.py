@@ -12,14 +12,15 @@ their full windows, which meet those of other first regions. So copies, however
 many, cost one row for each region, and no pairs are made. Twice the half is
 the length asked for, so no further level follows.
 
-Joins are by hash values of windows and by document; hot windows (a passage in
-very many documents) are aggregated before they are shuffled and their join is
-one that Spark splits. Texts move in compressed form and only where a document
+Joins are by hash values of windows and by document. Hot windows (a passage in
+very many documents) are aggregated before they are shuffled, and what the
+aggregates give is written down first, so that both sides of a join come from
+exchanges of their own and Spark can split a hot one. Texts move in compressed form and only where a document
 has a repeated half.
 
 Defined cases: a null text has no words; a window only counts as repeated if a
 strictly smaller doc_id has it, so rows with equal ids never remove each
-other's words; rows without an id neither lose words nor cause a removal.
+other's words; equal rows are cut alike, from one list of places; rows without an id neither lose words nor cause a removal.
 """
 
 from __future__ import annotations
@@ -177,22 +178,22 @@ def removed_passages(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
     rows = materialize(marked.mapInArrow(_per_document(window), f"doc_id {kind}, mark long, n_words long, kept_sha256 string, halves array<long>"), "documents")
     halves = rows.select(*key, F.explode("halves").alias("half"))
-    repeated = halves.groupBy("half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("half")
+    repeated = materialize(halves.groupBy("half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("half"), "repeated")
     involved = materialize(halves.join(repeated, "half").groupBy(*key).agg(F.collect_set("half").alias("halves")), "involved")
 
     packed = marked.where("doc_id is not null").mapInArrow(_compressed, f"doc_id {kind}, mark long, packed binary")
     texts = materialize(packed.join(involved, key).select(*key, "packed", "halves"), "texts")
 
     regions = materialize(texts.mapInArrow(_regions(window), f"region long, doc_id {kind}, mark long, start long, size long, windows binary"), "regions")
-    first = regions.groupBy("region").agg(F.min("doc_id").alias("lo"))
+    first = materialize(regions.groupBy("region").agg(F.min("doc_id").alias("lo")), "first")
     whole = regions.select("region", *key, "start", "size").join(first, "region").where("doc_id > lo").select(*key, "start", "size")
 
     own = regions.join(first, "region").where("doc_id = lo").select(*key, "start", "windows")
     windows = materialize(own.mapInArrow(_split, f"window long, doc_id {kind}, mark long, start long"), "windows")
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window", "lo")
+    earliest = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window", "lo"), "earliest")
     single = windows.join(earliest, "window").where("doc_id > lo").select(*key, "start", F.lit(1).cast("long").alias("size"))
 
-    removed = whole.unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("start", "size")).alias("removed"))
+    removed = whole.unionByName(single).distinct().groupBy(*key).agg(F.collect_list(F.struct("start", "size")).alias("removed"))
     cut = (
         texts.select(*key, "packed")
         .join(removed, key)
