@@ -86,7 +86,7 @@ US_CITATION = r"(?i)\b\d+\s+U\.?\s*S\.?\s+(?:\d+|_{2,})(?:\s*\(\d{4}\))?"
 DEPTH_QUESTION = r"(?i)\b(?:bullet(?:ed|s)?|list|paragraphs?|explain|why|reason(?:ing|s)?|practical|takeaways?|compare|comparison|in[-\s]?depth|detail(?:ed|s)?|outline|walk\s+through|what\s+is\s+the\s+(?:rule|standard|test))\b"
 
 # Patterns of claims and sentences.
-STATUTE = r"(?i)\b\d+\s+U\.?\s*S\.?\s*C\.?"
+STATUTE = r"(?i)\b\d+\s+U\.?\s*S\.?\s*C\.?\b"
 CITED = r"\b\d+\s+U\.?\s*S\.?\s+\d+\b"
 HELD = r"(?i)\b(?:held|hold|ruled|found|concluded|determined|vacated|affirmed|reversed)\b"
 HEDGED = r"(?i)\b(?:may|might|could|possibly|likely|arguably|appears|suggests)\b"
