@@ -22,13 +22,10 @@ def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: in
     step = size - overlap
     n = F.size("w")
     last = F.when(n > size, F.ceil((n - size) / F.lit(step))).otherwise(0).cast("int")
-    split = docs.select(key, tx.words("text").alias("w")).where(F.size("w") > 0)
-    return split.select(key, "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index")).select(
-        key,
-        F.col("chunk_index").cast("long").alias("chunk_index"),
-        F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-        F.array_join(F.slice("w", F.col("chunk_index") * step + 1, size), " ").alias("text"),
-    )
+    # finished texts are exploded, not copies of the word array; no word, no window
+    windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * step + 1, size), " ")))
+    split = docs.select(key, tx.words("text").alias("w")).select(key, F.posexplode(windows).alias("chunk_index", "text"))
+    return split.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
 
 
 def disjoint_groups(docs: DataFrame, *, size: int = config.DISJOINT_WORDS, key: str = "doc_id") -> DataFrame:

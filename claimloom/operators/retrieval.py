@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..storage import written
+
+
+#: Vectors of one block, and what rounding to six digits can join.
+DENSE_BLOCK = 8192
+TIE = 2e-6
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -23,6 +31,11 @@ def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def chunk_terms(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, term): the distinct terms of each chunk, without a shuffle."""
+    return chunks.select(key, F.explode(F.array_distinct(tx.search_tokens("text"))).alias("term"))
+
+
 def term_stats(posted: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     return posted.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -41,17 +54,18 @@ def top_k(scored: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
 def bm25_topk(chunks: DataFrame, queries: DataFrame, *, k: int = config.SPARSE_K, query: str = "query_id", key: str = "chunk_id", digits: int = 6) -> DataFrame:
     """(query, key, score, rank): BM25; repeated query terms count each time.
 
-    Only terms of the queries are kept from the chunks, before any shuffle;
-    lengths and counts come from one pass over the chunks.
+    Chunks are split into tokens once. Only terms of the queries are kept from
+    them, before any shuffle; a chunk's terms meet in the task that read it.
     """
     asked = queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
     n_asked, n_terms = asked.count(), terms.count()
-    total = doc_stats(chunks, key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    tokens = written(chunks.select(key, tx.search_tokens("text").alias("t")).withColumn("dl", F.size("t")), "tokens")
+    total = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # reads one number a chunk
     n, avgdl = int(total["n"]), float(total["avgdl"] or 0.0) or 1.0
-    tokens = chunks.select(key, tx.search_tokens("text").alias("t"))
-    hits = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(sized(terms, n_terms), "term", "left_semi")
+    hits = tokens.select(key, "dl", F.explode("t").alias("term")).join(sized(terms, n_terms), "term", "left_semi")
     posted = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    posted = written(posted, "postings")
     idf = term_stats(posted, n).select("term", "idf")
     k1, b = F.lit(config.BM25_K1), F.lit(config.BM25_B)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
@@ -68,17 +82,53 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best_of_block(width: int, k: int):
+    """For each block (vectors of kind 0, then packs of queries of kind 1) the k best by a matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, rows, vectors = None, [], [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] != block:
+                    block, ids, rows, vectors = r["block"], [], [], None
+                if not r["kind"]:
+                    ids += r["ids"]
+                    rows.append(np.array(r["values"], np.float64).reshape(-1, width))
+                    continue
+                if vectors is None:
+                    vectors = np.concatenate(rows) if rows else np.zeros((0, width))
+                    own = np.array(ids, np.int64)
+                asked = np.array(r["ids"], np.int64)
+                score = np.array(r["values"], np.float64).reshape(-1, width) @ vectors.T
+                score[asked[:, None] == own] = -np.inf
+                # one decimal more than the rounding of scores can join: all that may tie stay
+                bar = np.partition(score, -k, axis=1)[:, -k] - TIE if score.shape[1] > k else np.full(len(asked), -1e300)
+                q, v = np.nonzero(score >= np.maximum(bar, -1e300)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(own[v]), pa.array(score[q, v])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, *, k: int = config.DENSE_K, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank) by exact cosine, for a stated query set.
 
-    Queries and vectors are dealt to blocks; each pair of blocks is one group of
-    the join, so neither side is ever whole in one task.
+    Vectors are dealt to blocks of ``DENSE_BLOCK``; queries are packed, and each
+    pack meets each block as one matrix product. What leaves a block are its best
+    ``k`` of each query and what ties with the last of them after rounding.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // 512))
-    q = queries.select(F.col("vec_id").alias("query_id"), normalized("embedding").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
-    v = vectors.select("vec_id", normalized("embedding").alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = v.join(sized(q, n), "block").where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot("q", "v"), digits).alias("score"))
+    count = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    width, blocks = max(int(count["width"] or 1), 1), max(1, -(-int(count["n"]) // DENSE_BLOCK))
+
+    def packs(rows: DataFrame, by: Column, size: int) -> DataFrame:
+        unit = rows.where(F.size("embedding") == width).select("vec_id", normalized("embedding").alias("u"), by.cast("int").alias("block"))
+        lot = unit.withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-DENSE_BLOCK // size)))))
+        packed = lot.groupBy("block", "lot").agg(F.collect_list(F.struct("vec_id", "u")).alias("p"))  # ``size`` rows on average
+        return packed.select("block", F.transform("p", lambda x: x["vec_id"]).alias("ids"), F.flatten(F.transform("p", lambda x: x["u"])).alias("values"))
+
+    dealt = packs(vectors, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), 512).select("block", F.lit(0).alias("kind"), "ids", "values")
+    asked = packs(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), 512).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "ids", "values")
+    both = dealt.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    scored = both.mapInArrow(_best_of_block(width, k), "query_id long, vec_id long, score double").withColumn("score", F.round("score", digits))
     return top_k(scored, "query_id", k, F.desc("score"), F.asc("vec_id"))
 
 
@@ -113,7 +163,8 @@ def hybrid(sparse: Callable[[], DataFrame], dense: Callable[[], DataFrame]) -> t
     found, failed = [], []
     for name, backend in (("dense", dense), ("sparse", sparse)):
         try:
-            found.append(backend().select("query_id", "chunk_id", "rank"))
+            # written here: what fails while it runs fails inside the try
+            found.append(written(backend().select("query_id", "chunk_id", "rank"), f"{name}-ranks"))
         except Exception as error:  # noqa: BLE001 - a backend may fail in any way
             failed.append(f"{name}:{type(error).__name__}")
     if not found:

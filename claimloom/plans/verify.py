@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import answers, chunking, claims, retrieval, verification
+from ..storage import written
 
 
 def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_LIMIT, scorer: Callable | None = None) -> DataFrame:
@@ -17,8 +18,8 @@ def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_L
     Evidence is bounded by ``k`` chunks a claim, so what meets the pair scorer
     grows with the claims and not with the documents.
     """
-    chunks = chunking.word_windows(docs.select("doc_id", "text"))
-    hits = retrieval.bm25_topk(chunks, asked.select("claim_id", "text"), k=k, query="claim_id")
+    chunks = written(chunking.word_windows(docs.select("doc_id", "text")), "chunks")
+    hits = written(retrieval.bm25_topk(chunks, asked.select("claim_id", "text"), k=k, query="claim_id"), "hits")
     meta = docs.select("doc_id", "court_level", "doc_type")
     premise = chunks.select("chunk_id", "doc_id", F.col("text").alias("premise"))
     pairs = hits.join(premise, "chunk_id").join(meta, "doc_id").join(asked.select("claim_id", F.col("text").alias("hypothesis")), "claim_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import chunking, retrieval
+from ..storage import written
 from . import query, table
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -44,8 +45,8 @@ def dense(spark, sf_dir, k=config.DENSE_K):
 
 @query(f"WITH {CHUNKS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    return retrieval.term_stats(retrieval.postings(chunks), chunks.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    chunks = written(chunks_of(spark, sf_dir), "chunks")
+    return retrieval.term_stats(retrieval.chunk_terms(chunks), chunks.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, CAST(len(t) AS BIGINT) AS dl, round(len(t) / avgdl, 6) AS relative FROM tok, st")
