@@ -12,6 +12,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use) -> Column:
+    """``use(x)`` with x worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(x) -> Column:
     """Without white space at both ends (not only blanks)."""
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")

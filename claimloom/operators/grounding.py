@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config, lexicon
+from ..functions import names
 from ..functions import text as tx
 
 
@@ -92,3 +93,71 @@ def refusal(*, citation: Column, explicit: Column, target_found: Column, any_hit
         .when(~any_hits, "not_applied:no_retrieval_context").when(uploads, "not_applied:user_upload_context").when(explicit.isNotNull() & ~target_found, "applied:explicit_target_not_retrieved")
         .when((intent_ != "off_target") | target_found, "not_applied:answerable_or_targeted").otherwise("applied:off_target_no_corpus_grounding")
     )
+
+
+# Routes of a router that settle a question, and the least confidence.
+ROUTES = ["topic_overview", "research_leads", "off_corpus", "clarification_needed"]
+ROUTE_CONFIDENCE = 0.65
+
+
+def route(answer: str, schema: str = "route string, confidence double") -> Column:
+    """A router's answer as a struct: the whole text as JSON, else what stands between its braces; else null."""
+    whole = lambda x: F.when(x.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(x, schema))
+    text = F.coalesce(F.col(answer), F.lit(""))
+    parsed = F.coalesce(whole(text), whole(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+    return F.when(F.coalesce(*[parsed[f.split()[0]].cast("string") for f in schema.split(", ")]).isNotNull(), parsed)
+
+
+def _matched(questions: DataFrame, hits: DataFrame, same: Column, query: str) -> DataFrame:
+    """(query, target_case, target_doc_ids): the most frequent name of the matching hits, and their documents."""
+    found = hits.join(questions, query).where(same)
+    docs = found.groupBy(query).agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("target_doc_ids"))  # hits of a question are bounded
+    return docs.join(most_common_name(found, query, "case_name", "rank").select(query, F.col("case_name").alias("target_case")), query, "left")
+
+
+def resolve(questions: DataFrame, hits: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """What each question is about, by the first way that names a target.
+
+    ``questions``: query, question, mentions_upload, route, confidence (a router's,
+    or null). ``hits``: query, doc_id, rank, case_name, citation, doc_type,
+    name_tokens, query_tokens, family. Ways in order: a case named in the
+    question, a citation, uploads, a short name, the router, agreement of the
+    first hits. One row for each question.
+    """
+    uploads = hits.groupBy(query).agg(F.max((F.col("doc_type") == "user_upload").cast("int")).alias("u"))
+    asked = questions.join(uploads, query, "left").withColumn("uploads", F.coalesce(F.col("u"), F.lit(0)) == 1).drop("u")
+    asked = asked.withColumns({"explicit_case": F.when(~(F.col("uploads") & F.col("mentions_upload")), case_in("question")), "citation_asked": citation_in("question")})
+    keys = asked.select(query, "explicit_case", "citation_asked")
+    own, cited = tx.compact(F.coalesce("citation", F.lit(""))), tx.compact(F.coalesce("citation_asked", F.lit("")))
+    by_case = _matched(keys.where("explicit_case is not null"), hits, names.names_match(names.case_key("case_name"), names.case_key("explicit_case")), query)
+    by_citation = _matched(keys.where("explicit_case is null and citation_asked is not null"), hits, names.names_match(own, cited), query)
+    first_name = hits.groupBy(query, "doc_id").agg(F.min_by("case_name", "rank").alias("case_name"))
+    by_short = short_name_target(hits, query=query).join(first_name, [query, "doc_id"]).select(query, F.col("case_name").alias("short_case"), F.array(F.col("doc_id").cast("string")).alias("short_docs"))
+    shared = hits.withColumn("shared", F.array_intersect("name_tokens", "query_tokens"))
+    of_family = hits.groupBy(query, "family").agg(F.min_by("case_name", "rank").alias("family_case"), F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("family_docs"))
+    by_agreement = convergent_target(shared, query=query).join(of_family, [query, "family"]).select(query, "family_case", "family_docs")
+
+    named = by_case.withColumnsRenamed({"target_case": "named_case", "target_doc_ids": "named_docs"})
+    found = by_citation.withColumnsRenamed({"target_case": "cited_case", "target_doc_ids": "cited_docs"})
+    rows = asked.join(named, query, "left").join(found, query, "left").join(by_short, query, "left").join(by_agreement, query, "left")
+    routed = (F.col("confidence") >= ROUTE_CONFIDENCE) & F.lower(F.trim("route")).isin(ROUTES)
+    source = (
+        F.when(F.col("explicit_case").isNotNull(), "explicit_case").when(F.col("citation_asked").isNotNull(), F.when(F.col("cited_case").isNotNull(), "citation").otherwise("citation_unresolved"))
+        .when(F.col("uploads"), "user_upload").when(F.col("short_case").isNotNull(), "short_name").when(routed, F.concat(F.lit("llm_route:"), F.lower(F.trim("route"))))
+        .when(F.col("family_case").isNotNull(), "retrieval_convergence").otherwise("unresolved")
+    )
+    rows = rows.withColumn("source", source)
+    pick = lambda case, cite, short, family: F.when(F.col("source") == "explicit_case", case).when(F.col("source") == "citation", F.col(cite)).when(F.col("source") == "short_name", F.col(short)).when(F.col("source") == "retrieval_convergence", F.col(family))
+    rows = rows.withColumns({"target_case": pick(F.coalesce("named_case", "explicit_case"), "cited_case", "short_case", "family_case"), "docs": pick(F.col("named_docs"), "cited_docs", "short_docs", "family_docs")})
+    status = F.concat(F.when(F.col("target_case").isNotNull(), "resolved:").otherwise("not_resolved:"), "source")
+    out = rows.withColumns({"status": status, "target_doc_ids": F.coalesce("docs", F.expr("cast(array() as array<string>)"))})
+    settled = F.when(F.startswith("source", F.lit("llm_route:")), F.lower(F.trim("route")))
+    out = out.withColumn("query_intent", intent("question", target=F.col("target_case"), citation=F.col("citation_asked"), route=F.coalesce(settled, F.lit(""))))
+    return out.select(query, "status", "source", "target_case", F.col("citation_asked").alias("target_citation"), "target_doc_ids", "explicit_case", "query_intent", F.col("uploads").alias("has_user_upload_context"))
+
+
+def missing_cases(grounded: DataFrame, hits: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """(query, missing_case): named cases that no hit of their question is about."""
+    named = grounded.where("explicit_case is not null").select(query, F.coalesce("target_case", "explicit_case").alias("missing_case"))
+    there = hits.select(query, "case_name").join(named, query).where(names.names_match(names.case_key("case_name"), names.case_key("missing_case"))).select(query)
+    return named.join(there, query, "left_anti")

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
+# Marks of print noise, words that go on with a sentence, and rewrites that turn a statement round.
+NOISE = ["preliminary print", "reporter of decisions", "notice:", "page proof pending publication", "cite as:"]
+GOES_ON = ["and ", "or ", "but ", "because ", "if ", "when ", "while ", "then ", "than ", "so "]
+TURNS = [
+    (" do not ", " do "), (" does not ", " does "), (" did not ", " did "), (" cannot ", " can "), (" can not ", " can "), (" are ", " are not "),
+    (" is ", " is not "), (" was ", " was not "), (" were ", " were not "), (" has ", " has not "), (" have ", " have not "),
+]
+#: Sentences of an extractive answer are not more alike than this.
+ALIKE = 0.84
+
 
 def rate(n, d, digits: int = 6) -> Column:
     """n / d, and 0 where d is 0."""
@@ -39,3 +55,79 @@ def expectations(items: DataFrame, *, text: str, groups: Column, forbidden: Colu
 
 def by_category(checked: DataFrame, *, by: str) -> DataFrame:
     return checked.groupBy(by).agg(F.count("*").alias("items"), F.count_if("passed").alias("passed"), F.sum("missing").cast("long").alias("missing_groups"), F.sum("forbidden_hits").cast("long").alias("forbidden_hits"))
+
+
+def false_positive_rate(confused: DataFrame) -> DataFrame:
+    """The counts of ``confusion`` with fpr."""
+    return confused.withColumn("fpr", rate(F.col("fp"), F.col("fp") + F.col("tn")))
+
+
+def run_summary(cases: DataFrame, *, score: str = "score", passed: str = "passed", canonical: str = "canonical") -> DataFrame:
+    """One row for a run: cases, passes, hits of canonical answers, and least, mean and greatest score."""
+    return cases.agg(
+        F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(~F.col(passed)).alias("failed"), F.count_if(canonical).alias("canonical_hits"),
+        F.min(score).alias("score_min"), F.round(F.avg(score), 6).alias("score_avg"), F.max(score).alias("score_max"),
+    )
+
+
+def usable_sentence(x) -> Column:
+    """Sentences fit for a test answer: long enough, no print noise, a start of their own, mostly not capitals."""
+    s = F.col(x) if isinstance(x, str) else x
+    low = F.lower(s)
+    letters, capitals = F.length(F.regexp_replace(s, r"[^\p{L}]", "")), F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
+    noisy, led = F.lit(False), F.lit(False)
+    for mark in NOISE:
+        noisy = noisy | F.contains(low, F.lit(mark))
+    for word in GOES_ON:
+        led = led | F.startswith(low, F.lit(word))
+    return (F.length(s) >= 35) & ~noisy & ~led & ~s.rlike(r"^\p{Ll}") & (letters >= 20) & (capitals <= 0.55 * letters)
+
+
+def inverted(x) -> Column:
+    """A sentence that says the opposite: by the first rewrite that fits, else by a wrapper."""
+    s = F.col(x) if isinstance(x, str) else x
+    wrapped = F.concat(F.lit("It is not true that "), F.lower(F.regexp_replace(s, r"\.$", "")), F.lit("."))
+
+    def turned(padded: Column, before: str, after: str) -> Column:
+        at = F.instr(F.lower(padded), before)
+        return F.when(at > 0, F.concat(F.substring(padded, F.lit(1), at - 1), F.lit(after), F.substring(padded, at + len(before), F.length(padded))))
+
+    found = tx.let(F.concat(F.lit(" "), tx.strip(s), F.lit(" ")), lambda p: F.coalesce(*[turned(p, a, b) for a, b in TURNS]))
+    return tx.let(tx.collapse(found), lambda t: F.coalesce(tx.terminated(t), wrapped))
+
+
+def extractive_answers(hits: DataFrame, *, query: str, limit: int = 3) -> DataFrame:
+    """(query, answer, sentences): the best sentences of each question's hits that are not alike.
+
+    ``hits``: query, query_tokens, rank, text. Scores are columns; which of the
+    best are alike depends on the ones chosen, so that is a fold over each
+    question's sentences, which its hits bound.
+    """
+    from .. import lexicon
+
+    sentence = F.explode(F.transform(tx.sentences("text"), lambda t: tx.terminated(tx.collapse(t))))
+    rows = hits.select(query, "query_tokens", "rank", sentence.alias("sentence")).where(usable_sentence("sentence"))
+    tokens = tx.token_set("sentence", lexicon.EVIDENCE_STOPWORDS, 2)
+    low = F.lower("sentence")
+    cue = lambda c, points: F.when(c, points).otherwise(0.0)
+    has = lambda t: F.contains(low, F.lit(t))
+    score = (
+        10.0 * F.size(F.array_intersect(tokens, "query_tokens")) / F.greatest(F.size("query_tokens"), F.lit(1)) + F.greatest(F.lit(0.0), 3.0 - F.col("rank") * 0.35)
+        + cue(F.startswith(low, F.lit("held:")), 3.0) + cue(has("the court"), 1.5) + cue(has("first amendment") | has("tiktok"), 1.2) + cue(has("content neutral") | has("important government interest"), 1.0)
+    )
+    best = rows.where(F.size(tokens) > 0).groupBy(query).agg(F.array_sort(F.collect_set(F.struct((-score).alias("s"), "rank", "sentence"))).alias("c"))
+
+    @F.pandas_udf("array<string>")
+    def choose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            chosen = []
+            for sentences in p:
+                kept: list[str] = []
+                for one in sentences:
+                    if len(kept) < limit and all(SequenceMatcher(None, one.lower(), k.lower()).ratio() < ALIKE for k in kept):
+                        kept.append(one)
+                chosen.append(kept)
+            yield pd.Series(chosen)
+
+    picked = best.withColumn("sentences", choose(F.transform("c", lambda x: x["sentence"])))
+    return picked.select(query, F.array_join("sentences", " ").alias("answer"), "sentences")

@@ -73,11 +73,19 @@ def opinion_text_priority(spark, sf_dir):
     SELECT source, line, n FROM c JOIN t USING (source) WHERE n >= greatest(2, CAST(floor(pages / 50) AS BIGINT) + 1)""")
 def repeated_page_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    ends = docs.select("source", "doc_id", F.explode(F.array_distinct(F.array(F.element_at("lines", 1), F.element_at("lines", -1)))).alias("line")).where("length(line) between 1 and 80")
-    counted = ends.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n"))
-    total = docs.groupBy("source").agg(F.count_distinct("doc_id").alias("pages"))
-    # here a source stands for a document and each text for a page; a fiftieth of the pages is enough
-    return counted.join(total, "source").where("n >= greatest(2, cast(floor(pages / 50) as long) + 1)").select("source", "line", "n")
+    # here a source stands for a document and each text for a page; one page in fifty is enough
+    return ingest.repeated_lines(docs, doc="source", page="doc_id", lines="lines", one_in=50).select("source", "line", "n")
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, string_split(text, ' ') AS l FROM conversations WHERE text <> ''),
+        e AS (SELECT conv_id, turn, unnest(list_distinct([l[1], l[len(l)]])) AS line FROM p),
+        t AS (SELECT conv_id, count(DISTINCT turn) AS pages FROM p GROUP BY conv_id),
+        c AS (SELECT conv_id, line, count(DISTINCT turn) AS n FROM e WHERE length(line) BETWEEN 1 AND 80 GROUP BY conv_id, line)
+    SELECT conv_id, line, n FROM c JOIN t USING (conv_id) WHERE n >= greatest(2, CAST(floor(pages / 2) AS BIGINT) + 1)""")
+def repeated_lines_half(spark, sf_dir):
+    """Conversations as documents, turns as pages, words as lines: the rule of more than half of the pages."""
+    talk = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.split("text", " ").alias("lines"))
+    return ingest.repeated_lines(talk, doc="conv_id", page="turn", lines="lines")
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id, min(event_id) AS first_seen

@@ -47,16 +47,16 @@ def opinion_text(fields: dict[str, bool]) -> Column:
     return F.coalesce(*[F.nullif(tx.strip_html(c) if html else tx.strip(c), F.lit("")) for c, html in fields.items()])
 
 
-def repeated_lines(pages: DataFrame, *, doc: str, page: str, lines: str) -> DataFrame:
+def repeated_lines(pages: DataFrame, *, doc: str, page: str, lines: str, one_in: int = 2) -> DataFrame:
     """First and last lines of pages that stand on enough pages of their document.
 
-    Enough is more than half of the pages, two at least; longer lines than 80
-    characters don't count.
+    Enough is more than one page in ``one_in``, two pages at least; longer lines
+    than 80 characters don't count.
     """
     ends = pages.select(doc, page, F.explode(F.array_distinct(F.array(F.element_at(lines, 1), F.element_at(lines, -1)))).alias("line")).where("length(line) between 1 and 80")
     total = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages"))
     counted = ends.groupBy(doc, "line").agg(F.count_distinct(page).alias("n"))
-    return counted.join(total, doc).where("n >= greatest(2, cast(floor(pages / 2) as long) + 1)").select(doc, "line", "n")
+    return counted.join(total, doc).where(f"n >= greatest(2, cast(floor(pages / {one_in}) as long) + 1)").select(doc, "line", "n")
 
 
 def summary(chunks: DataFrame, file: str) -> DataFrame:
