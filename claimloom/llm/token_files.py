@@ -3,12 +3,14 @@
 A token set is a Parquet folder whose rows are binary blocks in document
 order; one block holds the ids of some thousand documents back to back:
 
-    magic "EFT1" | id width (2 or 4) | low bits l | documents n | ids u | ids
-    low part of the n end offsets, l bits each | high part as a unary bit set
+    magic "EFT2" | id width (2 or 4) | low bits l | documents n | ids u
+    select directory | low part of the n end offsets, l bits each
+    high part as a unary bit set | ids
 
 The end offset of document i is ``(select1(high, i) - i) << l | low[i]``; the
-two parts take 2 + log2(u / n) bits a document, no table of 64-bit offsets is
-kept. Blocks also carry their part number, their order in the part and the ids
+parts take 2 + log2(u / n) bits a document, and an eighth of a bit for the
+directory, which holds the place of every 256th set bit. No table of 64-bit
+offsets is kept or built: a reader takes 256 documents at a time. Blocks also carry their part number, their order in the part and the ids
 before them in that part, so a global offset is a sum of per-part totals (one
 row for each part) and a select.
 
@@ -26,24 +28,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import releasing
+
 END_ID = 0
 BLOCK_DOCS = 4096
 BLOCK_IDS = 4_000_000
 _HEAD = struct.Struct("<4sBBIQ")
-_MAGIC = b"EFT1"
+_MAGIC = b"EFT2"
+#: Documents for each entry of a select directory.
+SAMPLE = 256
 #: Entries of the memo of spellings to ids that a worker keeps.
 MEMO = 1_500_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers up to u, in near-minimal space."""
+    """A non-decreasing sequence of n integers up to u, in near-minimal space.
+
+    ``samples`` is the select directory: the place of every ``SAMPLE``-th set bit
+    of the high part. A look-up reads the bits between two samples alone.
+    """
 
-    def __init__(self, low_bits: int, n: int, low: bytes, high: bytes):
-        self.low_bits, self.n, self.low, self.high = low_bits, n, low, high
+    def __init__(self, low_bits: int, n: int, low: bytes, high: bytes, samples: np.ndarray):
+        self.low_bits, self.n, self.low, self.high, self.samples = low_bits, n, low, high, samples
 
     @staticmethod
     def encode(values: np.ndarray) -> EliasFano:
@@ -52,37 +63,42 @@ class EliasFano:
         bits = max(0, (top // n).bit_length() - 1) if n else 0
         values = values.astype(np.uint64)
         high = np.zeros((top >> bits) + n + 1, np.uint8)
-        high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
+        places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        high[places] = 1
         low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-        return EliasFano(bits, n, np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
-
-    def select(self) -> np.ndarray:
-        """All values: positions of the set bits give the high parts."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
+        return EliasFano(bits, n, np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4"))
+
+    def values(self, first: int, count: int) -> np.ndarray:
+        """Values first to first + count - 1: ``select1`` in the high part, then the low bits."""
+        if count <= 0:
+            return np.zeros(0, np.int64)
+        begin = int(self.samples[first // SAMPLE])
+        after = (first + count - 1) // SAMPLE + 1
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        window = np.frombuffer(self.high, np.uint8)[begin >> 3 : (stop + 7) >> 3]
+        ones = np.flatnonzero(np.unpackbits(window, bitorder="little")) + (begin >> 3 << 3)
+        ones = ones[np.searchsorted(ones, begin) + first % SAMPLE :][:count]
+        out = (ones - np.arange(first, first + count)) << self.low_bits
         if self.low_bits:
-            raw = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-            out |= raw.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            bit = first * self.low_bits
+            raw = np.unpackbits(np.frombuffer(self.low, np.uint8)[bit >> 3 : (bit + count * self.low_bits + 7) >> 3], bitorder="little")
+            out |= raw[bit & 7 :][: count * self.low_bits].reshape(count, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def select(self) -> np.ndarray:
+        """All values."""
+        return self.values(0, self.n)
+
     def at(self, i: int) -> int:
-        """One value: ``select1`` in the high part by bytes, then the low bits."""
-        per_byte = np.cumsum(np.bitwise_count(np.frombuffer(self.high, np.uint8)).astype(np.int64))
-        byte = int(np.searchsorted(per_byte, i + 1))
-        left = i - (int(per_byte[byte - 1]) if byte else 0)
-        inside = [b for b in range(8) if self.high[byte] >> b & 1][left]
-        low = 0
-        for b in range(self.low_bits):
-            bit = i * self.low_bits + b
-            low |= (self.low[bit >> 3] >> (bit & 7) & 1) << b
-        return ((byte * 8 + inside - i) << self.low_bits) | low
+        """One value."""
+        return int(self.values(i, 1)[0])
 
 
 def pack_block(ids: np.ndarray, ends: np.ndarray) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     ef = EliasFano.encode(ends)
     head = _HEAD.pack(_MAGIC, width, ef.low_bits, ef.n, len(ids))
-    return b"".join([head, ef.low, ef.high, ids.astype("<u2" if width == 2 else "<u4").tobytes()])
+    return b"".join([head, ef.samples.tobytes(), ef.low, ef.high, ids.astype("<u2" if width == 2 else "<u4").tobytes()])
 
 
 def unpack_block(block: bytes) -> tuple[np.ndarray, EliasFano]:
@@ -90,15 +106,17 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, EliasFano]:
     if magic != _MAGIC:
         raise ValueError("not a token block")
     at = _HEAD.size
+    samples = np.frombuffer(block, "<u4", -(-n // SAMPLE), at)
+    at += samples.nbytes
     low = block[at : (at := at + (n * bits + 7) // 8)]
     ids_at = len(block) - total * width
-    return np.frombuffer(block, "<u2" if width == 2 else "<u4", total, ids_at), EliasFano(bits, n, low, block[at:ids_at])
+    return np.frombuffer(block, "<u2" if width == 2 else "<u4", total, ids_at), EliasFano(bits, n, low, block[at:ids_at], samples)
 
 
 #: Marks that never share a token of the pre-tokenizer with a letter before them.
 _MARKS = ".,;:!?|&*#$%()[]"
 #: Letters on which all versions of the character tables agree.
-_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: White space beside a space: such texts are cut with care.
 _WIDE = re.compile(r" \s|\s |^ | $")
 
@@ -153,9 +171,6 @@ class Encoder:
     def _any_of(tokens: list) -> re.Pattern | None:
         return re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
 
-    def _holds_added(self, piece: str) -> bool:
-        return self._added is not None and self._added.search(piece) is not None
-
     def _forget(self) -> None:
         #: Piece number by spelling: of pieces as they are, and of those after a space.
         self._bare, self._led = _Numbers(self._take_bare), _Numbers(self._take_led)
@@ -164,6 +179,16 @@ class Encoder:
         self._start, self._length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
+    @staticmethod
+    def _wide(text: str) -> bool:
+        """Whether white space stands beside a space, or a space at an end."""
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return True
+        if "\n" not in text and text.isprintable():
+            return False
+        # all white space but the space is not printable; line feeds are the common case
+        return " \n" in text or "\n " in text or (not text.replace("\n", "").isprintable() and _WIDE.search(text) is not None)
+
     def _take_bare(self, piece: str) -> int:
         self._new.append(piece)
         return self._known + len(self._new) - 1
@@ -186,11 +211,20 @@ class Encoder:
             blank = not part or part[-1].isspace()
         return out
 
+    def _some(self, pieces: list[str]) -> tuple[bool, bool]:
+        """Whether any piece is empty or holds a line feed, and whether any may hold an added token."""
+        joined = "\n".join(pieces)
+        return joined.count("\n") >= len(pieces) or "\n\n" in joined or not (pieces[0] and pieces[-1]), self._added is not None and self._added.search(joined) is not None
+
     def _spell(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in some order, and where each piece's ids start and how many they are."""
-        alone = [not p or "\n" in p or self._holds_added(p) for p in pieces]
-        plain = [i for i, a in enumerate(alone) if not a]
-        odd = [i for i, a in enumerate(alone) if a]
+        odd: list[int] = []
+        plain: list[int] | range = range(len(pieces))
+        odd_ones, added = self._some(pieces) if pieces else (False, False)
+        if odd_ones or added:
+            alone = [not p or "\n" in p or (added and self._added.search(p) is not None) for p in pieces]
+            plain = [i for i, a in enumerate(alone) if not a]
+            odd = [i for i, a in enumerate(alone) if a]
         order, sizes, ids = [], [], []
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
@@ -210,10 +244,13 @@ class Encoder:
             order += part
             sizes.append(np.array([len(x) for x in got], np.int64))
             ids.append(np.array([y for x in got for y in x], np.uint32))
-        in_order = np.concatenate(sizes)
+        in_order = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         start, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         start[order], size[order] = np.cumsum(in_order) - in_order, in_order
-        return np.concatenate(ids), start, size
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), start, size
+
+    def _number(self, spelled: str) -> int:
+        return self._led[spelled[1:]] if spelled[0] == " " else self._bare[spelled]
 
     def _learn(self) -> None:
         """Spell out the pieces that were asked for since the last call.
@@ -221,49 +258,71 @@ class Encoder:
         Letters followed by marks are two tokens of the pre-tokenizer, so most
         pieces with punctuation need no encoding of their own.
         """
-        new, self._new = self._new, []
+        new = self._new
         if not new:
             return
-        parts: dict[str, int] = {}
-        number = parts.setdefault
-        head, tail = [], []
-        for piece in new:
-            core = piece.rstrip(_MARKS)
-            if len(core) < len(piece) and _LETTERS.fullmatch(core) and not self._holds_added(piece):
-                head.append(number(core, len(parts)))
-                tail.append(number(piece[len(core) :], len(parts)))
-            else:
-                head.append(number(piece, len(parts)))
-                tail.append(-1)
-        ids, start, size = self._spell(list(parts))
-        both = np.stack([np.array(head), np.array(tail)], 1)
-        lengths = size[both[:, 0]] + np.where(both[:, 1] >= 0, size[both[:, 1]], 0)
-        self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(lengths) - lengths])
-        self._length = np.concatenate([self._length, lengths])
-        self._ids = np.concatenate([self._ids, _gather(ids, start, size, both[both >= 0])])
+        added = self._some(new)[1]
+        asked = len(new)
+        spelled = pa.array(new, pa.large_string())
+        cores = pc.utf8_rtrim(spelled, characters=_MARKS)
+        split = pc.and_(pc.not_equal(cores, spelled), pc.match_substring_regex(cores, pattern=_LETTERS)).to_numpy(zero_copy_only=False)
+        if added:
+            split[:] = False
+        lone, both = np.flatnonzero(~split).tolist(), np.flatnonzero(split).tolist()
+        # may ask for more pieces
+        parts = [(self._number(core), self._number(new[i][len(core) :])) for i, core in zip(both, cores.take(pa.array(both, pa.int64())).to_pylist(), strict=True)]
+        lone += range(asked, len(new))
+        ids, start, size = self._spell([new[i] for i in lone])
+        self._start = np.concatenate([self._start, np.zeros(len(new), np.int64)])
+        self._length = np.concatenate([self._length, np.zeros(len(new), np.int64)])
+        own = np.array(lone, np.int64) + self._known
+        self._start[own], self._length[own] = len(self._ids) + start, size
+        self._ids = np.concatenate([self._ids, ids])
+        if both:
+            pairs = np.array(parts, np.int64)
+            joined = _gather(self._ids, self._start, self._length, pairs.ravel())
+            own = np.array(both, np.int64) + self._known
+            self._length[own] = self._length[pairs].sum(1)
+            self._start[own] = len(self._ids) + np.cumsum(self._length[own]) - self._length[own]
+            self._ids = np.concatenate([self._ids, joined])
         self._known += len(new)
+        self._new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts back to back, and the number of ids of each text."""
         if self._known > MEMO:
             self._forget()
         bare, led = self._bare.__getitem__, self._led.__getitem__
-        numbers: list[int] = []
-        sizes = np.empty(len(texts), np.int64)
+        numbers: list[np.ndarray | None] = [None] * len(texts)
+        plain: list[int] = []
         for i, text in enumerate(texts):
-            if self._apart is not None and self._apart.search(text):
-                first, rest = text, []
-            elif _WIDE.search(text):
-                first, *rest = self.pieces(text)
-                rest = [p[1:] for p in rest]
-            else:
-                first, *rest = text.split(" ")
-            sizes[i] = len(rest) + 1
-            numbers.append(bare(first))
-            numbers.extend(map(led, rest))
+            apart = self._apart is not None and self._apart.search(text) is not None
+            if not apart and not self._wide(text):
+                plain.append(i)
+                continue
+            first, *rest = [text] if apart else self.pieces(text)
+            numbers[i] = np.array([bare(first), *(led(p[1:]) for p in rest)], np.int64)
+        if plain:
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), pattern=" ")
+            offsets, words = split.offsets.to_numpy(), split.values
+            later = np.ones(len(words), bool)
+            later[offsets[:-1]] = False
+            # each distinct word of the step is looked up once
+            coded = words.filter(pa.array(later)).dictionary_encode()
+            own = np.empty(len(words), np.int64)
+            own[~later] = np.fromiter(map(bare, words.take(pa.array(offsets[:-1])).to_pylist()), np.int64, len(plain))
+            distinct = coded.dictionary.to_pylist()
+            fresh = [w for w in distinct if w not in self._led]
+            first = self._known + len(self._new)
+            self._led.update(zip(fresh, range(first, first + len(fresh))))
+            self._new += [f" {w}" for w in fresh]
+            own[later] = np.fromiter(map(led, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            for i, a, b in zip(plain, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                numbers[i] = own[a:b]
+        sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
         self._learn()
         at = np.cumsum(sizes) - sizes
-        piece = np.array(numbers, np.int64)
+        piece = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         ids = _gather(self._ids, self._start, self._length, piece)
         return ids, np.add.reduceat(self._length[piece], at) if len(texts) else np.zeros(0, np.int64)
 
@@ -296,6 +355,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, added: bool = Fals
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer_path, added)
@@ -331,7 +391,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, added: bool = Fals
             yield block()
 
     schema = "part int, block int, before long, n_ids long, doc_ids array<long>, payload binary"
-    ordered.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    ordered.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -346,17 +406,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         starts[r["part"]] = at
         at += r["n"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part, before, docs, payload = (batch.column(c)[i] for c in range(4))
                 ids, ef = unpack_block(payload.as_py())
-                ends = ef.select()
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b].data) for a, b in zip(begins, ends, strict=True)]
+                offset, begin, crc, sizes = starts[part.as_py()] + before.as_py(), 0, [], []
+                for at in range(0, ef.n, SAMPLE):
+                    for end in ef.values(at, min(SAMPLE, ef.n - at)).tolist():
+                        crc.append(zlib.crc32(ids[begin:end].astype("<u4").data))
+                        sizes.append(end - begin)
+                        begin = end
+                size = np.array(sizes, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(begins + (starts[part.as_py()] + before.as_py())), pa.array(ends - begins), pa.array(crc, pa.int64())],
+                    [docs.values, pa.array(np.cumsum(size) - size + offset), pa.array(size), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
