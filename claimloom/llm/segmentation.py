@@ -43,7 +43,7 @@ SAMPLES = 2
 #: Exponent of the piece probabilities; under 1 it flattens them.
 SMOOTHING = 0.4
 #: Characters of the texts that are sampled together, and of the words whose lattice is kept.
-STEP_CHARS = 100_000
+STEP_CHARS = 60_000
 VOCABULARY_CHARS = 500_000
 #: Words up to this length are summed without logarithms; a character's share of their scale.
 PLAIN_CHARS, SCALE = 48, 4.0
@@ -140,6 +140,7 @@ class Lattice:
 
     def __init__(self, pieces: Pieces):
         self._pieces = pieces
+        self._room: dict[str, np.ndarray] = {}
         self.spelled = False
         #: First node of each word, first arc of each node, nodes that are ends.
         self.first = np.zeros(0, np.int64)
@@ -148,6 +149,17 @@ class Lattice:
         #: Pieces, lengths and probabilities (given their node) of the arcs.
         self.piece, self.length, self.p = np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0)
 
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """Put values behind an array, which is a view of a buffer with room to spare."""
+        held = getattr(self, name)
+        to = len(held) + len(more)
+        room = self._room.get(name)
+        if room is None or to > len(room):
+            self._room[name] = room = np.empty(2 * to, held.dtype)
+            room[: len(held)] = held
+        room[len(held) : to] = more
+        setattr(self, name, room[:to])
+
     def add(self, words: list[str]) -> None:
         """Append the arcs of more words."""
         pieces = self._pieces
@@ -225,10 +237,8 @@ class Lattice:
         sure = sure[counts[np.searchsorted(arc_from, sure, side="right") - 1] > 1]
         p[sure] = 1 - 2**-53  # only a lone arc is certain
         nodes, arcs = len(self.is_end), len(self.p)
-        self.first = np.concatenate([self.first, first + nodes])
-        self.arc_from = np.concatenate([self.arc_from, arc_from[1:] + arcs])
-        self.is_end = np.concatenate([self.is_end, is_end])
-        self.piece, self.length, self.p = (np.concatenate(x) for x in ((self.piece, piece), (self.length, length), (self.p, p)))
+        for name, more in (("first", first + nodes), ("arc_from", arc_from[1:] + arcs), ("is_end", is_end), ("piece", piece), ("length", length), ("p", p)):
+            self._append(name, more)
 
     def _spelling(self, coded: np.ndarray) -> np.ndarray:
         """Log-probability of a character that is spelled in bytes."""
@@ -328,11 +338,12 @@ def _truncated(phi, bound, e):
 
 
 class _Path:
-    """One sample of all documents of a step: arcs, documents and places."""
+    """Arcs that one sample draws anew: those of the words from ``begin`` on of each document."""
 
-    def __init__(self, lattice: Lattice, word: np.ndarray, seed: np.ndarray, place: np.ndarray, doc_words: np.ndarray, sample: int):
+    def __init__(self, lattice: Lattice, word: np.ndarray, seed: np.ndarray, place: np.ndarray, doc_words: np.ndarray, sample: int, begin: np.ndarray):
         steps, arcs = [], []
-        live, node, key = np.arange(len(word)), lattice.first[word], _keyed(seed, sample, place)
+        live = np.flatnonzero(place >= np.repeat(begin, np.diff(doc_words))) if sample else np.arange(len(word))
+        node, key = lattice.first[word[live]], _keyed(seed[live], sample, place[live])
         t = 0
         while len(live):
             arc = lattice.draw(node, _uniform_of(key, t))
@@ -370,7 +381,10 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
     agenda: list[list] = [[(-root[d], 0, None, None, (), 0.0)] if counts[d] else [] for d in range(n)]
     out: list[list[list]] = [[] for _ in range(n)]
     for s in range(k):
-        fresh = _Path(lattice, word, of_word, place, doc_words, s)
+        popped = [heapq.heappop(held) if held else None for held in agenda]
+        # the words before a deviation, and its own, are settled already
+        begin = np.array([counts[d] if x is None else 0 if x[2] is None else x[2][1] + 1 for d, x in enumerate(popped)], np.int64)
+        fresh = _Path(lattice, word, of_word, place, doc_words, s, begin)
         log_c = lattice.log_c(fresh.arcs)
         run = np.concatenate([[0.0], np.cumsum(log_c)])
         rest = lattice.log_rest(fresh.arcs)
@@ -381,9 +395,9 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
         bound, shift, skip = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
         heads: list = [None] * n
         for d in range(n):
-            if not agenda[d]:
+            if popped[d] is None:
                 continue
-            priority, _, prefix, node, excluded, log_prefix = heapq.heappop(agenda[d])
+            priority, _, prefix, node, excluded, log_prefix = popped[d]
             bound[d] = -priority
             a = int(fresh.doc[d])
             if prefix is None:
