@@ -14,8 +14,12 @@ shingles meet the kept ones in a join whose small side is broadcast if it has
 at most ``BROADCAST_ROWS`` rows and shuffled otherwise, and what leaves a task
 are sums by document and item.
 
-Defined cases: a null text has no words; items and documents with fewer words
-than a shingle match nothing; of repeated items each is reported; rows that
+Items with fewer words than a shingle are one shingle, their whole sequence, as
+short as they are; for each such length that occurs documents are searched for
+their words in a row, as text.
+
+Defined cases: a null text has no words; items without words match nothing, and
+documents with fewer words than an item's shingle do not hold it; of repeated items each is reported; rows that
 share a doc_id are searched separately and reported once, with the larger
 share; rows without a doc_id are searched too.
 """
@@ -79,6 +83,19 @@ def contained(docs: DataFrame, items: DataFrame, *, size: int = SIZE, percent: i
 
     Columns: doc_id, mark (hash of the text), item_id, n_item, n_shared.
     """
+    short = items.select("item_id", words_of("text").alias("words")).where(F.size("words").between(1, size - 1))
+    lengths = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())  # fewer than a shingle has words
+    out = _contained(docs, items, size, percent)
+    for n in lengths:
+        wanted = short.where(F.size("words") == n).select("item_id", F.array_join("words", " ").alias("shingle"))
+        words = docs.select("doc_id", F.xxhash64("text").alias("mark"), words_of("text").alias("words")).where(F.size("words") >= n)
+        held = words.select("doc_id", "mark", F.explode(shingle_texts("words", n)).alias("shingle"))
+        hits = held.join(_small(wanted, wanted.count()), "shingle").distinct()
+        out = out.unionByName(hits.select("doc_id", "mark", "item_id", F.lit(1).cast("long").alias("n_item"), F.lit(1).cast("long").alias("n_shared")))
+    return out
+
+
+def _contained(docs: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text"))
     items = materialize(items, "items")

@@ -95,12 +95,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
         iw AS (
             SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM benchmark),
+        sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
         ds AS (
-            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, sizes)),
         it AS (
-            SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+            SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM iw WHERE len(w) > 0)),
         n AS (SELECT item_id, count(*) AS n_item FROM it GROUP BY item_id),
         m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN it USING (s) GROUP BY doc_id, item_id)
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
