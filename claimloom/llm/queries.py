@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, near_dup, pii, quality, segmentation, substring_dedup, token_files, topk
+from . import decontamination, langid, licenses, near_dup, periodic_runs, pii, quality, segmentation, substring_dedup, token_files, topk
 from .shared import held_out, new_path
 
 
@@ -64,6 +64,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """Documents with crc32(doc_id as text) divisible by 10 repeat a stretch of their words to the end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.when(h % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    split = split.withColumn("a", (F.col("g") % F.when(F.col("n") > 0, F.col("n"))).cast("int"))
+    split = split.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    loops = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    looped = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), loops), " ")
+    return split.select("doc_id", F.coalesce(looped, "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_looped(_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    longer = lambda a, b: b.length * a.period > a.length * b.period
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(longer(a, b), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return (
+        found.withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            "best.*",
+            F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_segmentations": op2_segmentations,
@@ -75,6 +107,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {

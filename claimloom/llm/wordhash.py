@@ -145,3 +145,41 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 6_000_000):
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+
+
+def take_words(w: Words, words: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Texts of chosen words joined by one space: text i gets ``words[first[i]:first[i + 1]]``."""
+    length = w.end[words] - w.start[words] + 1
+    ends = np.concatenate([[0], np.cumsum(length)])
+    raw = np.concatenate([w.data, np.zeros(1, np.uint8)])[np.arange(ends[-1]) - np.repeat(ends[:-1] - w.start[words], length)]
+    raw[ends[1:] - 1] = 0x20
+    last = first[1:][np.diff(first) > 0]  # no space after the last word of a text
+    keep = np.ones(len(raw), bool)
+    keep[ends[last] - 1] = False
+    full = np.diff(first) > 0
+    offsets = ends[first] - np.concatenate([[0], np.cumsum(full)])
+    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[keep])]).cast(pa.string())
+
+
+def exact_ids(w: Words) -> np.ndarray:
+    """Numbers of the words of a batch, equal if and only if their bytes are equal.
+
+    Words are grouped by hash and every word is compared, byte for byte, with
+    one word of its group; only if two words should clash are they told apart
+    by their bytes alone.
+    """
+    order = np.argsort(w.hashes)
+    ranked = w.hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    head = order[new][ids]
+    length = w.end - w.start
+    if (length == length[head]).all():
+        ends = np.cumsum(length)
+        step = np.arange(ends[-1] if len(ends) else 0)
+        if np.array_equal(w.data[step - np.repeat(ends - length - w.start, length)], w.data[step - np.repeat(ends - length - w.start[head], length)]):
+            return ids
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(w.text(i), len(seen)) for i in range(len(order))], np.int64)
