@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, near_dup, periodic_runs, pii, quality, segmentation, substring_dedup, token_files, topk
+from . import decontamination, filter_audit, imatch, langid, licenses, near_dup, periodic_runs, pii, quality, segmentation, substring_dedup, token_files, topk
 from .shared import held_out, new_path
 
 
@@ -96,6 +96,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return imatch.next_to_next(docs, imatch.lexicon(docs))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_segmentations": op2_segmentations,
@@ -108,6 +117,8 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +151,42 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
         FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
     """,
+    "op13_filter_audit": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        failed AS (
+            SELECT doc_id, part,
+                   CAST(len(w) < 200 AS INTEGER)
+                   + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+                   + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER)
+                   + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+                   + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask
+            FROM docs),
+        marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+            FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+        orders AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+            FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+        steps AS (
+            SELECT filter_order, step, bits[step] AS bit, coalesce(CAST(list_sum(bits[1:step - 1]) AS INTEGER), 0) AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        r AS (
+            SELECT part, filter_order, step, bit,
+                   coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+                   coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+                   coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost,
+                   coalesce(sum(bad) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+            FROM steps, m GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
