@@ -4,8 +4,8 @@ Five filters can be applied in 120 orders. A document is a mask of the filters
 it fails, and a table of 32 masks by 120 orders tells at which step of an order
 a document of that mask goes. One pass over the masks indexes the table in
 numpy and adds up removals by part, order, step and label with ``np.bincount``;
-each partition returns one array of counts for each part, and the arrays are
-summed in Spark. All figures follow from those sums and the counts of masks.
+each partition returns one array of counts for each part, and these partial
+arrays are summed in two steps. All figures follow from those sums and the counts of masks.
 
 Four filters look at one text alone. The last fails a text that is equal to the
 text of a smaller id anywhere in the table; equality is that of SHA-256. The
@@ -41,6 +41,9 @@ LABELS = 4
 #: Parts whose counts a task holds at once; beyond that it returns what it has and goes on.
 HELD_PARTS = 256
 
+#: Lanes in which the arrays of a part are summed first.
+MERGE_LANES = 64
+
 MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_UPPER_PERCENT = 3
@@ -92,6 +95,32 @@ def masks(docs: DataFrame, part: str = "lang") -> DataFrame:
     return judged.select("doc_id", "part", "mask").unionByName(rows.where(F.col("doc_id").isNull()).select("doc_id", "part", F.col("alone").alias("mask")))
 
 
+_COUNTS = "part string, removed array<long>, seen array<long>"
+
+
+class Held:
+    """Sums of arrays by part, of ``HELD_PARTS`` parts at most; with more of them, what is held leaves first."""
+
+    def __init__(self):
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, part: str, removed: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if part in self.sums:
+            mine = self.sums[part]
+            mine[0][:] += removed
+            mine[1][:] += seen
+            return
+        if len(self.sums) >= HELD_PARTS:
+            yield from self.rest()
+        self.sums[part] = (removed.astype(np.int64), seen.astype(np.int64))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.sums:
+            lists = [pa.array([x[i] for x in self.sums.values()], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(self.sums), pa.string()), *lists], names=["part", "removed", "seen"])
+        self.sums = {}
+
+
 def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     """One row for each part, order and step; ``labels`` has (doc_id, quality, toxic)."""
     table = first_failures()
@@ -99,16 +128,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     lanes = np.arange(len(ORDERS)) * (STEPS + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def filled() -> pa.RecordBatch:
-            names = list(held)
-            removed = [pa.array(held[x][0]) for x in names]
-            seen = [pa.array(held[x][1]) for x in names]
-            held.clear()
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (removed, seen)]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *lists], names=["part", "removed", "seen"])
-
+        held = Held()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 piece = batch.slice(at, 2048)
@@ -117,21 +137,24 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
                 step = table[mask]  # documents by orders
                 for k, name in enumerate(coded.dictionary.to_pylist()):
                     here = no == k
-                    if name not in held:
-                        if len(held) >= HELD_PARTS:
-                            yield filled()
-                        held[name] = (np.zeros(cells, np.int64), np.zeros(1 << STEPS, np.int64))
-                    removed, seen = held[name]
-                    removed += np.bincount(((lanes + step[here]) * LABELS + label[here, None]).ravel(), minlength=cells)
-                    seen += np.bincount(mask[here], minlength=1 << STEPS)
-        if held:
-            yield filled()
+                    removed = np.bincount(((lanes + step[here]) * LABELS + label[here, None]).ravel(), minlength=cells)
+                    yield from held.add(name, removed, np.bincount(mask[here], minlength=1 << STEPS))
+        yield from held.rest()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for batch in batches:
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                yield from held.add(name, *(batch.column(c)[i].values.to_numpy() for c in (1, 2)))
+        yield from held.rest()
 
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 2).otherwise(0)).alias("bad"))
     rows = masks(docs, part)
     named = rows.where(F.col("doc_id").isNotNull()).join(marks, "doc_id", "left").select("part", "mask", F.coalesce(F.col("good") + F.col("bad"), F.lit(0)).alias("label"))
     rows = named.unionByName(rows.where(F.col("doc_id").isNull()).select("part", "mask", F.lit(0).alias("label")))
-    partial = materialize(rows.mapInArrow(count, "part string, removed array<long>, seen array<long>"), "filter-counts")
+    # arrays of one part meet in two steps, so no task gets those of all tasks
+    partial = rows.mapInArrow(count, _COUNTS).repartition("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_LANES))).mapInArrow(merge, _COUNTS)
+    partial = materialize(partial.repartition("part").mapInArrow(merge, _COUNTS), "filter-counts")
 
     def summed(column: str) -> DataFrame:
         cell = partial.select("part", F.posexplode(column).alias("at", "n")).where("n > 0")

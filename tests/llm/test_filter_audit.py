@@ -87,3 +87,18 @@ def test_many_parts_and_clashing_columns(spark, monkeypatch):
     assert sorted(map(tuple, filter_audit.audit(docs, marks).collect())) == _brute(rows, labels)
     assert filter_audit.audit(docs.limit(0), marks).count() == 0
     assert filter_audit.audit(docs, marks.limit(0)).where("good_lost + toxic_lost > 0").count() == 0
+
+
+def test_held_sums_leave_when_there_are_many_parts(monkeypatch):
+    monkeypatch.setattr(filter_audit, "HELD_PARTS", 2)
+    held, out = filter_audit.Held(), []
+    for part in "abacabb":
+        out += held.add(part, np.array([1, 2]), np.array([3]))
+    out += held.rest()
+    total = Counter()
+    for batch in out:
+        assert batch.num_rows <= 2
+        for row in batch.to_pylist():
+            assert row["removed"] == [row["seen"][0] // 3, 2 * row["seen"][0] // 3]
+            total[row["part"]] += row["removed"][0]
+    assert total == {"a": 3, "b": 3, "c": 1}
