@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as tx
-from .retrieval import sized
+from ..storage import written
+from . import containment
 
 # Patterns of reporters, of code sections, of case names, and of signal words.
 CASE_CITATION = r"(?i)\b(\d+)\s+(U\.?\s*S\.?|S\.?\s*Ct\.?|F\.?\s*3d|F\.?\s*2d|F\.?\s*Supp\.?\s*\d*)\s+(\d+)\b"
@@ -102,13 +103,13 @@ def score_label(score: Column, high: Column, middle: Column) -> Column:
 def candidates(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(citation_key, chunk_id): chunks cited by that key, or whose text holds it.
 
-    Distinct keys meet the chunks; their number is looked up before one side is
-    broadcast.
+    Each chunk's text is read once, whatever the number of keys.
     """
-    keys = asked.where("citation_key <> ''").select("citation_key").distinct()
-    texts = chunks.select("chunk_id", key("citation").alias("own_key"), key("text").alias("text_key"))
-    met = (F.col("own_key") == F.col("citation_key")) | F.contains("text_key", "citation_key")
-    return texts.join(sized(keys, keys.count()), met).select("citation_key", "chunk_id")
+    keys = written(asked.where("citation_key <> ''").select("citation_key").distinct(), "citation-keys")
+    texts = chunks.select("chunk_id", key("citation").alias("citation_key"), key("text").alias("text"))
+    own = texts.join(keys, "citation_key").select("citation_key", "chunk_id")
+    held = containment.contained(texts.select(F.col("chunk_id").alias("text_id"), "text"), keys.select(F.col("citation_key").alias("key")))
+    return own.unionByName(held.select(F.col("key").alias("citation_key"), F.col("text_id").alias("chunk_id"))).distinct()
 
 
 def verify(claims: DataFrame, chunks: DataFrame, *, score: Callable[[str, str], Column] = token_cosine) -> DataFrame:

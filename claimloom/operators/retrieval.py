@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..functions import tokens as tk
 from ..storage import written
+from . import containment
 
 
 #: Vectors of one block, and what rounding to six digits can join.
@@ -25,10 +27,24 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= config.BROADCAST_ROWS else df
 
 
+def term_counts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, term, tf, dl) of each chunk's terms, and a row without a term for each chunk; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches, 1024):
+            names, term, chunk, tf, length = tk.counted(batch.column(1))
+            n = batch.num_rows
+            keys = pa.concat_arrays([batch.column(0).take(pa.array(chunk)), batch.column(0)])
+            terms = pa.concat_arrays([names.cast(pa.string()).take(pa.array(term)), pa.nulls(n, pa.string())])
+            yield pa.RecordBatch.from_arrays([keys, terms, pa.array(np.concatenate([tf, np.zeros(n, np.int64)])), pa.array(np.concatenate([length[chunk], length]).astype(np.int64))], names=[key, "term", "tf", "dl"])
+
+    kind = chunks.select(key).schema[0].dataType.simpleString()
+    return chunks.select(key, "text").mapInArrow(run, f"`{key}` {kind}, term string, tf long, dl long")
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, term, tf, dl): term counts and the length of each chunk in tokens."""
-    tokens = chunks.select(key, tx.search_tokens("text").alias("t"))
-    return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return term_counts(chunks, key).where("term IS NOT NULL")
 
 
 def chunk_terms(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -60,12 +76,13 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, *, k: int = config.SPARSE_K
     asked = queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
     n_asked, n_terms = asked.count(), terms.count()
-    tokens = written(chunks.select(key, tx.search_tokens("text").alias("t")).withColumn("dl", F.size("t")), "tokens")
-    total = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # reads one number a chunk
+    # the row without a term stays too: it counts the chunk and its length
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "wanted")
+    counts = term_counts(chunks, key)
+    counts = written(counts.join(sized(wanted, n_terms), F.col("term").eqNullSafe(F.col("wanted")), "left_semi"), "counts")
+    total = counts.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(total["n"]), float(total["avgdl"] or 0.0) or 1.0
-    hits = tokens.select(key, "dl", F.explode("t").alias("term")).join(sized(terms, n_terms), "term", "left_semi")
-    posted = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    posted = written(posted, "postings")
+    posted = counts.where("term IS NOT NULL")
     idf = term_stats(posted, n).select("term", "idf")
     k1, b = F.lit(config.BM25_K1), F.lit(config.BM25_B)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
@@ -85,21 +102,26 @@ def dot(a: str, b: str) -> Column:
 def _best_of_block(width: int, k: int):
     """For each block (vectors of kind 0, then packs of queries of kind 1) the k best by a matrix product."""
 
+    def cell(column: pa.ListArray, i: int) -> np.ndarray:
+        lo, hi = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+        return column.values.to_numpy()[lo:hi]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, rows, vectors = None, [], [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] != block:
-                    block, ids, rows, vectors = r["block"], [], [], None
-                if not r["kind"]:
-                    ids += r["ids"]
-                    rows.append(np.array(r["values"], np.float64).reshape(-1, width))
+            of, kind, names, values = (batch.column(c) for c in ("block", "kind", "ids", "values"))
+            for i in range(batch.num_rows):
+                if of[i].as_py() != block:
+                    block, ids, rows, vectors = of[i].as_py(), [], [], None
+                asked, matrix = cell(names, i), cell(values, i).reshape(-1, width)
+                if not kind[i].as_py():
+                    ids.append(asked)
+                    rows.append(matrix)
                     continue
                 if vectors is None:
                     vectors = np.concatenate(rows) if rows else np.zeros((0, width))
-                    own = np.array(ids, np.int64)
-                asked = np.array(r["ids"], np.int64)
-                score = np.array(r["values"], np.float64).reshape(-1, width) @ vectors.T
+                    own = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                score = matrix @ vectors.T
                 score[asked[:, None] == own] = -np.inf
                 # one decimal more than the rounding of scores can join: all that may tie stay
                 bar = np.partition(score, -k, axis=1)[:, -k] - TIE if score.shape[1] > k else np.full(len(asked), -1e300)
@@ -112,6 +134,8 @@ def _best_of_block(width: int, k: int):
 def dense_topk(vectors: DataFrame, queries: DataFrame, *, k: int = config.DENSE_K, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank) by exact cosine, for a stated query set.
 
+    Vectors that are shorter than the widest count as if filled up with zeros;
+    those that are null, empty or hold a null or no finite number take no part.
     Vectors are dealt to blocks of ``DENSE_BLOCK``; queries are packed, and each
     pack meets each block as one matrix product. What leaves a block are its best
     ``k`` of each query and what ties with the last of them after rounding.
@@ -120,7 +144,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, k: int = config.DENSE_
     width, blocks = max(int(count["width"] or 1), 1), max(1, -(-int(count["n"]) // DENSE_BLOCK))
 
     def packs(rows: DataFrame, by: Column, size: int) -> DataFrame:
-        unit = rows.where(F.size("embedding") == width).select("vec_id", normalized("embedding").alias("u"), by.cast("int").alias("block"))
+        sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+        filled = F.concat(normalized("embedding"), F.array_repeat(F.lit(0.0), width - F.size("embedding")))
+        unit = rows.where((F.size("embedding") > 0) & sound).select(F.col("vec_id").cast("long").alias("vec_id"), filled.alias("u"), by.cast("int").alias("block"))
         lot = unit.withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-DENSE_BLOCK // size)))))
         packed = lot.groupBy("block", "lot").agg(F.collect_list(F.struct("vec_id", "u")).alias("p"))  # ``size`` rows on average
         return packed.select("block", F.transform("p", lambda x: x["vec_id"]).alias("ids"), F.flatten(F.transform("p", lambda x: x["u"])).alias("values"))
@@ -178,11 +204,18 @@ def hybrid(sparse: Callable[[], DataFrame], dense: Callable[[], DataFrame]) -> t
 def target_chunks(chunks: DataFrame, targets: DataFrame, *, limit: int = config.TARGET_METADATA_LIMIT) -> DataFrame:
     """Chunks whose name key holds, or is held by, a target's; in document order, limited.
 
-    Distinct names are matched, not chunks, so the theta join is over names.
+    Distinct names meet distinct targets through ``containment.contained``, in
+    both directions.
     """
     keyed = chunks.withColumn("name_key", tx.compact("case_name"))
-    names = keyed.select("name_key").where("name_key <> ''").distinct()
-    asked = targets.select("query_id", tx.compact("target").alias("target_key")).where("target_key <> ''")
-    # targets are one row a query of this batch; their number is looked up
-    pairs = names.join(sized(asked, asked.count()), F.contains("name_key", "target_key") | F.contains("target_key", "name_key"))
+    names = written(keyed.select("name_key").where("name_key <> ''").distinct(), "names")
+    asked = written(targets.select("query_id", tx.compact("target").alias("target_key")).where("target_key <> ''"), "targets")
+    wanted = asked.select("target_key").distinct()
+
+    def within(texts: DataFrame, keys: DataFrame) -> DataFrame:
+        of, by = texts.columns[0], keys.columns[0]
+        found = containment.contained(texts.select(F.col(of).alias("text_id"), F.col(of).alias("text")), keys.select(F.col(by).alias("key")))
+        return found.select(F.col("text_id").alias(of), F.col("key").alias(by))
+
+    pairs = within(names, wanted).unionByName(within(wanted, names)).distinct().join(asked, "target_key")
     return top_k(keyed.join(pairs, "name_key"), "query_id", limit, F.asc("doc_id"), F.asc("chunk_index"), F.asc("chunk_id"))

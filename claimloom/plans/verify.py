@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import answers, chunking, claims, retrieval, verification
+from ..sources import segments
 from ..storage import written
 
 
-def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_LIMIT, scorer: Callable | None = None) -> DataFrame:
+def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_LIMIT, scorer: Callable | None = None, index: str | None = None) -> DataFrame:
     """Verdict of every claim (claim_id, text) against (doc_id, text, court_level, doc_type).
 
-    Evidence is bounded by ``k`` chunks a claim, so what meets the pair scorer
+    With ``index`` (a folder of ``sources.segments`` over the word windows of these documents)
+    nothing but the asked postings is read to find evidence. Evidence is bounded by ``k`` chunks a claim, so what meets the pair scorer
     grows with the claims and not with the documents.
     """
-    chunks = written(chunking.word_windows(docs.select("doc_id", "text")), "chunks")
-    hits = written(retrieval.bm25_topk(chunks, asked.select("claim_id", "text"), k=k, query="claim_id"), "hits")
+    said = asked.select("claim_id", "text")
+    if index:
+        chunks, hits = segments.live_chunks(docs.sparkSession, index), segments.search(said, index, k=k, query="claim_id")
+    else:
+        chunks = written(chunking.word_windows(docs.select("doc_id", "text")), "chunks")
+        hits = retrieval.bm25_topk(chunks, said, k=k, query="claim_id")
+    hits = written(hits, "hits")
     meta = docs.select("doc_id", "court_level", "doc_type")
     premise = chunks.select("chunk_id", "doc_id", F.col("text").alias("premise"))
     pairs = hits.join(premise, "chunk_id").join(meta, "doc_id").join(asked.select("claim_id", F.col("text").alias("hypothesis")), "claim_id")
@@ -36,9 +43,9 @@ def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_L
     )
 
 
-def review_answers(docs: DataFrame, texts: DataFrame, *, scorer: Callable | None = None) -> DataFrame:
+def review_answers(docs: DataFrame, texts: DataFrame, *, scorer: Callable | None = None, index: str | None = None) -> DataFrame:
     """Answers (answer_id, text) decomposed, verified and summed up: one row each."""
     found = claims.decomposed(texts.select(F.col("answer_id").alias("doc_id"), "text")).withColumn("reason", claims.skip_reason(F.col("text"))).where("reason is null")
-    judged = verify_claims(docs, found.select(F.concat_ws("/", "doc_id", "claim_id").alias("claim_id"), "text"), scorer=scorer)
+    judged = verify_claims(docs, found.select(F.concat_ws("/", "doc_id", "claim_id").alias("claim_id"), "text"), scorer=scorer, index=index)
     judged = judged.withColumn("answer_id", F.substring_index("claim_id", "/", 1))
     return texts.select(F.col("answer_id").cast("string").alias("answer_id")).join(answers.support_summary(judged, by="answer_id"), "answer_id", "left")

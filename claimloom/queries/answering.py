@@ -160,7 +160,7 @@ def confusion_metrics(spark, sf_dir):
         round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 / first END), 6) AS mrr FROM f""")
 def hit_at_k(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("probe"))
-    hits = searching.bm25(spark, sf_dir).join(searching.chunks_of(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    hits = searching.bm25(spark, sf_dir).join(searching.indexed_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
     return metrics.hits(asked.select("query_id"), hits.withColumn("hit", F.contains("text", "probe")), query="query_id", cuts=(5, 20))
 
 

@@ -158,7 +158,7 @@ def polarity_inverted(spark, sf_dir):
 @query()
 def extractive_answers(spark, sf_dir):
     """The benchmark's items as questions, answered from their best chunks."""
-    hits = searching.bm25(spark, sf_dir, k=config.MERGED_LIMIT).join(searching.chunks_of(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(evidence._question_tokens(spark, sf_dir), "query_id")
+    hits = searching.bm25(spark, sf_dir, k=config.MERGED_LIMIT).join(searching.indexed_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(evidence._question_tokens(spark, sf_dir), "query_id")
     return metrics.extractive_answers(hits, query="query_id").select("query_id", "answer")
 
 

@@ -97,7 +97,7 @@ NAMED_ALL = NAMED.replace("substr(c.text, 1, 400)", "c.text")
 def _named_hits(spark, sf_dir, names=None):
     """Hits with the tokens of ``names``; without it, of the first 400 characters of the chunk."""
     hits = searching.bm25(spark, sf_dir)
-    text = searching.chunks_of(spark, sf_dir).select("chunk_id", "doc_id", tx.token_set(F.substring("text", 1, 400) if names is None else names, EV, 2).alias("name_tokens"))
+    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", tx.token_set(F.substring("text", 1, 400) if names is None else names, EV, 2).alias("name_tokens"))
     return hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir), "query_id")
 
 
@@ -164,7 +164,7 @@ _LEAD = f"(regexp_matches(sentence, '{_pattern('HOLDING_LEAD')}') OR regexp_matc
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, sent, chunk_id) AS rank, chunk_id, sha1(sentence) AS digest, score FROM d QUALIFY rank <= 3""")
 def evidence_sentences_topk(spark, sf_dir):
     hits = searching.bm25(spark, sf_dir, k=8).drop("rank")
-    text = searching.chunks_of(spark, sf_dir).select("chunk_id", "chunk_index", "text")
+    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "chunk_index", "text")
     rows = hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir).withColumnRenamed("query_tokens", "tokens"), "query_id").withColumn("named", F.lit(False))
     return evidence.best_sentences(rows, query="query_id").select("query_id", "rank", "chunk_id", F.sha1("sentence").alias("digest"), "score")
 
@@ -190,7 +190,7 @@ def verification_scope(spark, sf_dir):
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS place, chunk_id, score FROM p QUALIFY place <= 6""")
 def topic_fallback(spark, sf_dir):
     hits = searching.bm25(spark, sf_dir)
-    text = searching.chunks_of(spark, sf_dir).select("chunk_id", "text")
+    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "text")
     return evidence.topic_fallback(hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir).withColumnRenamed("query_tokens", "tokens"), "query_id"), query="query_id")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..plans import verify
-from . import query, table
+from . import query, searching, table
 from .verification import LEVELS
 
 
@@ -15,11 +15,11 @@ def sources(spark, sf_dir):
 @query()
 def verify_claims(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
-    return verify.verify_claims(sources(spark, sf_dir), asked).drop("text")
+    return verify.verify_claims(sources(spark, sf_dir), asked, index=searching.index_of(spark, sf_dir)).drop("text")
 
 
 @query()
 def review_answers(spark, sf_dir):
     """The benchmark texts taken as answers, each split into its claims."""
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
-    return verify.review_answers(sources(spark, sf_dir), texts)
+    return verify.review_answers(sources(spark, sf_dir), texts, index=searching.index_of(spark, sf_dir))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import chunking, retrieval
-from ..storage import written
+from ..sources import segments
+from ..storage import new_folder
 from . import query, table
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -34,8 +35,26 @@ def asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_of(spark, sf_dir):
+    """Folder of the index over the word windows of all documents: built once for a session and a set of files."""
+    files = (spark.sparkContext.applicationId, *sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles()))
+    if files not in _INDEXES:
+        path = new_folder(spark, "index")
+        segments.build(chunks_of(spark, sf_dir), path)
+        _INDEXES[files] = path
+    return _INDEXES[files]
+
+
+def indexed_chunks(spark, sf_dir):
+    """The same rows as ``chunks_of``, read from the index."""
+    return segments.live_chunks(spark, index_of(spark, sf_dir))
+
+
 def bm25(spark, sf_dir, k=config.SPARSE_K):
-    return retrieval.bm25_topk(chunks_of(spark, sf_dir), asked(spark, sf_dir), k=k)
+    return segments.search(asked(spark, sf_dir), index_of(spark, sf_dir), k=k)
 
 
 def dense(spark, sf_dir, k=config.DENSE_K):
@@ -45,8 +64,10 @@ def dense(spark, sf_dir, k=config.DENSE_K):
 
 @query(f"WITH {CHUNKS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark, sf_dir):
-    chunks = written(chunks_of(spark, sf_dir), "chunks")
-    return retrieval.term_stats(retrieval.chunk_terms(chunks), chunks.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    path = index_of(spark, sf_dir)
+    n, _ = segments.statistics(spark, path)
+    df = F.col("df")
+    return segments.document_frequencies(spark, path).select("term", "df", F.round(F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)), 6).alias("idf"))
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, CAST(len(t) AS BIGINT) AS dl, round(len(t) / avgdl, 6) AS relative FROM tok, st")
@@ -57,7 +78,26 @@ def doc_stats(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM bm")
 def bm25_topk(spark, sf_dir):
-    return bm25(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
+    """Without an index: the chunks are read for these questions alone."""
+    return retrieval.bm25_topk(chunks_of(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM bm")
+def bm25_indexed(spark, sf_dir):
+    return bm25(spark, sf_dir)
+
+
+@query("WITH " + BM25.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))", 1) + " SELECT query_id, chunk_id, score, rank FROM bm")
+def bm25_after_changes(spark, sf_dir):
+    """An index of three segments: English and French documents, the others and again the French ones, and toxic ones taken out."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))
+    path = new_folder(spark, "changed-index")
+    segments.build(chunking.word_windows(docs.where(first)), path)
+    segments.add(chunking.word_windows(docs.where(~first | F.coalesce(F.col("lang") == "fr", F.lit(False)))), path)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    segments.delete(segments.live_chunks(spark, path).join(toxic, "doc_id", "left_semi").select("chunk_id"), path)
+    return segments.search(asked(spark, sf_dir), path)
 
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dt")
@@ -93,7 +133,7 @@ def rrf_fusion(spark, sf_dir):
     FROM fr LEFT JOIN chunks USING (chunk_id) LEFT JOIN documents d USING (doc_id)""".replace("sha1(text)", "sha1(chunks.text)"))
 def hybrid_projection(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    text = chunks_of(spark, sf_dir).select("chunk_id", "doc_id", F.sha1("text").alias("digest"))
+    text = indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.sha1("text").alias("digest"))
     return (
         fused(spark, sf_dir).join(text, "chunk_id", "left").join(docs, "doc_id", "left")
         .select("query_id", F.col("chunk_id").alias("id"), F.col("rrf").alias("rrf_score"), F.coalesce("digest", F.lit("N/A")).alias("digest"), F.coalesce("source", F.lit("API Corpus")).alias("source"), F.lit("N/A").alias("citation"))

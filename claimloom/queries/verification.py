@@ -60,7 +60,7 @@ AGGREGATED = f"""{PAIRS},
 def evidence_pairs(spark, sf_dir):
     """Claims of the benchmark with their eight best chunks, weights and tiers."""
     hits = searching.bm25(spark, sf_dir, k=config.MERGED_LIMIT)
-    chunks = searching.chunks_of(spark, sf_dir).select("chunk_id", "doc_id", F.col("text").alias("premise"))
+    chunks = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.col("text").alias("premise"))
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("hypothesis"))
     level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("doc_id") % 7 + 1).cast("int"))
     rows = hits.join(chunks, "chunk_id").join(claims, "query_id").withColumns({"idx": F.col("rank") - 1, "doc_type": F.lit("case"), "level": level})

@@ -17,12 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="claimloom-"))
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="claimloom-")
+    return _OWN[app]
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/claimloom/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table, written once and read back: later steps don't compute it again."""
-    path = f"{shared_folder(df.sparkSession)}/claimloom/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
