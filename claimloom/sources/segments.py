@@ -36,21 +36,24 @@ from ..operators.retrieval import sized, top_k
 from ..storage import written
 from . import versions
 
-#: Chunks whose postings of a term make one block, and folders that terms are dealt to.
-BLOCK, BUCKETS = 256, 64
-#: Blocks of one bucket that a task writes.
-LANE_BLOCKS = 4_000_000
+#: Chunks whose postings of a term make one block.
+BLOCK = 256
+#: Folders that terms are dealt to: one for so many chunks, within limits.
+CHUNKS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4096, 8, 512
+#: Chunks of which one task writes the blocks of a bucket.
+LANE_CHUNKS = 100_000_000
 #: Blocks of chunks that are scored first for each query, to know what the others must reach.
 FIRST = 2
 #: Scores are compared after rounding to six digits.
 TIE = 2e-6
 
-POSTINGS = "shard long, term string, n int, tokens long, max_tf int, min_dl int, ids array<string>, tfs array<int>, dls array<int>"
+POSTINGS = "shard long, term string, n int, tokens long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, ids array<string>"
+GONE = "chunk_id string, of int, shard long, place int"
 _FOLDERS = "segment int, bucket int"
 
 
-def bucket_of(term) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _blocks(block: int):
@@ -67,14 +70,15 @@ def _blocks(block: int):
             first = np.flatnonzero(np.diff(term, prepend=-1))
             count = np.diff(np.append(first, len(term)))
             dl = length[doc]
-            lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), flat).cast(pa.list_(kind))
+            cuts = np.append(first, len(term)).astype(np.int32)
+            lists = lambda flat: pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.astype(np.int32))).cast(pa.list_(pa.int32()))
             spelled = pa.concat_arrays([names.cast(pa.string()).take(pa.array(term[first[:-1]])), pa.nulls(1, pa.string())])
+            listed = pa.concat_arrays([pa.nulls(len(first) - 1, pa.list_(pa.string())), pa.array([ids.to_pylist()], pa.list_(pa.string()))])
             columns = [
                 pa.array(np.full(len(first), (task << 32) + no)), spelled, pa.array(count.astype(np.int32)), pa.array(np.add.reduceat(dl, first).astype(np.int64)),
-                pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(dl, first).astype(np.int32)),
-                lists(ids.take(pa.array(doc)), pa.string()), lists(pa.array(tf.astype(np.int32)), pa.int32()), lists(pa.array(dl.astype(np.int32)), pa.int32()),
+                pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(dl, first).astype(np.int32)), lists(doc), lists(tf), lists(dl), listed,
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "tokens", "max_tf", "min_dl", "ids", "tfs", "dls"])
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "tokens", "max_tf", "min_dl", "places", "tfs", "dls", "ids"])
 
     return run
 
@@ -97,8 +101,8 @@ def _stored(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 
 
 def _gone(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
-    """(chunk_id, since): chunks of segments before ``since`` are deleted."""
-    return _read(spark, path, "gone", "chunk_id string", segments).groupBy("chunk_id").agg(F.max("segment").alias("since"))
+    """(chunk_id, segment, shard, place) of the chunks that were deleted."""
+    return _read(spark, path, "gone", GONE, segments).select("chunk_id", F.col("of").alias("segment"), "shard", "place")
 
 
 def live_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -109,17 +113,18 @@ def live_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def _live(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
     stored = _stored(spark, path, manifest)
-    dead = stored.join(_gone(spark, path, manifest["segments"]), "chunk_id").where("segment < since").select("chunk_id", "segment")
-    return stored.join(dead, ["chunk_id", "segment"], "left_anti")
+    if not any(x["gone"] for x in manifest["segments"]):
+        return stored
+    return stored.join(_gone(spark, path, manifest["segments"]).select("chunk_id", "segment"), ["chunk_id", "segment"], "left_anti")
 
 
 def _change(spark: SparkSession, path: str, chunks: DataFrame | None, gone: DataFrame | None, *, fresh: bool = False, block: int = BLOCK) -> dict:
     """Write one segment and commit it; ``fresh``: it replaces all segments."""
     old = versions.latest(spark, path)
-    known = old or {"segments": [], "chunk_schema": None, "block": block}
+    known = old or {"segments": [], "chunk_schema": None, "block": block, "buckets": None}
     no = versions.claim_number(spark, f"{path}/_segments")
-    entry = {"id": no, "postings": False, "chunks": False, "gone": False, "n": 0, "tokens": 0}
-    schema = known["chunk_schema"]
+    entry = {"id": no, "postings": False, "chunks": False, "gone": False, "n": 0, "tokens": 0, "shards": 0}
+    schema, buckets = known["chunk_schema"], None if fresh else known["buckets"]
     if chunks is not None:
         schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
         chunks.write.parquet(f"{path}/chunks/segment={no}")
@@ -130,28 +135,30 @@ def _change(spark: SparkSession, path: str, chunks: DataFrame | None, gone: Data
             raise ValueError("chunk ids must be given and unique")
         entry["chunks"] = bool(shape["n"])
     if entry["chunks"]:
-        lanes = max(1, shape["n"] // LANE_BLOCKS)
+        buckets = buckets or min(max(shape["n"] // CHUNKS_A_BUCKET, LEAST_BUCKETS), MOST_BUCKETS)
+        lanes = 1 + shape["n"] // LANE_CHUNKS
         blocks = own.select("chunk_id", "text").mapInArrow(_blocks(known["block"]), POSTINGS)
-        dealt = blocks.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of("term")))
+        dealt = blocks.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of("term", buckets)))
         dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(lanes))).sortWithinPartitions("bucket", "term", "shard")
         dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/segment={no}")
         entry["postings"] = True
-        total = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings/segment={no}").where("bucket = -1").agg(F.sum("n"), F.sum("tokens")).first()
-        entry |= {"n": int(total[0]), "tokens": int(total[1])}
+        total = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings/segment={no}").where("bucket = -1").agg(F.sum("n"), F.sum("tokens"), F.count("*")).first()
+        entry |= {"n": int(total[0]), "tokens": int(total[1]), "shards": int(total[2])}
     if old and not fresh:
         again = [x.select("chunk_id") for x in (gone, own if entry["chunks"] else None) if x is not None]
         ids = again[0] if len(again) == 1 else again[0].unionByName(again[1])
-        dead = written(_live(spark, path, old).select("chunk_id", "text").join(ids.distinct(), "chunk_id", "left_semi"), "dead")
-        # counts of the terms of deleted chunks, below zero, under the same folders
-        lost = dead.mapInArrow(_blocks(known["block"]), POSTINGS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-        total = lost.where("term IS NULL").agg(F.sum("n"), F.sum("tokens")).first()
-        if total[0]:
-            dead.select("chunk_id").write.parquet(f"{path}/gone/segment={no}")
-            minus = lost.where("term IS NOT NULL").select("term", (-F.col("n")).cast("int").alias("n"), bucket_of("term").alias("bucket"))
+        dead = written(_live(spark, path, old).select("chunk_id", "text", "segment").join(ids.distinct(), "chunk_id", "left_semi"), "dead")
+        # counts of the terms of deleted chunks, below zero, under folders of the same terms
+        lost = written(dead.select("chunk_id", "text").mapInArrow(_blocks(known["block"]), POSTINGS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "lost")
+        total = lost.where("term IS NULL").select("n", "tokens").first()
+        if total:
+            lists = _postings(spark, path, old["segments"]).where("bucket = -1").select("segment", "shard", F.posexplode("ids").alias("place", "chunk_id"))
+            lists.join(dead.select("chunk_id", "segment"), ["chunk_id", "segment"]).select("chunk_id", F.col("segment").alias("of"), "shard", "place").write.parquet(f"{path}/gone/segment={no}")
+            minus = lost.where("term IS NOT NULL").select("term", (-F.col("n")).cast("int").alias("n"), bucket_of("term", buckets).alias("bucket"))
             minus.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/lost/segment={no}")
             entry |= {"gone": True, "n": entry["n"] - int(total[0]), "tokens": entry["tokens"] - int(total[1])}
     kept = [] if fresh else known["segments"]
-    after = {"segments": [*kept, entry] if entry["chunks"] or entry["gone"] else kept, "chunk_schema": schema, "block": known["block"]}
+    after = {"segments": [*kept, entry] if entry["chunks"] or entry["gone"] else kept, "chunk_schema": schema, "block": known["block"], "buckets": buckets}
     return versions.commit(spark, path, old, after)
 
 
@@ -185,28 +192,94 @@ def statistics(spark: SparkSession, path: str) -> tuple[int, float]:
     return n, sum(s["tokens"] for s in segments) / n if n else 0.0
 
 
-def document_frequencies(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, df) over the live chunks; only of ``terms`` (term, bucket), if given."""
-    segments = (versions.latest(spark, path) or {"segments": []})["segments"]
-    heads = _postings(spark, path, segments).where("bucket >= 0").select("term", "n", "bucket")
+def _heads(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """(term, segment, shard, n, max_tf, min_dl, bucket) of posting blocks, and counts below zero of deleted chunks without a shard."""
+    segments = manifest["segments"]
+    heads = _postings(spark, path, segments).where("bucket >= 0").select("term", "segment", "shard", "n", "max_tf", "min_dl", "bucket")
     down = [s["id"] for s in segments if s["gone"]]
     if down:
         lost = spark.read.schema("term string, n int, segment int, bucket int").parquet(f"{path}/lost").where(F.col("segment").isin(down))
-        heads = heads.unionByName(lost.select("term", "n", "bucket"))
-    if terms is not None:
-        heads = _of_terms(heads, terms)
+        heads = heads.unionByName(lost, allowMissingColumns=True)
+    return heads
+
+
+def document_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df) over the live chunks."""
+    manifest = versions.latest(spark, path) or {"segments": []}
+    return _frequencies(_heads(spark, path, manifest))
+
+
+def _frequencies(heads: DataFrame) -> DataFrame:
     return heads.groupBy("term").agg(F.sum("n").cast("long").alias("df")).where("df > 0")
 
 
-def _of_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of the asked terms: their folders are named in the plan, so no other is read."""
-    buckets = sorted(r[0] for r in terms.select("bucket").distinct().collect())  # BUCKETS numbers at most
-    return rows.where(F.col("bucket").isin(buckets)).join(sized(terms.select("term"), terms.count()), "term", "left_semi")
+def _of_terms(rows: DataFrame, terms: DataFrame, buckets: list[int], n: int) -> DataFrame:
+    """Rows of at most ``n`` asked terms: their folders are named in the plan, so no other is read."""
+    return rows.where(F.col("bucket").isin(buckets)).join(sized(terms.select("term").distinct(), n), "term", "left_semi")
+
+
+def _scored(k: int, average: float):
+    """For each block of chunks the ``k`` best of each query, by a product of weights and counts.
 
+    Rows come by (segment, shard): deleted places (kind 0), postings (1), queries (2).
+    """
+    k1, b = config.BM25_K1, config.BM25_B
+
+    def cells(column: pa.Array, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of some rows of a column of lists, one after the other, and how many each has."""
+        some = column.take(pa.array(at, pa.int64()))
+        return some.flatten().to_numpy(zero_copy_only=False), np.diff(some.offsets.to_numpy())
+
+    def best(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kind = rows.column("kind").to_numpy()
+        posts, asked = np.flatnonzero(kind == 1).tolist(), np.flatnonzero(kind == 2).tolist()
+        if not posts or not asked:
+            return
+        dead, _ = cells(rows.column("places"), np.flatnonzero(kind == 0).tolist())
+        place, count = cells(rows.column("places"), posts)
+        tf, dl = (cells(rows.column(c), posts)[0].astype(float) for c in ("tfs", "dls"))
+        size = int(place.max()) + 1
+        part = np.zeros((len(posts), size))
+        part[np.repeat(np.arange(len(posts)), count), place] = tf / (tf + k1 * (1 - b + b * dl / average))
+        row_of = {t: i for i, t in enumerate(rows.column("term").take(pa.array(posts, pa.int64())).to_pylist())}
+        for at in range(0, len(asked), 256):
+            pack = asked[at : at + 256]
+            terms, held = cells(rows.column("terms"), pack)
+            found = np.array([row_of.get(t, -1) for t in terms.tolist()], np.int64)
+            weight = np.zeros((len(pack), len(posts)))
+            weight[np.repeat(np.arange(len(pack)), held)[found >= 0], found[found >= 0]] = cells(rows.column("weights"), pack)[0][found >= 0]
+            score = weight @ part
+            score[:, dead[dead < size].astype(np.int64)] = 0.0
+            bar = np.partition(score, -k, axis=1)[:, -k] - TIE if size > k else np.zeros(len(pack))
+            # what may tie with the last one after rounding stays
+            q, place_of = np.nonzero((score >= bar[:, None]) & (score > 0))
+            no = rows.column("no").take(pa.array(pack, pa.int64())).to_numpy()[q]
+            segment, shard = rows.column("segment")[pack[0]].as_py(), rows.column("shard")[pack[0]].as_py()
+            n = len(q)
+            yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(no), pa.array(place_of.astype(np.int32)), pa.array(score[q, place_of])], names=["segment", "shard", "no", "place", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one block of chunks
+        for batch in batches:
+            segment, shard = batch.column("segment").to_numpy(), batch.column("shard").to_numpy()
+            cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(shard) != 0)) + 1
+            if held and batch.num_rows and (held[0].column("segment")[0].as_py(), held[0].column("shard")[0].as_py()) != (int(segment[0]), int(shard[0])):
+                yield from best(pa.concat_batches(held))
+                held = []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if lo:
+                    yield from best(pa.concat_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from best(pa.concat_batches(held))
 
-def _open(bounds: DataFrame, seen: DataFrame, bar: DataFrame, query: str) -> DataFrame:
+    return run
+
+
+def _open(bounds: DataFrame, seen: DataFrame, bar: DataFrame) -> DataFrame:
     """Blocks of chunks that are not seen yet and can reach the bar of their query."""
-    left = bounds.join(seen, [query, "segment", "shard"], "left_anti").join(bar, query, "left")
+    left = bounds.join(seen, ["no", "segment", "shard"], "left_anti").join(bar, "no", "left")
     return left.where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - TIE))
 
 
@@ -218,36 +291,39 @@ def search(queries: DataFrame, path: str, *, k: int = config.SPARSE_K, query: st
     that can still reach its k-th score.
     """
     spark = queries.sparkSession
-    segments = (versions.latest(spark, path) or {"segments": []})["segments"]
-    asked = written(queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf")), "asked")
-    terms = written(asked.select("term").distinct().withColumn("bucket", bucket_of("term")), "asked-terms")
+    manifest = versions.latest(spark, path) or {"segments": [], "buckets": 1}
+    asked = queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    asked = written(asked.groupBy(query).agg(F.collect_list(F.struct("term", "qtf")).alias("terms")).withColumn("no", F.monotonically_increasing_id()), "asked")  # the terms of one query
+    each = asked.select("no", F.inline("terms"))
+    shape = each.agg(F.collect_set(bucket_of("term", manifest["buckets"] or 1)).alias("buckets"), F.count("*").alias("n")).first()  # MOST_BUCKETS numbers at most
+    heads = written(_of_terms(_heads(spark, path, manifest), each, shape["buckets"], shape["n"]).drop("bucket"), "heads")
     n, average = statistics(spark, path)
-    df = F.col("df")
-    idf = document_frequencies(spark, path, terms).select("term", F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
-    n_asked = asked.count()
-    weighted = written(asked.join(idf, "term").select(query, "term", (F.col("qtf") * F.col("idf") * (config.BM25_K1 + 1)).alias("weight")), "weights")
-    k1, b = F.lit(config.BM25_K1), F.lit(config.BM25_B)
-
-    def part(tf: Column, dl: Column) -> Column:
-        return F.col("weight") * tf / (tf + k1 * (1 - b + b * dl / F.lit(average or 1.0)))
-
-    blocks = _of_terms(_postings(spark, path, segments), terms)
-    heads = blocks.select("term", "segment", "shard", "max_tf", "min_dl").join(sized(weighted, n_asked), "term")
-    bounds = heads.groupBy(query, "segment", "shard").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
-    bounds = written(bounds, "bounds")
-    gone = _gone(spark, path, segments)
-
-    def scored(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.select(query, "segment", "shard").join(weighted, query)
-        met = blocks.join(wanted, ["term", "segment", "shard"])
-        rows = met.select(query, "segment", "weight", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
-        sums = rows.groupBy(query, "segment", "chunk_id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), digits).alias("score"))
-        if any(s["gone"] for s in segments):
-            sums = sums.join(gone, "chunk_id", "left").where("since IS NULL OR segment >= since").drop("since")
-        return top_k(sums.drop("segment").where("score > 0"), query, k, F.desc("score"), F.asc("chunk_id"))
-
-    best = written(top_k(bounds, query, FIRST, F.desc("bound"), "segment", "shard").select(query, "segment", "shard"), "best-bounds")
-    first = written(scored(best), "first-hits")
-    bar = first.where(F.col("rank") == k).select(query, F.col("score").alias("bar"))
-    both = first.drop("rank").unionByName(scored(_open(bounds, best, bar, query)).drop("rank"))
-    return top_k(both, query, k, F.desc("score"), F.asc("chunk_id")).select(query, "chunk_id", "score", "rank")
+    df, k1, b = F.col("df"), F.lit(config.BM25_K1), F.lit(config.BM25_B)
+    idf = _frequencies(heads).select("term", F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
+    weighted = written(each.join(idf, "term").select("no", "term", (F.col("qtf") * F.col("idf") * (config.BM25_K1 + 1)).alias("weight")), "weights")
+    most = F.col("weight") * F.col("max_tf") / (F.col("max_tf") + k1 * (1 - b + b * F.col("min_dl") / F.lit(average or 1.0)))
+    bounds = heads.where("shard IS NOT NULL").join(sized(weighted, shape["n"]), "term").groupBy("no", "segment", "shard").agg(F.sum(most).alias("bound"))
+    packs = weighted.groupBy("no").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    posts = _of_terms(_postings(spark, path, manifest["segments"]), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs", "dls")
+    # a number of parts that small data is not packed into fewer ones
+    shards = sum(x["shards"] for x in manifest["segments"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dead = _gone(spark, path, manifest["segments"]).groupBy("segment", "shard").agg(F.collect_list("place").alias("places")).withColumn("kind", F.lit(0))
+
+    def best(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("no", "segment", "shard").join(packs, "no").withColumn("kind", F.lit(2))
+        rows = posts.join(sized(chosen.select("segment", "shard").distinct(), shards), ["segment", "shard"], "left_semi").unionByName(wanted, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True)
+        rows = rows.select("segment", "shard", "kind", "term", "places", "tfs", "dls", "no", "terms", "weights").repartition(parts, "segment", "shard").sortWithinPartitions("segment", "shard", "kind")
+        found = rows.mapInArrow(_scored(k, average or 1.0), "segment int, shard long, no long, place int, score double")
+        return found.withColumn("score", F.round("score", digits)).where("score > 0")
+
+    lists = _postings(spark, path, manifest["segments"]).where("bucket = -1").select("segment", "shard", "ids")
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.join(lists, ["segment", "shard"]).select("no", F.get("ids", "place").alias("chunk_id"), "score")
+
+    seen = written(top_k(bounds, "no", FIRST, F.desc("bound"), "segment", "shard").select("no", "segment", "shard"), "best-bounds")
+    first = written(named(best(seen)), "first-hits")
+    bar = top_k(first, "no", k, F.desc("score"), F.asc("chunk_id")).where(F.col("rank") == k).select("no", F.col("score").alias("bar"))
+    both = first.unionByName(named(best(_open(bounds, seen, bar))))
+    return top_k(both, "no", k, F.desc("score"), F.asc("chunk_id")).join(sized(asked.select("no", query), shape["n"]), "no").select(query, "chunk_id", "score", "rank")

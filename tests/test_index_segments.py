@@ -100,9 +100,10 @@ def test_blocks_are_skipped_without_loss(spark, tmp_path, monkeypatch):
 def test_only_folders_of_asked_terms_are_read(spark, tmp_path):
     path = str(tmp_path / "i")
     segments.build(_frame(spark, _texts(3, 60)), path)
-    asked = spark.createDataFrame([("w1",), ("w2",)], "term string").withColumn("bucket", segments.bucket_of("term"))
-    buckets = {r.bucket for r in asked.collect()}
-    df = segments._of_terms(segments._postings(spark, path, versions.latest(spark, path)["segments"]), asked)
+    asked = spark.createDataFrame([("w1",), ("w2",)], "term string")
+    manifest = versions.latest(spark, path)
+    buckets = {r[0] for r in asked.select(segments.bucket_of("term", manifest["buckets"])).collect()}
+    df = segments._of_terms(segments._postings(spark, path, manifest["segments"]), asked, list(buckets), 2)
     files = df.select(F.input_file_name()).distinct().collect()
     assert {int(re.search(r"bucket=(-?\d+)", r[0])[1]) for r in files} <= buckets
 
