@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions import text as tx
 from ..operators import claims, evidence, expansion, grounding
-from . import query, searching, table
+from . import ORACLES, query, searching, table
 from .verification import ts
 
 ASKED = [
@@ -88,16 +88,14 @@ def most_common_name(spark, sf_dir):
 
 EV = lexicon.EVIDENCE_STOPWORDS
 NAMED = f"""{searching.BM25}, qt AS (SELECT item_id AS query_id, {ts('text', EV, 2)} AS query_tokens FROM benchmark),
-    h AS (SELECT query_id, c.doc_id, c.chunk_id, rank, {ts('substr(c.text, 1, 400)', EV, 2)} AS name_tokens, query_tokens FROM bm JOIN chunks c USING (chunk_id) JOIN qt USING (query_id))"""
+    h AS (SELECT query_id, c.doc_id, c.chunk_id, rank, {ts('c.text', EV, 2)} AS name_tokens, query_tokens FROM bm JOIN chunks c USING (chunk_id) JOIN qt USING (query_id))"""
 
 
-NAMED_ALL = NAMED.replace("substr(c.text, 1, 400)", "c.text")
 
-
-def _named_hits(spark, sf_dir, names=None):
-    """Hits with the tokens of ``names``; without it, of the first 400 characters of the chunk."""
+def _named_hits(spark, sf_dir, names="text"):
+    """Hits with the tokens of ``names``."""
     hits = searching.bm25(spark, sf_dir)
-    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", tx.token_set(F.substring("text", 1, 400) if names is None else names, EV, 2).alias("name_tokens"))
+    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", tx.token_set(names, EV, 2).alias("name_tokens"))
     return hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir), "query_id")
 
 
@@ -113,12 +111,7 @@ def short_name_target(spark, sf_dir):
     return grounding.short_name_target(_named_hits(spark, sf_dir))
 
 
-@query(f"""WITH {NAMED_ALL}, o AS (SELECT query_id, doc_id, rank, len(list_intersect(name_tokens, query_tokens)) AS o FROM h),
-    s AS (SELECT query_id, doc_id, round(sum(o * (1 + 1 / rank)), 6) AS score, min(rank) AS best_rank FROM o WHERE o > 0 GROUP BY ALL),
-    rk AS (SELECT *, lead(score) OVER x AS second, row_number() OVER x AS r FROM s WINDOW x AS (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id))
-    SELECT query_id, doc_id, score, best_rank FROM rk WHERE r = 1 AND (second IS NULL OR score > round(second * CAST(1.15 AS DOUBLE), 6))""")
-def short_name_target_all(spark, sf_dir):
-    return grounding.short_name_target(_named_hits(spark, sf_dir, "text"))
+query(ORACLES["short_name_target"], name="short_name_target_all")(short_name_target)
 
 
 @query(f"""WITH {NAMED}, f AS (SELECT query_id, d.source AS family, rank, list_intersect(name_tokens, query_tokens) AS shared FROM h JOIN documents d USING (doc_id) WHERE rank <= 8),
@@ -129,12 +122,7 @@ def convergent_target(spark, sf_dir):
     return _convergent(spark, sf_dir, _named_hits(spark, sf_dir))
 
 
-@query(f"""WITH {NAMED_ALL}, f AS (SELECT query_id, d.source AS family, rank, list_intersect(name_tokens, query_tokens) AS shared FROM h JOIN documents d USING (doc_id) WHERE rank <= 8),
-    s AS (SELECT query_id, family, round(sum(1 / rank + CAST(0.75 AS DOUBLE) * len(shared)), 6) AS score, count(*) AS n, min(rank) AS best_rank, len(list_distinct(flatten(list(shared)))) AS n_shared FROM f GROUP BY ALL),
-    rk AS (SELECT *, lead(score) OVER x AS second, row_number() OVER x AS r FROM s WINDOW x AS (PARTITION BY query_id ORDER BY score DESC, n DESC, best_rank, family))
-    SELECT query_id, family, score, n, best_rank, n_shared FROM rk WHERE r = 1 AND (second IS NULL OR score > round(second * CAST(1.35 AS DOUBLE), 6)) AND n >= 2 AND n_shared >= 2""")
-def convergent_target_all(spark, sf_dir):
-    return _convergent(spark, sf_dir, _named_hits(spark, sf_dir, "text"))
+query(ORACLES["convergent_target"], name="convergent_target_all")(convergent_target)
 
 
 def _convergent(spark, sf_dir, named):

@@ -68,14 +68,23 @@ def topic_questions(spark, sf_dir):
     return rows.select("id", guards.topic_question(F.col("q"), F.col("m")).alias("topic"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, substr(replace(string_agg(text, ' ' ORDER BY turn), 'ß', 'ss'), 1, 400) AS text FROM conversations GROUP BY conv_id),
+def _near(needle, low=False):
+    """SQL: where ``needle`` stands in the whole text nearest to ``start``, or null; the earlier one of equals."""
+    hay, needle = ("lower(text)", f"lower({needle})") if low else ("text", needle)
+    found = f"list_filter(range(length(text)), lambda i: substr({hay}, i + 1, length({needle})) = {needle})"
+    return f"list_sort(list_transform({found}, lambda i: {{'d': abs(i - start), 'i': i}}))[1].i"
+
+
+_BARE = r"regexp_replace(claim, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, replace(string_agg(text, ' ' ORDER BY turn), 'ß', 'ss') AS text FROM conversations GROUP BY conv_id),
     p AS (SELECT conv_id, text, k, CASE k WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN upper(substr(text, 11, 20)) WHEN 2 THEN ' ' || substr(text, 5, 8) || '  ' ELSE 'nowhere at all' END AS claim, [10, 300, 0, 0][k + 1] AS start FROM a, range(4) r(k)),
-    o AS (SELECT *, [substr(text, CAST(start AS BIGINT) + 1, length(claim)) = claim] AS own,
-        list_filter(range(length(text)), lambda i: substr(text, i + 1, length(claim)) = claim) AS e1, list_filter(range(length(text)), lambda i: substr(text, i + 1, length(regexp_replace(claim, '^\s+|\s+$', '', 'g'))) = regexp_replace(claim, '^\s+|\s+$', '', 'g')) AS e2,
-        list_filter(range(length(text)), lambda i: substr(lower(text), i + 1, length(claim)) = lower(claim)) AS e3 FROM p),
-    f AS (SELECT conv_id, k, CASE WHEN own[1] THEN start WHEN len(e1) > 0 THEN list_sort(list_transform(e1, lambda i: {'d': abs(i - start), 'i': i}))[1].i WHEN len(e2) > 0 THEN list_sort(list_transform(e2, lambda i: {'d': abs(i - start), 'i': i}))[1].i
-        WHEN len(e3) > 0 THEN list_sort(list_transform(e3, lambda i: {'d': abs(i - start), 'i': i}))[1].i END AS s, CASE WHEN own[1] OR len(e1) > 0 THEN length(claim) WHEN len(e2) > 0 THEN length(regexp_replace(claim, '^\s+|\s+$', '', 'g')) WHEN len(e3) > 0 THEN length(claim) END AS n FROM o)
-    SELECT conv_id, k, CAST(s AS BIGINT) AS start_at, CAST(s + n AS BIGINT) AS end_at FROM f""")
+    f AS (SELECT conv_id, k, claim, CASE WHEN substr(text, CAST(start AS BIGINT) + 1, length(claim)) = claim THEN start END AS own,
+        CASE WHEN contains(text, claim) THEN {_near("claim")} END AS e1, CASE WHEN contains(text, {_BARE}) THEN {_near(_BARE)} END AS e2,
+        CASE WHEN contains(lower(text), lower(claim)) THEN {_near("claim", True)} END AS e3 FROM p)
+    SELECT conv_id, k, CAST(coalesce(own, e1, e2, e3) AS BIGINT) AS start_at,
+        CAST(coalesce(own, e1, e2, e3) + CASE WHEN coalesce(own, e1) IS NULL AND e2 IS NOT NULL THEN length({_BARE}) ELSE length(claim) END AS BIGINT) AS end_at FROM f""")
 def claim_locations(spark, sf_dir):
     a = answering._answers(spark, sf_dir).select("conv_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     k = F.col("k")
