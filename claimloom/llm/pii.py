@@ -18,6 +18,7 @@ rows are treated alike.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -307,6 +308,32 @@ def _examples(n: int, seed: int) -> list[tuple[str, int]]:
     return out
 
 
+class Taken:
+    """Places of a text that spans cover: a new span goes in if it meets none of them.
+
+    Spans are kept merged in order, so a look-up is a bisection; spans of the
+    base kinds may meet one another and are joined.
+    """
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            elif a < b:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def put(self, a: int, b: int) -> bool:
+        at = bisect.bisect_right(self.ends, a)
+        if at < len(self.starts) and self.starts[at] < b:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 class Selector:
     """Trees with one calibrated threshold for each kind of proposal."""
 
@@ -340,10 +367,9 @@ class Selector:
         if found:
             p = self.trees.probability(np.array([features(text, *c) for c in found]))
             ranked = sorted(zip(found, p.tolist(), strict=True), key=lambda x: (-x[1], x[0][1], -x[0][2]))
-            taken = [(a, b) for _, a, b in base]
+            taken = Taken((a, b) for _, a, b in base)
             for (kind, a, b), q in ranked:
-                if q >= self.threshold[kind] and not any(a < d and c < b for c, d in taken):
-                    taken.append((a, b))
+                if q >= self.threshold[kind] and taken.put(a, b):
                     chosen.append((kind, a, b, q))
         return sorted([*((*x, 1.0) for x in base), *chosen], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -386,12 +386,15 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
         begin = np.array([counts[d] if x is None else 0 if x[2] is None else x[2][1] + 1 for d, x in enumerate(popped)], np.int64)
         fresh = _Path(lattice, word, of_word, place, doc_words, s, begin)
         log_c = lattice.log_c(fresh.arcs)
-        run = np.concatenate([[0.0], np.cumsum(log_c)])
+        # sums up to each arc, of each text by itself: the same numbers in any batch
+        run = np.zeros(len(log_c) + 1)
+        for a, b in zip(fresh.doc[:-1].tolist(), fresh.doc[1:].tolist(), strict=True):
+            np.cumsum(log_c[a:b], out=run[a + 1 : b + 1])
         rest = lattice.log_rest(fresh.arcs)
         doc_of = np.repeat(np.arange(n), np.diff(fresh.doc))
         within = np.arange(len(fresh.arcs)) - fresh.doc[doc_of]
         e = -np.log(_uniform_of(_keyed(own, s, 1 << 41)[doc_of], within))
-        before = run[:-1] - run[fresh.doc[doc_of]]
+        before = np.where(within > 0, run[:-1], 0.0)
         bound, shift, skip = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
         heads: list = [None] * n
         for d in range(n):
@@ -431,7 +434,7 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
                 node, t = node + int(lattice.length[arc]), t + 1
             heads[d] = tuple(arcs)
             skip[d] = fresh.first[doc_words[d] + w + 1] - a  # arcs of the fresh path up to that word
-            shift[d] = total - (run[a + skip[d]] - run[a])
+            shift[d] = total - (run[a + skip[d]] if skip[d] else 0.0)
         # siblings of the fresh part of each path
         g = _truncated(before + rest + shift[doc_of], bound[doc_of], e)
         g[within < skip[doc_of]] = -np.inf
@@ -458,7 +461,7 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
             if heads[d] is not None:
                 a, b = int(fresh.doc[d]), int(fresh.doc[d + 1])
                 arcs = np.concatenate([np.array(heads[d], np.int64), fresh.arcs[a + skip[d] : b]])
-                out[d].append([_ids(pieces, lattice.piece[arcs], spelled), float(run[b] - run[a] + shift[d]), float(bound[d])])
+                out[d].append([_ids(pieces, lattice.piece[arcs], spelled), float((run[b] if b > a else 0.0) + shift[d]), float(bound[d])])
     result: list[list[tuple]] = []
     for d in range(n):
         if not counts[d]:
