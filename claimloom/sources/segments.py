@@ -36,8 +36,8 @@ from ..operators.retrieval import sized, top_k
 from ..storage import written
 from . import versions
 
-#: Chunks whose postings of a term make one block.
-BLOCK = 256
+#: Chunks whose postings of a term make one block; a place in it takes two bytes.
+BLOCK = 1024
 #: Folders that terms are dealt to: one for so many chunks, within limits.
 CHUNKS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4096, 8, 512
 #: Chunks of which one task writes the blocks of a bucket.
@@ -47,7 +47,9 @@ FIRST = 2
 #: Scores are compared after rounding to six digits.
 TIE = 2e-6
 
-POSTINGS = "shard long, term string, n int, tokens long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, ids array<string>"
+#: Places are numbers of two bytes, counts of one byte or, in a block with a greater one, of four.
+#: The row without a term has the ids and lengths of the block's chunks.
+POSTINGS = "shard long, term string, n int, tokens long, max_tf int, min_dl int, places binary, tfs binary, ids array<string>, dls array<int>"
 GONE = "chunk_id string, of int, shard long, place int"
 _FOLDERS = "segment int, bucket int"
 
@@ -64,21 +66,28 @@ def _blocks(block: int):
         for no, batch in enumerate(tk.slices(batches, block)):
             ids, n = batch.column(0), batch.num_rows
             names, term, doc, tf, length = tk.counted(batch.column(1))
-            # the list of all chunks is one more term, which comes last
-            term = np.concatenate([term, np.full(n, len(names))])
-            doc, tf = np.concatenate([doc, np.arange(n)]), np.concatenate([tf, np.zeros(n, np.int64)])
             first = np.flatnonzero(np.diff(term, prepend=-1))
-            count = np.diff(np.append(first, len(term)))
-            dl = length[doc]
-            cuts = np.append(first, len(term)).astype(np.int32)
-            lists = lambda flat: pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.astype(np.int32))).cast(pa.list_(pa.int32()))
-            spelled = pa.concat_arrays([names.cast(pa.string()).take(pa.array(term[first[:-1]])), pa.nulls(1, pa.string())])
-            listed = pa.concat_arrays([pa.nulls(len(first) - 1, pa.list_(pa.string())), pa.array([ids.to_pylist()], pa.list_(pa.string()))])
-            columns = [
-                pa.array(np.full(len(first), (task << 32) + no)), spelled, pa.array(count.astype(np.int32)), pa.array(np.add.reduceat(dl, first).astype(np.int64)),
-                pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(dl, first).astype(np.int32)), lists(doc), lists(tf), lists(dl), listed,
+            cuts = np.append(first, len(term))
+            most = np.maximum.reduceat(tf, first) if len(first) else np.zeros(0, np.int64)
+            wide = np.repeat(most > 255, np.diff(cuts))
+            # four bytes of each count, of which the first is enough in most blocks
+            counts = tf.astype("<u4").view(np.uint8).reshape(-1, 4)
+            kept = np.ones(counts.shape, bool)
+            kept[:, 1:] = wide[:, None]
+            ends = np.concatenate([[0], np.cumsum(np.where(wide, 4, 1))])[cuts]
+            binary = lambda at, data: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            fill = lambda kind: pa.nulls(len(first), kind)
+            blocks = [
+                pa.array(np.full(len(first), (task << 32) + no)), names.cast(pa.string()).take(pa.array(term[first])), pa.array(np.diff(cuts).astype(np.int32)), fill(pa.int64()),
+                pa.array(most.astype(np.int32)), pa.array((np.minimum.reduceat(length[doc], first) if len(first) else most).astype(np.int32)),
+                binary(2 * cuts, doc.astype("<u2")), binary(ends, counts[kept]), fill(pa.list_(pa.string())), fill(pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "tokens", "max_tf", "min_dl", "places", "tfs", "dls", "ids"])
+            listed = [
+                pa.array([(task << 32) + no]), pa.nulls(1, pa.string()), pa.array([n], pa.int32()), pa.array([int(length.sum())], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()),
+                pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.string())), pa.array([length.tolist()], pa.list_(pa.int32())),
+            ]
+            for columns in (blocks, listed):
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "tokens", "max_tf", "min_dl", "places", "tfs", "ids", "dls"])
 
     return run
 
@@ -127,7 +136,7 @@ def _change(spark: SparkSession, path: str, chunks: DataFrame | None, gone: Data
     schema, buckets = known["chunk_schema"], None if fresh else known["buckets"]
     if chunks is not None:
         schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-        chunks.write.parquet(f"{path}/chunks/segment={no}")
+        chunks.write.option("compression", "zstd").parquet(f"{path}/chunks/segment={no}")
         own = spark.read.schema(schema).parquet(f"{path}/chunks/segment={no}")
         same = own.groupBy("chunk_id").agg(F.count("*").alias("n"))
         shape = same.agg(F.count_if(F.col("chunk_id").isNull() | (F.col("n") > 1)).alias("bad"), F.count("*").alias("n")).first()
@@ -221,7 +230,7 @@ def _of_terms(rows: DataFrame, terms: DataFrame, buckets: list[int], n: int) ->
 def _scored(k: int, average: float):
     """For each block of chunks the ``k`` best of each query, by a product of weights and counts.
 
-    Rows come by (segment, shard): deleted places (kind 0), postings (1), queries (2).
+    Rows come by (segment, shard): deleted places (kind 0), postings (1), queries (2), the lengths of the chunks (3).
     """
     k1, b = config.BM25_K1, config.BM25_B
 
@@ -230,14 +239,26 @@ def _scored(k: int, average: float):
         some = column.take(pa.array(at, pa.int64()))
         return some.flatten().to_numpy(zero_copy_only=False), np.diff(some.offsets.to_numpy())
 
+    def raw(column: pa.Array, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some rows of a binary column, and how many each has."""
+        some = column.take(pa.array(at, pa.int64()))
+        offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        return np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy(), np.diff(offsets)
+
     def best(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         kind = rows.column("kind").to_numpy()
         posts, asked = np.flatnonzero(kind == 1).tolist(), np.flatnonzero(kind == 2).tolist()
         if not posts or not asked:
             return
-        dead, _ = cells(rows.column("places"), np.flatnonzero(kind == 0).tolist())
-        place, count = cells(rows.column("places"), posts)
-        tf, dl = (cells(rows.column(c), posts)[0].astype(float) for c in ("tfs", "dls"))
+        dead, _ = cells(rows.column("dead"), np.flatnonzero(kind == 0).tolist())
+        place, count = raw(rows.column("places"), posts)
+        place, count = place.view("<u2").astype(np.int64), count // 2
+        packed, width = raw(rows.column("tfs"), posts)
+        wide = np.repeat(width != count, count)
+        tf = np.zeros(len(place))
+        tf[~wide] = packed[np.repeat(width == count, width)]
+        tf[wide] = packed[np.repeat(width != count, width)].view("<u4")
+        dl = cells(rows.column("dls"), np.flatnonzero(kind == 3).tolist())[0].astype(float)[place]
         size = int(place.max()) + 1
         part = np.zeros((len(posts), size))
         part[np.repeat(np.arange(len(posts)), count), place] = tf / (tf + k1 * (1 - b + b * dl / average))
@@ -304,23 +325,25 @@ def search(queries: DataFrame, path: str, *, k: int = config.SPARSE_K, query: st
     most = F.col("weight") * F.col("max_tf") / (F.col("max_tf") + k1 * (1 - b + b * F.col("min_dl") / F.lit(average or 1.0)))
     bounds = heads.where("shard IS NOT NULL").join(sized(weighted, shape["n"]), "term").groupBy("no", "segment", "shard").agg(F.sum(most).alias("bound"))
     packs = weighted.groupBy("no").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    posts = _of_terms(_postings(spark, path, manifest["segments"]), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs", "dls")
+    posts = _of_terms(_postings(spark, path, manifest["segments"]), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs")
     # a number of parts that small data is not packed into fewer ones
     shards = sum(x["shards"] for x in manifest["segments"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dead = _gone(spark, path, manifest["segments"]).groupBy("segment", "shard").agg(F.collect_list("place").alias("places")).withColumn("kind", F.lit(0))
+    dead = _gone(spark, path, manifest["segments"]).groupBy("segment", "shard").agg(F.collect_list("place").alias("dead")).withColumn("kind", F.lit(0))
+
+    lists = _postings(spark, path, manifest["segments"]).where("bucket = -1").select("segment", "shard", "ids", "dls")
 
     def best(chosen: DataFrame) -> DataFrame:
         wanted = chosen.select("no", "segment", "shard").join(packs, "no").withColumn("kind", F.lit(2))
-        rows = posts.join(sized(chosen.select("segment", "shard").distinct(), shards), ["segment", "shard"], "left_semi").unionByName(wanted, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True)
-        rows = rows.select("segment", "shard", "kind", "term", "places", "tfs", "dls", "no", "terms", "weights").repartition(parts, "segment", "shard").sortWithinPartitions("segment", "shard", "kind")
+        here = sized(chosen.select("segment", "shard").distinct(), shards)
+        lengths = lists.select("segment", "shard", F.lit(3).alias("kind"), "dls")
+        rows = posts.unionByName(lengths, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True).join(here, ["segment", "shard"], "left_semi").unionByName(wanted, allowMissingColumns=True)
+        rows = rows.select("segment", "shard", "kind", "term", "dead", "places", "tfs", "dls", "no", "terms", "weights").repartition(parts, "segment", "shard").sortWithinPartitions("segment", "shard")
         found = rows.mapInArrow(_scored(k, average or 1.0), "segment int, shard long, no long, place int, score double")
         return found.withColumn("score", F.round("score", digits)).where("score > 0")
 
-    lists = _postings(spark, path, manifest["segments"]).where("bucket = -1").select("segment", "shard", "ids")
-
     def named(found: DataFrame) -> DataFrame:
-        return found.join(lists, ["segment", "shard"]).select("no", F.get("ids", "place").alias("chunk_id"), "score")
+        return found.join(lists.drop("dls"), ["segment", "shard"]).select("no", F.get("ids", "place").alias("chunk_id"), "score")
 
     seen = written(top_k(bounds, "no", FIRST, F.desc("bound"), "segment", "shard").select("no", "segment", "shard"), "best-bounds")
     first = written(named(best(seen)), "first-hits")

@@ -64,8 +64,9 @@ def test_segments_equal_a_rebuilt_index(spark, tmp_path):
     segments.delete(spark.createDataFrame([(g,) for g in gone], "chunk_id string"), path)
     live = {c: t for c, t in live.items() if c not in gone}
     _same(spark, path, live)
-    segments.add(_frame(spark, {"c3": "w110 w111"}), path)  # a deleted id comes back
-    live["c3"] = "w110 w111"
+    back = {"c3": "w110 w111", "many": "w3 " * 700}  # a deleted id comes back; a count that takes more than a byte
+    segments.add(_frame(spark, back), path)
+    live |= back
     _same(spark, path, live)
     n, average = segments.statistics(spark, path)
     lengths = [len(re.findall(r"\w+", t or "")) for t in live.values()]
