@@ -1,12 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts every n-gram of every labelled document: each task adds its
-documents into one count matrix (languages x buckets) and emits it in sparse
-form, so what is shuffled is bounded by tasks x languages x buckets and not by
-text. The model is one float32 matrix, broadcast to the scorers; a batch is
-counted into sparse rows (text, bucket, count) and scored as their product with
-that matrix. The number of buckets is fixed. The matrix has a column for each
-learned language, ``MAX_LANGS`` at most; a corpus with more is an error.
+Training counts every n-gram of every labelled document: tasks emit sums by
+(language, bucket) for each batch, which are added up in Spark, so what is
+shuffled is bounded by batches x languages x buckets and not by text. The model
+is a float32 matrix in blocks of ``BLOCK_LANGS`` languages, each broadcast by
+itself; a batch is counted once into sparse rows (text, bucket, count), which
+are multiplied with one block after the other, so a scorer holds one block at a
+time and there may be any number of languages. The number of buckets is fixed.
 
 Defined cases: a null text or one without any letter (``str.isalpha``) gives
 ``und`` and score 0; with no labelled document every text gives ``und`` and
@@ -21,29 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import releasing
-from .wordhash import mix
+from .shared import materialize, releasing
+from .wordhash import by_bytes, mix
 
 #: Lengths of the character n-grams.
 NGRAMS = (1, 2, 3)
 BUCKET_BITS = 16
-#: Languages that can be learned; the model has at most so many cells.
-MAX_LANGS = 256
-MAX_CELLS = MAX_LANGS << BUCKET_BITS
+#: Languages of one block of the model.
+BLOCK_LANGS = 64
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _CHUNK = 200_000
 
 
-def buckets_for(n_langs: int) -> int:
-    """Bits of a bucket number: the same for any number of languages."""
-    return BUCKET_BITS
-
-
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -121,84 +116,104 @@ def sparse_counts(texts: list[str], bits: int) -> Iterator[tuple[int, np.ndarray
 
 
 class Model:
-    """Log probabilities: prior [L] and likelihood [buckets, L]."""
+    """Log probabilities by blocks of languages: (prior [L], likelihood [buckets, L]), or broadcasts of such pairs."""
+
+    def __init__(self, langs: list[str], bits: int, blocks: list):
+        self.langs, self.bits, self.blocks = langs, bits, blocks
 
-    def __init__(self, langs: list[str], bits: int, log_prior: np.ndarray, log_like: np.ndarray):
-        self.langs, self.bits, self.log_prior, self.log_like = langs, bits, log_prior, log_like
+    def _block(self, no: int) -> tuple[np.ndarray, np.ndarray]:
+        held = self.blocks[no]
+        if not isinstance(held, Broadcast):
+            return held
+        value = held.value
+        if len(self.blocks) > 1:
+            del held._value  # read again for the next batch: one block is in memory at a time
+        return value
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language and its posterior for each text of a batch."""
         out = [(UNKNOWN, 0.0)] * len(texts)
         told = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
-        score = np.tile(self.log_prior, (len(told), 1))
-        for first, row, bucket, n in sparse_counts([texts[i] for i in told], self.bits):
-            edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            for lang in range(0, len(self.langs), 16):  # bounds the product in memory
-                part = slice(lang, lang + 16)
-                score[first + row[edge], part] += np.add.reduceat(n[:, None] * self.log_like[bucket, part].astype(np.float64), edge)
-        best = score.argmax(1) if told else ()
-        for i, b, own in zip(told, best, score, strict=True):
-            out[i] = self.langs[b], float(1.0 / np.exp(own - own[b]).sum())
+        if not told:
+            return out
+        rows = list(sparse_counts([texts[i] for i in told], self.bits))
+        most, total, best = np.full(len(told), -np.inf), np.zeros(len(told)), np.zeros(len(told), np.int64)
+        at = 0
+        for no in range(len(self.blocks)):
+            log_prior, log_like = self._block(no)
+            score = np.tile(log_prior, (len(told), 1))
+            for first, row, bucket, n in rows:
+                edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                for lang in range(0, len(log_prior), 16):  # bounds the product in memory
+                    part = slice(lang, lang + 16)
+                    score[first + row[edge], part] += np.add.reduceat(n[:, None] * log_like[bucket, part].astype(np.float64), edge)
+            own, place = score.max(1), score.argmax(1)
+            higher = own > most  # of equal ones the first stays
+            best = np.where(higher, at + place, best)
+            top = np.maximum(own, most)
+            total = total * np.exp(most - top) + np.exp(score - top[:, None]).sum(1)
+            most, at = top, at + len(log_prior)
+        for i, b, n in zip(told, best.tolist(), total.tolist(), strict=True):
+            out[i] = self.langs[b], float(1.0 / n)
         return out
 
 
-def _count_batches(langs: list[str], bits: int):
-    place = {x: i for i, x in enumerate(langs)}
-
+def _count_batches(bits: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << bits), np.int64)
-        for batch in batches:
-            own = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
-            for first, row, bucket, n in sparse_counts([t or "" for t in batch.column(1).to_pylist()], bits):
-                np.add.at(total, (own[first + row], bucket), n)
-        row, col = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(total[row, col])],
-            names=["lang_no", "bucket", "n"],
-        )
+        for whole in batches:
+            for batch in by_bytes(whole, "text"):
+                coded = batch.column(0).dictionary_encode()
+                own = coded.indices.to_numpy().astype(np.int64)
+                keys, counts = [], []
+                for first, row, bucket, n in sparse_counts([t or "" for t in batch.column(1).to_pylist()], bits):
+                    keys.append(own[first + row] << bits | bucket)
+                    counts.append(n)
+                key, place = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+                lang = coded.dictionary.take(pa.array(key >> bits))
+                yield pa.RecordBatch.from_arrays([lang, pa.array((key & (1 << bits) - 1).astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
 
     return run
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit on all rows of (lang, text) whose language is not null."""
+    """Fit on all rows of (lang, text) whose language is not null.
+
+    The driver holds the names of the languages and one block of the model at a time.
+    """
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull())
-    per_lang = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect())
-    if len(per_lang) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    per_lang = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect())
     langs = [x for x, _ in per_lang]
-    bits = buckets_for(len(langs))
     if not langs:
-        return Model([], bits, np.zeros(0), np.zeros((1 << bits, 0), np.float32))
-    sums = (
-        rows.select("lang", "text")
-        .mapInArrow(_count_batches(langs, bits), "lang_no int, bucket int, n long")
-        .groupBy("lang_no", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    counts = np.zeros((1 << bits, len(langs)))
-    counts[sums.column("bucket").to_numpy(), sums.column("lang_no").to_numpy()] = sums.column("n").to_numpy()
-    counts += SMOOTHING
-    prior = np.log([n for _, n in per_lang])
-    return Model(langs, bits, prior - np.log(sum(n for _, n in per_lang)), np.log(counts / counts.sum(0)).astype(np.float32))
+        return Model([], BUCKET_BITS, [])
+    sums = rows.select("lang", "text").mapInArrow(_count_batches(BUCKET_BITS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "language-counts")
+    prior = np.log([n for _, n in per_lang]) - np.log(sum(n for _, n in per_lang))
+    blocks = []
+    for at in range(0, len(langs), BLOCK_LANGS):
+        part = langs[at : at + BLOCK_LANGS]
+        got = sums.where(F.col("lang").isin(part)).toArrow()  # BLOCK_LANGS x buckets rows at most
+        names = got.column("lang").combine_chunks().dictionary_encode()
+        place = np.array([part.index(x) for x in names.dictionary.to_pylist()], np.int64)
+        counts = np.zeros((1 << BUCKET_BITS, len(part)), np.float32)
+        counts[got.column("bucket").to_numpy(), place[names.indices.to_numpy()]] = got.column("n").to_numpy()
+        whole = counts.sum(0, dtype=np.float64) + SMOOTHING * len(counts)
+        blocks.append(spark.sparkContext.broadcast((prior[at : at + BLOCK_LANGS], np.log((counts + SMOOTHING) / whole).astype(np.float32))))
+    return Model(langs, BUCKET_BITS, blocks)
 
 
 def predict(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its posterior, in columns of these names (added, or replaced)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.bits, model.log_prior, model.log_like))
     keep = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     where = keep.index("text")
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
         for batch in batches:
-            got = m.predict(batch.column(where).to_pylist())
+            got = model.predict(batch.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 names=[*keep, *names],

@@ -60,14 +60,14 @@ def test_language_against_dictionaries(spark):
 
 
 def test_language_results_do_not_depend_on_the_batch():
-    model = langid.Model(["a", "b"], langid.BUCKET_BITS, np.log([0.5, 0.5]), np.log(np.random.default_rng(0).dirichlet(np.ones(2), 1 << langid.BUCKET_BITS)).astype(np.float32))
+    model = langid.Model(["a", "b"], langid.BUCKET_BITS, [(np.log([0.5, 0.5]), np.log(np.random.default_rng(0).dirichlet(np.ones(2), 1 << langid.BUCKET_BITS)).astype(np.float32))])
     texts = ["one text", "zwei texte", "x" * (2 * langid._CHUNK), "drei", "one text"]
     whole = model.predict(texts)
     assert whole == [model.predict([t])[0] for t in texts] and whole[0] == whole[4]
 
 
 def test_ties_go_to_the_first_language():
-    model = langid.Model(["aa", "bb"], langid.BUCKET_BITS, np.log([0.5, 0.5]), np.full((1 << langid.BUCKET_BITS, 2), -3.0, np.float32))
+    model = langid.Model(["aa", "bb"], langid.BUCKET_BITS, [(np.log([0.5]), np.full((1 << langid.BUCKET_BITS, 1), -3.0, np.float32))] * 2)
     assert model.predict(["word"]) == [("aa", 0.5)]
 
 

@@ -31,13 +31,27 @@ def test_language_counts_do_not_depend_on_pieces():
     assert n.sum() == sum(len(text) - k + 1 for k in langid.NGRAMS)
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    rows = [(f"l{i:03d}", " ".join([chr(0x4E00 + i) * 3, chr(0x4E00 + i)] * 5)) for i in range(300)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(999, "none of them")], "doc_id long, text string")
+    many = langid.fit(train)
+    assert len(many.langs) == 300 and len(many.blocks) == 5
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, many).collect()}
+    assert sum(got[i][0] == lang for i, (lang, _) in enumerate(rows)) == 300
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 512)
+    one = langid.fit(train)
+    assert len(one.blocks) == 1
+    for r in langid.predict(docs, one).collect():
+        assert r.lang_pred == got[r.doc_id][0] and r.score == pytest.approx(got[r.doc_id][1], rel=1e-5)
+
+
 def test_language_of_nothing(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     model = langid.fit(empty)
     docs = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
     assert langid.predict(docs, model).first().lang_pred == "und"
     assert langid.predict(docs.limit(0), model).count() == 0
-    assert (len(WORDS) << langid.buckets_for(5000)) <= langid.MAX_CELLS
 
 
 def _texts(seed, n):
