@@ -99,7 +99,7 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _best_of_block(width: int, k: int):
+def best_of_block(width: int, k: int):
     """For each block (vectors of kind 0, then packs of queries of kind 1) the k best by a matrix product."""
 
     def cell(column: pa.ListArray, i: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, k: int = config.DENSE_
     dealt = packs(vectors, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), 512).select("block", F.lit(0).alias("kind"), "ids", "values")
     asked = packs(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), 512).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "ids", "values")
     both = dealt.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
-    scored = both.mapInArrow(_best_of_block(width, k), "query_id long, vec_id long, score double").withColumn("score", F.round("score", digits))
+    scored = both.mapInArrow(best_of_block(width, k), "query_id long, vec_id long, score double").withColumn("score", F.round("score", digits))
     return top_k(scored, "query_id", k, F.desc("score"), F.asc("vec_id"))
 
 

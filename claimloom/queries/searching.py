@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import chunking, retrieval
 from ..sources import segments
+from ..sources import vectors as lists
 from ..storage import new_folder
 from . import query, table
 
@@ -105,6 +106,24 @@ def dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
 
 
+def _by_lists(spark, sf_dir, probed):
+    vectors, path = table(spark, sf_dir, "embeddings"), new_folder(spark, "lists")
+    lists.build(vectors, path)
+    return lists.search(vectors.where("vec_id % 20 = 0"), path, probed=probed).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dt")
+def dense_by_lists(spark, sf_dir):
+    """The index with all lists probed: the exact rows."""
+    return _by_lists(spark, sf_dir, 1.0)
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """Approximate, so without SQL; its recall is tested against ``dense_topk``."""
+    return _by_lists(spark, sf_dir, lists.PROBED)
+
+
 @query(f"WITH {DENSE} SELECT vec_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm FROM u")
 def l2_normalize(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", retrieval.normalized("embedding").alias("v"))
