@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
+from ..storage import written
 
 
 def _schema(text: str) -> T.StructType:
@@ -54,10 +55,11 @@ UNIQUE = {
     "interaction_citations": [("id",), ("interaction_id", "chunk_id")],
     "claim_citation_links": [("id",), ("verified_claim_id", "interaction_citation_id", "relationship")],
 }
-#: Columns that hold the id of a row of another table, or null: (child table, column, parent table).
+#: Columns that hold the id of a row of another table, or null: (child table, column, parent table),
+#: and ``null`` where a deleted parent leaves a null and not a deleted child.
 REFERENCES = [
     *[(child, column, parent) for child, (column, parent) in CASCADE.items()],
-    ("messages", "interaction_id", "interactions"),
+    ("messages", "interaction_id", "interactions", "null"),
     ("claim_citation_links", "interaction_citation_id", "interaction_citations"),
 ]
 
@@ -69,7 +71,7 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         for columns in UNIQUE[name]:
             counted = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
             parts.append(counted.select(F.lit(name).alias("table_name"), F.lit(f"unique {', '.join(columns)}").alias("rule"), F.to_json(F.struct(*columns)).alias("key"), "n"))
-    for child, column, parent in REFERENCES:
+    for child, column, parent, *_ in REFERENCES:
         if child in tables and parent in tables:
             counted = tables[child].dropna(subset=[column]).groupBy(column).agg(F.count("*").alias("n"))
             lost = counted.join(tables[parent].select(F.col("id").alias(column)), column, "left_anti")
@@ -123,17 +125,69 @@ def replace(old: DataFrame, new: DataFrame, *, by: str) -> DataFrame:
     return old.join(new.select(by).distinct(), by, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
-def without(tables: dict[str, DataFrame], table: str, gone: DataFrame) -> dict[str, DataFrame]:
-    """The tables after rows (by id) of one are deleted, with all that hangs on them."""
+def _closure(tables: dict[str, DataFrame], table: str, gone: DataFrame, references: list) -> dict[str, DataFrame]:
+    """(id) of the rows of each table that go with rows of one: all that cascade from them, through any parent.
+
+    Tables are taken after all of their parents; only those that hang on
+    themselves, by a circle of references, are gone through again until no row
+    is added.
+    """
+    doomed = {table: gone.select(F.col("id").cast("long").alias("id")).distinct()}
+    links = [(c, x, p) for c, x, p, *action in references if action != ["null"] and c in tables and "id" in tables[c].columns]
+
+    def grown(child: str) -> DataFrame | None:
+        parts = [doomed[child]] if child in doomed else []
+        parts += [tables[c].join(doomed[p].select(F.col("id").alias(x)), x, "left_semi").select("id") for c, x, p in links if c == child and p in doomed]
+        whole = parts[0] if parts else None
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole.distinct() if parts else None
+
+    def above(child: str, seen: frozenset = frozenset()) -> set[str]:
+        own = {p for c, _, p in links if c == child} - seen
+        return own.union(*(above(p, seen | own) for p in own)) if own else own
+
+    parents = {c: above(c) for c, _, _ in links}
+    circle = [t for t in parents if t in parents[t]]
+    for child in sorted(parents, key=lambda t: (len(parents[t]), t)):
+        if child not in circle and not parents[child] & set(circle) and (more := grown(child)) is not None:
+            doomed[child] = more
+    while circle:
+        size = {t: doomed[t].count() if t in doomed else 0 for t in circle}
+        for t in circle:
+            if (more := grown(t)) is not None:
+                doomed[t] = written(more, "doomed")
+        if all((doomed[t].count() if t in doomed else 0) == size[t] for t in circle):
+            break
+    for child in sorted(parents, key=lambda t: (len(parents[t]), t)):
+        if child not in circle and parents[child] & set(circle) and (more := grown(child)) is not None:
+            doomed[child] = more
+    return doomed
+
+
+def without(tables: dict[str, DataFrame], table: str, gone: DataFrame, references: list | None = None) -> dict[str, DataFrame]:
+    """The tables after rows (by id) of one are deleted, with all that hangs on them.
+
+    Rows that refer to a deleted row go too, through any of their references,
+    or lose the reference where its action is ``null``.
+    """
+    references = REFERENCES if references is None else references
+    doomed = _closure(tables, table, gone, references)
     out = dict(tables)
-    doomed = {table: gone.select("id")}
-    out[table] = tables[table].join(doomed[table], "id", "left_anti").select(*tables[table].columns)
-    for child, (column, parent) in CASCADE.items():
-        if parent in doomed and child in tables:
+    for name in tables:
+        rows, columns = tables[name], tables[name].columns
+        if name in doomed:
+            rows = rows.join(doomed[name], "id", "left_anti")
+        for child, column, parent, *action in references:
+            if child != name or parent not in doomed or parent not in tables:
+                continue
             parents = doomed[parent].select(F.col("id").alias(column))
-            if "id" in tables[child].columns:
-                doomed[child] = tables[child].join(parents, column, "left_semi").select("id")
-            out[child] = tables[child].join(parents, column, "left_anti").select(*tables[child].columns)
+            if action == ["null"]:
+                kind = tables[name].schema[column].dataType
+                rows = rows.join(parents.withColumn("lost_", F.lit(True)), column, "left").withColumn(column, F.when(F.col("lost_"), F.lit(None).cast(kind)).otherwise(F.col(column))).drop("lost_")
+            elif "id" not in columns:
+                rows = rows.join(parents, column, "left_anti")
+        out[name] = rows.select(*columns)
     return out
 
 
