@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(found) if name in TEXTS else found
 
 
-from . import answering, drafting, evidence, guarding, ingestion, planned, prompting, searching, store, verification  # noqa: E402, F401
+from . import answering, contexts, drafting, evidence, guarding, ingestion, planned, prompting, searching, store, verification  # noqa: E402, F401
