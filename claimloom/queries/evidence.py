@@ -38,8 +38,8 @@ _RULES = " || ".join(
 )
 
 
-@query(rf"""WITH {V},
-        n AS (SELECT id, trim(regexp_replace(query, '\s+', ' ', 'g')) AS q FROM v),
+@query(rf"""WITH {V}, a AS (SELECT id, query FROM v UNION ALL SELECT 1000 + conv_id * 100 + turn, CASE WHEN turn % 3 = 0 THEN 'Find authority on damages and ' || text ELSE text END FROM conversations),
+        n AS (SELECT id, trim(regexp_replace(query, '\s+', ' ', 'g')) AS q FROM a),
         s AS (SELECT *, CASE WHEN q = '' THEN 'not_applied:blank_query' WHEN regexp_matches(q, '{_L["NAMED_CASE"]}') OR regexp_matches(q, '{_L["REPORTER"]}') THEN 'not_applied:named_authority_query'
             WHEN len(regexp_extract_all(lower(q), '[a-z0-9][a-z0-9''-]*')) < 3 OR NOT regexp_matches(lower(q), '{_L["AUTHORITY_SEEKING"]}') THEN 'not_applied:not_broad_research_query' ELSE 'applied' END AS status FROM n),
         t AS (SELECT id, q, status, CASE WHEN status = 'applied' THEN {_RULES} ELSE [] END AS raw FROM s),
@@ -49,7 +49,9 @@ _RULES = " || ".join(
         SELECT CAST(t.id AS BIGINT) AS id, CASE WHEN status = 'applied' AND terms IS NULL THEN 'not_applied:no_safe_expansions' ELSE status END AS status, coalesce(array_to_string(terms, '|'), '') AS terms,
             CAST(CASE WHEN terms IS NULL THEN 1 ELSE 1 + least(4, ceil(len(terms) / greatest(3, least(5, len(terms))))) END AS BIGINT) AS n_variants FROM t LEFT JOIN g USING (id)""")
 def query_expansion(spark, sf_dir):
-    plans = expansion.plans(constants(spark), mode="rule")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Find authority on damages and "), "text")).otherwise(F.col("text"))
+    talk = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), said.alias("query"))
+    plans = expansion.plans(constants(spark).unionByName(talk), mode="rule")
     return plans.select("id", "status", F.array_join("terms", "|").alias("terms"), F.size("variants").cast("long").alias("n_variants"))
 
 

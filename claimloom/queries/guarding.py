@@ -1,10 +1,11 @@
 """Queries on guards, answer modes and the place of claims in answers."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..operators import guards
-from . import answering, query
+from . import answering, query, table
 from .evidence import quoted
 from .verification import ts
 
@@ -20,10 +21,22 @@ ROWS = [
 ]
 _Q = lambda s: "NULL" if s is None else quoted(s)
 _V = f"v(id, c, e, l, q, t, u) AS (VALUES {', '.join(f'({i}, {", ".join(map(_Q, r))})' for i, r in enumerate(ROWS))})"
+#: Turns with the turn before them, as further rows.
+SAID = "said AS (SELECT 1000 + conv_id * 100 + turn AS id, conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM conversations)"
 _POS = "('VERIFIED', 'SUPPORTED', 'POSSIBLE_SUPPORT')"
 
 
-@query(f"""WITH {_V}, k AS (SELECT *, {ts("coalesce(c, '')", EV, 2)} AS ct, {ts("coalesce(e, '')", EV, 2)} AS et, {ts("concat_ws(' ', c, e)", EV, 2)} AS both_, list_filter({ts("coalesce(q, '')", EV + lexicon.SUBJECT_GENERIC, 2)}, lambda x: length(x) >= 4) AS su FROM v),
+def said(spark, sf_dir):
+    """(id, conv_id, turn, role, text, earlier): all turns with the text of the turn before."""
+    earlier = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").withColumn("earlier", earlier)
+    return talk.withColumn("id", 1000 + F.col("conv_id") * 100 + F.col("turn"))
+
+
+@query(f"""WITH {_V.replace("v(", "v0(", 1)}, {SAID},
+    v AS (SELECT * FROM v0 UNION ALL SELECT id, text, earlier, ['VERIFIED', 'SUPPORTED', 'POSSIBLE_SUPPORT', 'UNSUPPORTED'][turn % 4 + 1], CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'use only retrieved sources on ' || text ELSE text END,
+        CASE WHEN conv_id % 3 = 0 THEN 'Smith v. Jones' END, CASE WHEN turn % 5 = 0 THEN '999 U.S. 111' END FROM said),
+    k AS (SELECT *, {ts("coalesce(c, '')", EV, 2)} AS ct, {ts("coalesce(e, '')", EV, 2)} AS et, {ts("concat_ws(' ', c, e)", EV, 2)} AS both_, list_filter({ts("coalesce(q, '')", EV + lexicon.SUBJECT_GENERIC, 2)}, lambda x: length(x) >= 4) AS su FROM v),
     n AS (SELECT *, len(list_intersect(ct, et)) AS o FROM k),
     s AS (SELECT id, l, CASE WHEN coalesce(t, '') = '' THEN 'not_applied:no_target_case' WHEN len(ct) = 0 OR len(et) = 0 THEN 'not_applied:no_alignment_tokens' WHEN o >= 2 THEN 'passed:token_overlap'
             WHEN len(ct) <= 5 AND o > 0 THEN 'passed:short_claim_overlap' ELSE 'blocked:low_target_evidence_overlap' END AS target,
@@ -35,6 +48,11 @@ _POS = "('VERIFIED', 'SUPPORTED', 'POSSIBLE_SUPPORT')"
     SELECT CAST(id AS BIGINT) AS id, target, subject, risk, CASE WHEN target LIKE 'blocked%' OR subject LIKE 'blocked%' OR risk LIKE 'blocked%' THEN 'UNSUPPORTED' ELSE l END AS final_label FROM s""")
 def support_guards(spark, sf_dir):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "id long, c string, e string, l string, q string, t string, u string")
+    turn = F.col("turn")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("VERIFIED", "SUPPORTED", "POSSIBLE_SUPPORT", "UNSUPPORTED")]), (turn % 4 + 1).cast("int"))
+    asked = F.when(turn % 3 == 1, F.concat(F.lit("use only retrieved sources on "), "text")).when(turn % 3 == 2, F.col("text"))
+    more = said(spark, sf_dir).select("id", F.col("text").alias("c"), F.col("earlier").alias("e"), label.alias("l"), asked.alias("q"), F.when(F.col("conv_id") % 3 == 0, "Smith v. Jones").alias("t"), F.when(turn % 5 == 0, "999 U.S. 111").alias("u"))
+    rows = rows.unionByName(more)
     no, none = F.lit(False), F.lit(None).cast("string")
     c, e, label = F.col("c"), F.col("e"), F.col("l")
     risky = guards.is_high_risk(target=F.col("t"), uploads=no, status=F.lit("not_resolved:no_signal"), source=F.lit("unresolved"), context=none, mode=none, missing_case=none)
@@ -49,22 +67,28 @@ def support_guards(spark, sf_dir):
 MODES = [("direct", False, False, False, False), ("direct", False, False, True, False), ("retrieval", True, True, True, True), ("retrieval", False, True, True, False), ("retrieval", False, False, True, True)]
 
 
-@query(f"""WITH v(id, g, f, r, u, l) AS (VALUES {', '.join(f"({i}, '{g}', {f}, {r}, {u}, {x})" for i, (g, f, r, u, x) in enumerate(MODES))})
+@query(f"""WITH v0(id, g, f, r, u, l) AS (VALUES {', '.join(f"({i}, '{g}', {f}, {r}, {u}, {x})" for i, (g, f, r, u, x) in enumerate(MODES))}),
+    v AS (SELECT * FROM v0 UNION ALL SELECT 1000 + conv_id * 100 + turn, CASE WHEN role = 'assistant' THEN 'direct' ELSE 'retrieval' END, turn % 5 = 4, turn % 3 = 2, length(text) % 2 = 0, conv_id % 4 = 0 FROM conversations)
     SELECT CAST(id AS BIGINT) AS id, CASE WHEN f THEN 'missing_case_topic_fallback' WHEN r THEN 'refusal' WHEN l THEN 'research_leads' WHEN g = 'direct' AND NOT u THEN 'direct' ELSE 'retrieval_grounded' END AS mode FROM v""")
 def answer_modes(spark, sf_dir):
     rows = spark.createDataFrame([(i, *m) for i, m in enumerate(MODES)], "id long, g string, f boolean, r boolean, u boolean, l boolean")
+    turn = F.col("turn")
+    rows = rows.unionByName(said(spark, sf_dir).select("id", F.when(F.col("role") == "assistant", "direct").otherwise("retrieval").alias("g"), (turn % 5 == 4).alias("f"), (turn % 3 == 2).alias("r"), (F.length("text") % 2 == 0).alias("u"), (F.col("conv_id") % 4 == 0).alias("l")))
     return rows.select("id", guards.answer_mode(generation=F.col("g"), fallback=F.col("f"), refused=F.col("r"), retrieval=F.col("u"), leads=F.col("l")).alias("mode"))
 
 
 TOPICS = [("In Smith v. Jones, what did the court hold about adverse possession?", "smith v. jones"), ("what did the Supreme Court decide in this case on standing", ""), ("In  , easements.", None)]
 
 
-@query(rf"""WITH v(id, q, m) AS (VALUES {', '.join(f'({i}, {quoted(q)}, {_Q(m)})' for i, (q, m) in enumerate(TOPICS))}),
+@query(rf"""WITH v0(id, q, m) AS (VALUES {', '.join(f'({i}, {quoted(q)}, {_Q(m)})' for i, (q, m) in enumerate(TOPICS))}),
+    v AS (SELECT * FROM v0 UNION ALL SELECT 1000 + conv_id * 100 + turn, 'In ' || text || ' what did the court hold about ' || text, CASE WHEN conv_id % 2 = 0 THEN substr(text, 3, 8) END FROM conversations),
     a AS (SELECT id, CASE WHEN coalesce(m, '') <> '' AND strpos(lower(q), lower(m)) > 0 THEN substr(q, 1, strpos(lower(q), lower(m)) - 1) || ' ' || substr(q, strpos(lower(q), lower(m)) + length(m)) ELSE q END AS t FROM v)
     SELECT CAST(id AS BIGINT) AS id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^\s*In\s*,?\s*', ' ', 'g'), '(?i)\bwhat\s+did\s+(?:the\s+)?(?:supreme\s+)?court\s+(?:hold|decide|do)\b', ' ', 'g'),
         '(?i)\b(?:that|this|the)\s+case\b', ' ', 'g'), '(?i)\b(?:hold|holding|held)\b', ' ', 'g'), '\s+', ' ', 'g')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g') AS topic FROM a""")
 def topic_questions(spark, sf_dir):
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TOPICS)], "id long, q string, m string")
+    asked = F.concat(F.lit("In "), "text", F.lit(" what did the court hold about "), "text")
+    rows = rows.unionByName(said(spark, sf_dir).select("id", asked.alias("q"), F.when(F.col("conv_id") % 2 == 0, F.substring("text", 3, 8)).alias("m")))
     return rows.select("id", guards.topic_question(F.col("q"), F.col("m")).alias("topic"))
 
 

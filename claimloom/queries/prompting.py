@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions import names
 from ..operators import answers, posture, prompts
-from . import answering, query, table
+from . import answering, guarding, query, table
 from .evidence import quoted
 from .verification import ts
 
@@ -61,11 +61,16 @@ SAYINGS = [("The Court denied certiorari.", "x", "Held so."), ("The Court denied
 _S = f"v(id, a, e, r) AS (VALUES {', '.join(f'({i}, {quoted(a)}, {quoted(e) if e else 'NULL'}, {quoted(r)})' for i, (a, e, r) in enumerate(SAYINGS))})"
 
 
-@query(f"""WITH {_S}, s AS (SELECT *, CASE WHEN NOT regexp_matches(a, {quoted(posture.CERT_DENIED_SAID)}) THEN 'not_applied:no_cert_denial_language'
+@query(f"""WITH {_S.replace("v(", "v0(", 1)}, {guarding.SAID},
+    v AS (SELECT * FROM v0 UNION ALL SELECT id, text || CASE WHEN turn % 2 = 0 THEN ' The Court denied certiorari.' ELSE '' END, earlier || CASE WHEN conv_id % 3 = 0 THEN ' The petition for certiorari is denied.' ELSE '' END, CASE WHEN turn % 3 = 0 THEN '' ELSE 'Held so.' END FROM said),
+    s AS (SELECT *, CASE WHEN NOT regexp_matches(a, {quoted(posture.CERT_DENIED_SAID)}) THEN 'not_applied:no_cert_denial_language'
         WHEN regexp_matches(coalesce(e, ''), {quoted(posture.CERT_DENIED)}) THEN 'not_applied:authorized_by_prompt_evidence' ELSE 'applied:blocked_unauthorized_cert_denial' END AS guard FROM v)
     SELECT CAST(id AS BIGINT) AS id, guard, CASE WHEN guard LIKE 'applied%' THEN coalesce(nullif(trim(r), ''), {quoted(posture.NO_SUPPORT)}) ELSE a END AS guarded_answer FROM s""")
 def denial_guard(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(SAYINGS)], "id long, a string, e string, r string").withColumn("decision_type", F.lit(None).cast("string"))
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(SAYINGS)], "id long, a string, e string, r string")
+    turn, denied = F.col("turn"), F.when(F.col("conv_id") % 3 == 0, " The petition for certiorari is denied.").otherwise("")
+    more = guarding.said(spark, sf_dir).select("id", F.concat("text", F.when(turn % 2 == 0, " The Court denied certiorari.").otherwise("")).alias("a"), F.concat("earlier", denied).alias("e"), F.when(turn % 3 == 0, "").otherwise("Held so.").alias("r"))
+    rows = rows.unionByName(more).withColumn("decision_type", F.lit(None).cast("string"))
     return posture.denial_guard(rows, answer="a", evidence="e", replacement="r").select("id", "guard", "guarded_answer")
 
 
@@ -73,12 +78,16 @@ UPLOADED = [("What is the notice period in my uploaded memo?", "The notice perio
 _U = f"v(id, q, e) AS (VALUES {', '.join(f'({i}, {quoted(q)}, {quoted(e)})' for i, (q, e) in enumerate(UPLOADED))})"
 
 
-@query(f"""WITH {_U}, t AS (SELECT *, {ts('q', lexicon.EVIDENCE_STOPWORDS + posture.UPLOAD_GENERIC, 2)} AS core, {ts('e', lexicon.EVIDENCE_STOPWORDS, 2)} AS found FROM v)
+@query(f"""WITH {_U.replace("v(", "v0(", 1)}, {guarding.SAID},
+    v AS (SELECT * FROM v0 UNION ALL SELECT id, text || CASE WHEN turn % 5 <> 4 THEN ' in my uploaded memo' ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN ' and prior cases' ELSE '' END, coalesce(earlier, '') FROM said),
+    t AS (SELECT *, {ts('q', lexicon.EVIDENCE_STOPWORDS + posture.UPLOAD_GENERIC, 2)} AS core, {ts('e', lexicon.EVIDENCE_STOPWORDS, 2)} AS found FROM v)
     SELECT CAST(id AS BIGINT) AS id, CASE WHEN NOT regexp_matches(q, {quoted(posture.UPLOAD)}) THEN 'not_applied:not_upload_query' WHEN regexp_matches(q, {quoted(posture.COMPARING)}) THEN 'not_applied:comparison_query'
         WHEN trim(e) = '' THEN 'not_applied:no_upload_evidence_sentences' WHEN len(core) = 0 THEN 'not_applied:no_core_query_terms' WHEN list_has_any(core, found) THEN 'not_applied:upload_evidence_matches_query_terms'
         ELSE 'applied:user_upload_absence' END AS absence FROM t""")
 def upload_absence(spark, sf_dir):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(UPLOADED)], "id long, q string, e string")
+    asked = F.concat("text", F.when(F.col("turn") % 5 != 4, " in my uploaded memo").otherwise(""), F.when(F.col("conv_id") % 4 == 0, " and prior cases").otherwise(""))
+    rows = rows.unionByName(guarding.said(spark, sf_dir).select("id", asked.alias("q"), F.coalesce("earlier", F.lit("")).alias("e")))
     return posture.upload_absence(rows, question="q", evidence="e").select("id", "absence")
 
 
@@ -104,9 +113,13 @@ def annotated_html(spark, sf_dir):
 REPORTERS = ["U. S.", "S. Ct.", "F. 3d", "F.Supp.2d", "Cal.  App."]
 
 
-@query(f"""WITH v(x) AS (VALUES {', '.join(f'({quoted(r)})' for r in REPORTERS)}) SELECT x, CASE upper(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) WHEN 'US' THEN 'U.S.' WHEN 'SCT' THEN 'S. Ct.' WHEN 'F3D' THEN 'F.3d' WHEN 'F2D' THEN 'F.2d'
+@query(f"""WITH r(i, r) AS (VALUES {', '.join(f'({i}, {quoted(r)})' for i, r in enumerate(REPORTERS))}),
+    v AS (SELECT c_custkey, r || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '   ' || c_mktsegment END AS x FROM customer JOIN r ON i = c_custkey % {len(REPORTERS)})
+    SELECT c_custkey, x, CASE upper(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) WHEN 'US' THEN 'U.S.' WHEN 'SCT' THEN 'S. Ct.' WHEN 'F3D' THEN 'F.3d' WHEN 'F2D' THEN 'F.2d'
     WHEN 'FSUPP' THEN 'F. Supp.' WHEN 'FSUPP2D' THEN 'F. Supp. 2d' WHEN 'FSUPP3D' THEN 'F. Supp. 3d' ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END AS reporter FROM v""")
 def reporter_names(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in REPORTERS], "x string").select("x", names.reporter("x").alias("reporter"))
+    said = F.element_at(F.array(*[F.lit(r) for r in REPORTERS]), (F.col("c_custkey") % len(REPORTERS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(said, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("   "), "c_mktsegment"))).alias("x"))
+    return rows.select("c_custkey", "x", names.reporter("x").alias("reporter"))
 
 
