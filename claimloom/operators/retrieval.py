@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..storage import written
+from ..storage import releasing, written
 from . import containment
 
 
@@ -30,6 +30,7 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 def term_counts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, term, tf, dl) of each chunk's terms, and a row without a term for each chunk; no shuffle."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches, 1024):
             names, term, chunk, tf, length = tk.counted(batch.column(1))

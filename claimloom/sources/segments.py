@@ -33,7 +33,7 @@ from .. import config
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators.retrieval import sized, top_k
-from ..storage import written
+from ..storage import releasing, written
 from . import versions
 
 #: Chunks whose postings of a term make one block; a place in it takes two bytes.
@@ -61,6 +61,7 @@ def bucket_of(term, buckets: int) -> Column:
 def _blocks(block: int):
     """Posting blocks of each ``block`` chunks; the row without a term lists the chunks themselves."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for no, batch in enumerate(tk.slices(batches, block)):
@@ -279,6 +280,7 @@ def _scored(k: int, average: float):
             n = len(q)
             yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(no), pa.array(place_of.astype(np.int32)), pa.array(score[q, place_of])], names=["segment", "shard", "no", "place", "score"])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of one block of chunks
         for batch in batches:
