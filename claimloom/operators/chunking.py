@@ -12,8 +12,8 @@ from .. import config
 from ..functions import text as tx
 
 
-def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, chunk_id, text): windows of ``size`` words, the last may be short.
+def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_index, chunk_id, text, *keep): windows of ``size`` words, the last may be short.
 
     An overlap of 0 means none. A text without words gives no chunk.
     """
@@ -24,8 +24,8 @@ def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: in
     last = F.when(n > size, F.ceil((n - size) / F.lit(step))).otherwise(0).cast("int")
     # finished texts are exploded, not copies of the word array; no word, no window
     windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * step + 1, size), " ")))
-    split = docs.select(key, tx.words("text").alias("w")).select(key, F.posexplode(windows).alias("chunk_index", "text"))
-    return split.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
+    split = docs.select(key, *keep, tx.words("text").alias("w")).select(key, *keep, F.posexplode(windows).alias("chunk_index", "text"))
+    return split.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", *keep)
 
 
 def disjoint_groups(docs: DataFrame, *, size: int = config.DISJOINT_WORDS, key: str = "doc_id") -> DataFrame:

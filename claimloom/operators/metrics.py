@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import lexicon
 from ..functions import text as tx
 
 # Marks of print noise, words that go on with a sentence, and rewrites that turn a statement round.
@@ -96,21 +98,43 @@ def inverted(x) -> Column:
     return tx.let(tx.collapse(found), lambda t: F.coalesce(tx.terminated(t), wrapped))
 
 
+def said_as_answer(sentence: str) -> str:
+    """A sentence as part of an answer: without list marks and page numbers, and "Held:" spelled out."""
+    sentence = re.sub(r"^Pp\.\s*\d+(?:[–-]\d+)?\.\s*", "", re.sub(r"^\([A-Za-z0-9]+\)\s+", "", sentence).strip()).strip()
+    tail = sentence[5:].strip() if sentence.lower().startswith("held:") else ""
+    return f"The Court held that {tail[0].lower()}{tail[1:]}" if tail else sentence
+
+
+def unlike(sentences: list[str], limit: int) -> list[str]:
+    """The first sentences that are not like one chosen before, by their words alone, in the form of an answer."""
+    words = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    kept: list[str] = []
+    seen: set[str] = set()
+    for one in sentences:
+        if len(kept) == limit:
+            break
+        key = words(one)
+        if key not in seen and all(SequenceMatcher(None, key, words(k)).ratio() < ALIKE for k in kept):
+            kept.append(said_as_answer(one))
+            seen.add(key)
+    return kept
+
+
 def extractive_answers(hits: DataFrame, *, query: str, limit: int = 3) -> DataFrame:
     """(query, answer, sentences): the best sentences of each question's hits that are not alike.
 
     ``hits``: query, query_tokens, rank, text. Scores are columns; which of the
     best are alike depends on the ones chosen, so that is a fold over each
-    question's sentences, which its hits bound.
+    question's sentences, which its hits bound. A question without a usable
+    sentence is answered by the start of its first hit.
     """
-    from .. import lexicon
-
     sentence = F.explode(F.transform(tx.sentences("text"), lambda t: tx.terminated(tx.collapse(t))))
     rows = hits.select(query, "query_tokens", "rank", sentence.alias("sentence")).where(usable_sentence("sentence"))
     tokens = tx.token_set("sentence", lexicon.EVIDENCE_STOPWORDS, 2)
     low = F.lower("sentence")
     cue = lambda c, points: F.when(c, points).otherwise(0.0)
     has = lambda t: F.contains(low, F.lit(t))
+    # Weights and cue words.
     score = (
         10.0 * F.size(F.array_intersect(tokens, "query_tokens")) / F.greatest(F.size("query_tokens"), F.lit(1)) + F.greatest(F.lit(0.0), 3.0 - F.col("rank") * 0.35)
         + cue(F.startswith(low, F.lit("held:")), 3.0) + cue(has("the court"), 1.5) + cue(has("first amendment") | has("tiktok"), 1.2) + cue(has("content neutral") | has("important government interest"), 1.0)
@@ -120,14 +144,10 @@ def extractive_answers(hits: DataFrame, *, query: str, limit: int = 3) -> DataFr
     @F.pandas_udf("array<string>")
     def choose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            chosen = []
-            for sentences in p:
-                kept: list[str] = []
-                for one in sentences:
-                    if len(kept) < limit and all(SequenceMatcher(None, one.lower(), k.lower()).ratio() < ALIKE for k in kept):
-                        kept.append(one)
-                chosen.append(kept)
-            yield pd.Series(chosen)
-
-    picked = best.withColumn("sentences", choose(F.transform("c", lambda x: x["sentence"])))
-    return picked.select(query, F.array_join("sentences", " ").alias("answer"), "sentences")
+            yield pd.Series([unlike(list(x), limit) for x in p])
+
+    first = hits.groupBy(query).agg(F.min_by("text", "rank").alias("first"))
+    head = tx.terminated(tx.collapse(F.substring(F.coalesce("first", F.lit("")), 1, 300)))
+    picked = best.withColumn("picked", choose(F.transform("c", lambda x: x["sentence"]))).select(query, "picked")
+    out = first.join(picked, query, "left").withColumn("sentences", F.coalesce(F.when(F.size("picked") > 0, F.col("picked")), F.array(head)))
+    return out.select(query, F.array_join("sentences", " ").alias("answer"), "sentences")
