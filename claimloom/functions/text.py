@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 
+# Abbreviations whose stops end no sentence, and runs of initials.
+ABBREVIATION = r"\b(?:U\.\s*S\.\s*C|U\.\s*S|S\.\s*Ct|D\.\s*C|F\.\s*(?:3d|2d|Supp)|No|Nos|App|Cir|Id|Dr|Mr|Mrs|Ms|Prof|Hon|Jr|Sr|Lt|Co|Corp|Inc|Ltd|L\.?\s*P|L\.?\s*L\.?\s*C|e\.g|i\.e|v)\."
+INITIALS = r"\b(?:[A-Z]\.\s*){2,}"
+_OPEN, _CLOSE, _STOP = "\u0001", "\u0002", "\u0003"
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -76,6 +81,20 @@ def sentences(x) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(_c(x), F.lit("[^.!?]+[.!?]?"), F.lit(0)), strip), lambda s: s != "")
 
 
+def guarded_sentences(x) -> Column:
+    """As ``sentences``, but stops of abbreviations and initials end none.
+
+    Matches are marked in the text, which is cut at the marks to hide the stops
+    inside them; control characters that serve as marks become blanks.
+    """
+    out = F.translate(_c(x), _OPEN + _CLOSE + _STOP, "   ")
+    for pattern in (f"(?iU){ABBREVIATION}", f"(?U){INITIALS}"):
+        parts = F.split(F.regexp_replace(out, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+        hidden = lambda p: F.concat(F.translate(F.substring_index(p, _CLOSE, 1), ".", _STOP), F.substring_index(p, _CLOSE, -1))
+        out = F.array_join(F.transform(parts, lambda p: F.when(F.contains(p, F.lit(_CLOSE)), hidden(p)).otherwise(p)), "")
+    return F.transform(sentences(out), lambda s: F.replace(s, F.lit(_STOP), F.lit(".")))
+
+
 def terminated(x) -> Column:
     x = strip(x)
     return F.when(x.rlike(r"[.!?]$") | (x == ""), x).otherwise(F.concat(x, F.lit(".")))
