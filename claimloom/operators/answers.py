@@ -48,6 +48,14 @@ def support_summary(claims: DataFrame, *, by: str) -> DataFrame:
     return out.withColumn("show_warning", (F.col("total") > 0) & (F.col("unsupported_ratio") >= config.UNSUPPORTED_RATIO))
 
 
+def warning(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``support_summary`` with the kind and the message of their warning, or nulls."""
+    # The wording of the warning.
+    share = F.format_string(" (%d of %d claims unsupported).", F.col("unsupported"), F.col("total"))
+    start = F.when(F.col("unsupported") == F.col("total"), "This response is largely unsupported by retrieved evidence").otherwise("A large share of this response is unsupported by retrieved evidence")
+    return rows.withColumns({"warning_kind": F.when(F.col("show_warning"), "unsupported_majority"), "warning": F.when(F.col("show_warning"), F.concat(start, share))})
+
+
 def span_groups(spans: DataFrame, *, by: str) -> DataFrame:
     """Overlapping spans [start, end) as one group; spans that only touch stay apart."""
     w = W.partitionBy(by).orderBy("start", "end", "claim_id")
@@ -148,3 +156,25 @@ def cases_by_level(evidence: DataFrame, *, by: list[str]) -> DataFrame:
     key = [F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("doc_id", "chunk_id", "source_label")]
     rows = evidence.select(*by, *key, "score", "claim_id")
     return rows.groupBy(*by, "doc_id", "chunk_id", "source_label").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+
+
+def cases_of_claims(links: DataFrame, best: DataFrame, *, claim: str = "claim_id") -> DataFrame:
+    """(claim, relation, doc_id, chunk_id, label, score): the best supporting and the best contradicting case of each claim.
+
+    ``links``: claim, relationship (``supporting`` or ``contradicting``), doc_id,
+    chunk_id, source_label, score. ``best``: the same columns from the
+    verification itself, which stand in where a claim has no link of a kind.
+    """
+    columns = ["doc_id", "chunk_id", "source_label", "score"]
+    both = links.select(claim, "relationship", *columns, F.lit(0).alias("from_")).unionByName(best.select(claim, "relationship", *columns, F.lit(1).alias("from_")))
+    order = F.struct(-F.col("from_"), F.coalesce("score", F.lit(float("-inf"))), F.coalesce("source_label", F.lit("")), F.coalesce("chunk_id", F.lit("")))
+    picked = both.where(F.col("relationship").isin("supporting", "contradicting")).groupBy(claim, "relationship").agg(F.max_by(F.struct(*columns), order).alias("c"))
+    return picked.select(claim, F.when(F.col("relationship") == "supporting", "support").otherwise("contradiction").alias("relation"), "c.doc_id", "c.chunk_id", F.col("c.source_label").alias("label"), "c.score")
+
+
+def cases_of_interactions(cases: DataFrame, claims: DataFrame, *, by: str, claim: str = "claim_id") -> DataFrame:
+    """(by, relation, doc_id, chunk_id, label, score): the distinct cases of each interaction with their best score."""
+    key = [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("doc_id", "chunk_id", "label")]
+    rows = cases.join(claims.select(by, claim), claim).withColumn("k_", F.concat_ws("\u0001", *key))
+    best = rows.groupBy(by, "relation", "k_").agg(F.max_by(F.struct("doc_id", "chunk_id", "label", "score"), F.coalesce("score", F.lit(float("-inf")))).alias("c"))
+    return best.select(by, "relation", "c.*")

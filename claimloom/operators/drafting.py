@@ -190,10 +190,23 @@ def absence_subject(question) -> Column:
     return tx.let(found, lambda t: F.when(t.isNull(), "the requested fact").when(t.rlike(r"(?i)^(?:a|an|the)\b"), t).otherwise(F.concat(article(t), t)))
 
 
+# Text leaked from a prompt, a cut citation, and a title at the end.
+LEAKED = r"(?i)\b(?:here is the answer|requested format|what was the outcome of the case)\b"
+CUT_CITATION = r"""^["'“”]?\s*[A-Z][A-Za-z.-]+,\s+\d+\s+U\.?(?:\s*S\.?)?\s*\.?$"""
+TITLE_LAST = r"\b(?:Dr|Mr|Mrs|Ms|Prof|Hon)\.\s*$"
+
+
 def low_value(x) -> Column:
-    """Texts too short, or too empty, to repair an answer with."""
-    t = F.lower(tx.collapse(F.coalesce(tx._c(x), F.lit(""))))
-    return (F.length(t) < 18) | F.contains(t, F.lit("insufficient support in retrieved authorities"))
+    """Texts too short, too empty, leaked or cut off, which an answer is not repaired with."""
+    t = tx.collapse(F.coalesce(tx._c(x), F.lit("")))
+    said = F.contains(F.lower(t), F.lit("insufficient support in retrieved authorities"))
+    return (F.length(t) < 18) | said | t.rlike(LEAKED) | t.rlike(CUT_CITATION) | t.rlike(TITLE_LAST)
+
+
+def absence_answer(status: Column, question, draft) -> Column:
+    """The draft, or that the upload does not tell what was asked, by the status of ``posture.upload_absence``."""
+    told = F.concat(F.lit("The uploaded document excerpt does not identify "), absence_subject(question), F.lit("."))
+    return F.when(F.startswith(status, F.lit("applied")), told).otherwise(tx._c(draft))
 
 
 def fallback_answer(openings: list[str], sentences: str, detailed: Column) -> Column:
@@ -289,12 +302,13 @@ def issue_terms(x, noise) -> Column:
 def public_question(question, uploads, *, mentions: Column, compares: Column, sources) -> Column:
     """(status, public_query) of a question that compares uploads, as one struct.
 
-    ``uploads`` is an array of the uploaded chunks' texts, ``sources`` one of
-    their ids and file names; three chunks of 1,600 characters are looked at.
+    ``uploads`` is an array of the uploaded chunks' texts, ``sources`` one with
+    the ids and file names of each chunk as one text; three chunks of 1,600
+    characters are looked at, and the names of three.
     """
     q, texts = _text(question), F.coalesce(tx._c(uploads), F.expr("cast(array() as array<string>)"))
     heads = F.array_join(F.transform(F.slice(texts, 1, 3), lambda t: F.substring(t, 1, 1600)), " ")
-    noise = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.array_join(tx._c(sources), " ")), F.lit("[a-z][a-z-]{2,}"), F.lit(0)), lambda t: F.length(t) >= 4))
+    noise = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.array_join(F.slice(tx._c(sources), 1, 3), " ")), F.lit("[a-z][a-z-]{2,}"), F.lit(0)), lambda t: F.length(t) >= 4))
     terms = tx.let(without_upload_noise(F.concat_ws(" ", q, heads)), lambda t: issue_terms(t, noise))
     said = lambda status, text: F.struct(F.lit(status).alias("status"), text.alias("public_query"))
     return (

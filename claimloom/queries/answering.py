@@ -64,6 +64,29 @@ def support_summary(spark, sf_dir):
     return answers.support_summary(_claims(spark, sf_dir), by="conv_id")
 
 
+@query(f"""WITH {_CLAIMS} SELECT conv_id, CASE WHEN total > 0 AND unsupported_ratio >= 0.5 THEN 'unsupported_majority' END AS warning_kind, CASE WHEN total > 0 AND unsupported_ratio >= 0.5 THEN
+        CASE WHEN unsupported = total THEN 'This response is largely unsupported by retrieved evidence' ELSE 'A large share of this response is unsupported by retrieved evidence' END || ' (' || unsupported || ' of ' || total || ' claims unsupported).' END AS warning FROM sr""")
+def answer_warnings(spark, sf_dir):
+    return answers.warning(answers.support_summary(_claims(spark, sf_dir), by="conv_id")).select("conv_id", "warning_kind", "warning")
+
+
+@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey, CASE l_returnflag WHEN 'A' THEN 'supporting' WHEN 'R' THEN 'contradicting' ELSE 'other' END AS relationship, l_suppkey AS doc_id, l_partkey AS chunk_id, l_linestatus AS label, CAST(l_quantity AS DOUBLE) AS score FROM lineitem),
+    b AS (SELECT claim_id, l_orderkey, unnest(['supporting', 'contradicting']) AS relationship, doc_id, chunk_id, 'best' AS label, score / 100 AS score FROM l WHERE claim_id % 3 = 0),
+    u AS (SELECT *, 0 AS o FROM l WHERE relationship <> 'other' UNION ALL SELECT *, 1 FROM b),
+    c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY claim_id, relationship ORDER BY o, score DESC, label DESC, CAST(chunk_id AS VARCHAR) DESC) = 1)
+    SELECT l_orderkey AS interaction_id, CASE relationship WHEN 'supporting' THEN 'support' ELSE 'contradiction' END AS relation, CAST(doc_id AS VARCHAR) AS doc_id, CAST(chunk_id AS VARCHAR) AS chunk_id, label, max(score) AS score FROM c GROUP BY ALL""")
+def interaction_cases(spark, sf_dir):
+    """Order lines as claims with one link each; every third also has what its verification found best."""
+    flag = F.when(F.col("l_returnflag") == "A", "supporting").when(F.col("l_returnflag") == "R", "contradicting").otherwise("other")
+    links = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("interaction_id"), flag.alias("relationship"),
+        F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_partkey").cast("string").alias("chunk_id"), F.col("l_linestatus").alias("source_label"), F.col("l_quantity").cast("double").alias("score"),
+    )
+    best = links.where("claim_id % 3 = 0").withColumns({"relationship": F.explode(F.array(F.lit("supporting"), F.lit("contradicting"))), "source_label": F.lit("best"), "score": F.col("score") / 100})
+    return answers.cases_of_interactions(answers.cases_of_claims(links, best), links, by="interaction_id")
+
+
+
 @query(rf"""WITH {_CLAIMS},
     g AS (SELECT conv_id, start, CASE WHEN regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS sentence FROM (SELECT conv_id, start, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM cl WHERE verdict IN ('VERIFIED', 'SUPPORTED') AND length(text) >= 18)),
     f AS (SELECT conv_id, lower(sentence) AS k, min({{'start': start, 'sentence': sentence}}) AS m FROM g GROUP BY ALL),

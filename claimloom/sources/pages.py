@@ -11,6 +11,9 @@ from ..functions import text as tx
 ARTIFACT = r"(?i)^(?:page\s+)?\d+(?:\s+of\s+\d+)?$|^(?:-\s*)?\d+(?:\s*-)?$"
 HEADING = r"^[A-Z][A-Z0-9 .,'&()/-]+$"
 SECTION = r"(?i)^(?:section|article|chapter|part|title|appendix|introduction|background|discussion|conclusion|analysis|facts|holding)\b"
+DOCKET = r"(?i)\b(?:no\.?|case\s+no\.?|docket\s+no\.?)\s+[\w:\-./]+\b"
+LINE_CITATION = r"\b\d{1,4}\s+[A-Z][A-Za-z.\d]*\s+\d{1,5}\b"
+LINE_DATE = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+\d{1,2},\s+\d{4}\b"
 BULLET = r"^(?:[-*•]|\(?[0-9a-zA-Z]{1,3}[.)])\s"
 
 
@@ -34,6 +37,19 @@ def is_heading(line: Column) -> Column:
     return (F.length(line) <= 120) & (line.rlike(HEADING) | line.rlike(SECTION))
 
 
+def synopsis(text, limit: int = 1200) -> Column:
+    """Headings and the lines with a docket number, a citation or a date, until ``limit``
+    characters are reached, cut there; without any, the start of the text."""
+    clean = lambda x: F.regexp_replace(tx.collapse(F.replace(x, F.lit("\u00ad"), F.lit(""))), r"^[ |]+|[ |]+$", "")
+    x = F.coalesce(tx._c(text), F.lit(""))
+    told = lambda line: (line != "") & (is_heading(line) | line.rlike(DOCKET) | line.rlike(LINE_CITATION) | line.rlike(LINE_DATE))
+    lines = F.filter(F.transform(F.split(x, r"\r\n|\r|\n"), clean), told)
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("n"))
+    step = lambda a, line: F.when(a["n"] >= limit, a).otherwise(F.struct(F.concat(a["kept"], F.array(line)).alias("kept"), (a["n"] + F.length(line) + 1).alias("n")))
+    kept = F.aggregate(lines, empty, step)["kept"]
+    return tx.let(kept, lambda k: F.when(F.size(k) > 0, tx.strip(F.substring(F.array_join(k, "\n"), 1, limit))).otherwise(F.substring(clean(F.substring(x, 1, limit)), 1, limit)))
+
+
 def _merge(lines: Column) -> Column:
     """Lines folded into paragraphs: a break after an end mark and around headings and bullets."""
 
