@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import chunking, retrieval
-from ..sources import segments
+from ..sources import segments, versions
 from ..sources import vectors as lists
 from ..storage import new_folder
 from . import query, table
@@ -42,7 +42,7 @@ _INDEXES: dict[tuple, str] = {}
 def index_of(spark, sf_dir):
     """Folder of the index over the word windows of all documents: built once for a session and a set of files."""
     files = (spark.sparkContext.applicationId, *sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles()))
-    if files not in _INDEXES:
+    if files not in _INDEXES or not versions.latest(spark, _INDEXES[files]):  # a swept folder is built again
         path = new_folder(spark, "index")
         segments.build(chunks_of(spark, sf_dir), path)
         _INDEXES[files] = path
