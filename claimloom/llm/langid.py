@@ -161,18 +161,27 @@ class Model:
 def _count_batches(bits: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}  # counts by bucket of ``BLOCK_LANGS`` languages at most
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, total in held.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "bucket", "n"])
+            held.clear()
+
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 coded = batch.column(0).dictionary_encode()
-                own = coded.indices.to_numpy().astype(np.int64)
-                keys, counts = [], []
+                names, own = coded.dictionary.to_pylist(), coded.indices.to_numpy()
                 for first, row, bucket, n in sparse_counts([t or "" for t in batch.column(1).to_pylist()], bits):
-                    keys.append(own[first + row] << bits | bucket)
-                    counts.append(n)
-                key, place = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
-                lang = coded.dictionary.take(pa.array(key >> bits))
-                yield pa.RecordBatch.from_arrays([lang, pa.array((key & (1 << bits) - 1).astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+                    code = own[first + row]
+                    for c in np.unique(code).tolist():
+                        if names[c] not in held and len(held) >= BLOCK_LANGS:
+                            yield from counted()
+                        here = code == c
+                        held.setdefault(names[c], np.zeros(1 << bits))
+                        held[names[c]] += np.bincount(bucket[here], n[here], 1 << bits)
+        yield from counted()
 
     return run
 
