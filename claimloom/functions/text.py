@@ -17,6 +17,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries of ASCII letters, digits and underscores, as SQL's engine has them.
+
+    The JVM of Java 17 counts other letters as parts of words, later ones do not.
+    """
+    return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def let(x: Column, use) -> Column:
     """``use(x)`` with x worked out once, however often ``use`` names it."""
     return F.get(F.transform(F.array(x), use), F.lit(0))

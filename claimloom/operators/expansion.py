@@ -10,14 +10,14 @@ from ..functions import text as tx
 
 
 def _named(x: Column) -> Column:
-    return x.rlike(lexicon.NAMED_CASE) | x.rlike(lexicon.REPORTER)
+    return x.rlike(tx.ascii_bounds(lexicon.NAMED_CASE)) | x.rlike(tx.ascii_bounds(lexicon.REPORTER))
 
 
 def plans(questions: DataFrame, *, mode: str = "hybrid", max_terms: int = config.MAX_TERMS, max_variants: int = config.MAX_VARIANTS) -> DataFrame:
     """``questions`` (query, optional facets array) with terms, variants and status."""
     q = tx.collapse(F.coalesce("query", F.lit("")))
     low = F.lower(q)
-    broad = (F.size(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9'-]*"), F.lit(0))) >= 3) & low.rlike(lexicon.AUTHORITY_SEEKING)
+    broad = (F.size(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9'-]*"), F.lit(0))) >= 3) & low.rlike(tx.ascii_bounds(lexicon.AUTHORITY_SEEKING))
     parts = [F.array(*[F.lit(t) for t in lexicon.AUTHORITY_TERMS])]
     for triggers, terms in lexicon.EXPANSIONS:
         hit = F.lit(False)
