@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as tx
-from ..storage import written
+from ..storage import spread, written
 from . import containment
 
 # Patterns of reporters, of code sections, of case names, and of signal words.
@@ -38,17 +38,18 @@ def _found(text: Column, pattern: str, build: Callable[[Column, Column, Column],
     at least, so thirty parts hold the window before it.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), _OPEN + _CLOSE, "  ")
-    parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
     whole = lambda p: F.replace(p, F.lit(_CLOSE), F.lit(""))
 
-    def one(part: Column, i: Column) -> Column:
-        at = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0).cast("long"), lambda n, p: n + F.length(whole(p)))
-        first = F.greatest(F.lit(1), i - 29)
-        before = whole(F.array_join(F.slice(parts, first, i - first + 1), ""))
-        return build(F.substring_index(part, _CLOSE, 1), at, F.right(before, F.lit(NAME_WINDOW)))
+    def cut(parts: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            at = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0).cast("long"), lambda n, p: n + F.length(whole(p)))
+            first = F.greatest(F.lit(1), i - 29)
+            before = whole(F.array_join(F.slice(parts, first, i - first + 1), ""))
+            return tx.let(F.substring_index(part, _CLOSE, 1), lambda raw: build(raw, at, F.right(before, F.lit(NAME_WINDOW))))
 
-    marked = F.transform(parts, lambda p, i: F.when(i > 0, one(p, i)))
-    return F.array_compact(marked)
+        return F.transform(parts, lambda p, i: F.when(i > 0, one(p, i)))
+
+    return F.array_compact(tx.let(F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN), cut))
 
 
 def _last_case(before: Column) -> Column:
@@ -118,15 +119,21 @@ def verify(claims: DataFrame, chunks: DataFrame, *, score: Callable[[str, str],
     The first citation of a claim is looked up; of the chunks that match it the
     one most like the claimed proposition decides, equal ones by chunk_id.
     """
-    parsed = claims.select("claim_id", "text", extracted("text").alias("citations"))
+    parsed = spread(claims).select("claim_id", "text", extracted("text").alias("citations"))
     parsed = parsed.select("claim_id", F.size("citations").cast("long").alias("n_citations"), F.get("citations", F.lit(0)).alias("first"), proposition("text", "citations").alias("proposition"))
     asked = parsed.select("claim_id", "n_citations", "proposition", F.col("first.raw_text").alias("raw_text"), F.coalesce("first.normalized_text", F.lit("")).alias("citation_key"))
-    pairs = asked.where("citation_key <> ''").join(candidates(asked, chunks), "citation_key").join(chunks.select("chunk_id", "doc_id", F.col("text").alias("evidence")), "chunk_id")
+    asked = written(asked, "parsed-claims")
+    # equal chunks stand behind the first of them, equal questions are asked once: what is rated are pairs of different texts
+    alike = chunks.where("chunk_id is not null").groupBy("citation", "text").agg(F.min(F.struct("chunk_id", "doc_id")).alias("least"), F.count("*").alias("n"))
+    alike = written(alike.select("least.*", "citation", "text", "n"), "alike-chunks")
+    questions = asked.where("citation_key <> ''").select("citation_key", "proposition").distinct()
+    pairs = questions.join(candidates(asked, alike), "citation_key").join(alike.select("chunk_id", "doc_id", "n", F.col("text").alias("evidence")), "chunk_id")
     rated = pairs.withColumn("score", F.when(F.col("proposition") == "", 1.0).otherwise(score("proposition", "evidence")))
     # without a proposition the first match stands for all, as all have the same score
-    order = W.partitionBy("claim_id").orderBy(F.desc("score"), "chunk_id")
-    best = rated.withColumns({"r": F.row_number().over(order), "n_candidates": F.count("*").over(W.partitionBy("claim_id"))}).where("r = 1")
-    out = asked.join(best.select("claim_id", "chunk_id", "doc_id", "score", "n_candidates", F.substring("evidence", 1, 300).alias("evidence")), "claim_id", "left")
+    first = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id", "doc_id", F.substring("evidence", 1, 300).alias("evidence"))).alias("first")
+    best = rated.groupBy("citation_key", "proposition").agg(first, F.sum("n").alias("n_candidates"))
+    best = best.select("citation_key", "proposition", "first.chunk_id", "first.doc_id", (-F.col("first.s")).alias("score"), "n_candidates", "first.evidence")
+    out = asked.join(best, ["citation_key", "proposition"], "left")
     verdict = F.when(F.col("chunk_id").isNull(), "CITATION_ERROR").when(F.col("proposition") == "", "VERIFIED").otherwise(support(F.col("score")))
     why = (
         F.when(F.col("n_citations") == 0, "No legal citation found in claim text.").when(F.col("chunk_id").isNull(), F.concat(F.lit("No retrieved source matches citation "), "raw_text", F.lit(".")))

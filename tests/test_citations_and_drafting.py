@@ -35,6 +35,17 @@ def test_citation_verdicts(spark):
     assert citations.verify(asked.limit(0), chunks).count() == 0 and citations.verify(asked, chunks.limit(0)).where("authority_found").count() == 0
 
 
+def test_equal_claims_and_chunks_are_rated_once(spark):
+    """400 claims on 400 chunks of two texts: 160,000 pairs of rows, two of texts."""
+    asked = spark.range(400).selectExpr("id AS claim_id", "'410 U.S. 113 says that fish swim.' AS text")
+    chunks = spark.range(400).selectExpr("500 - id AS chunk_id", "id AS doc_id", "'410 U.S. 113' AS citation", "IF(id % 2 = 0, 'It says that fish swim.', 'Nothing.') AS text")
+    rated = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda a, b: rated.add(1) or (0.9 if "fish" in b else 0.1), "double").asNondeterministic()
+    rows = citations.verify(asked, chunks, score=lambda a, b: seen(a, b)).collect()
+    assert len(rows) == 400 and {(r.chunk_id, r.doc_id, r.n_candidates, r.confidence) for r in rows} == {(102, 398, 400, 0.9)}
+    assert rated.value <= 8
+
+
 @pytest.mark.parametrize(("text", "kind"), [("In 410 U.S. courts refused.", "fact"), ("Over 40 us citizens voted.", "fact"), ("It is barred by 28 U.S.C. § 1441(b).", "statutory"), ("See 410 U.S. 113.", "citation"), ("The court held so.", "holding")])
 def test_claim_types(spark, text, kind):
     assert _one(spark, claims.claim_type(F.col("t")), t=text) == kind
