@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Rows whose texts are Python objects at a time.
+PIECE_ROWS = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +48,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def pieces(batches, rows: int = PIECE_ROWS):
+    """The batches in slices of few rows: what Python makes of texts is several times as large as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def releasing(run):
     """A partition function that gives a worker's unused memory back when its partition ends: workers live on."""
 
