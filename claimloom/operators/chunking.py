@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..storage import pieces, releasing
 
 
 def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,11 +53,15 @@ def paragraph_chunks(docs: DataFrame, *, size: int = config.PARAGRAPH_CHARS, ove
                 held = f"{held}\n\n{part}" if held else part
         return [*out, held] if held else out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            packed = frame["text"].fillna("").map(pack)
-            rows = [(k, i, f"{k}_chunk_{i}", c) for k, chunks in zip(frame[key], packed, strict=True) for i, c in enumerate(chunks)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_id", "text"])
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            packed = [pack(t or "") for t in batch.column(1).to_pylist()]
+            at = [(row, i) for row, chunks in enumerate(packed) for i in range(len(chunks))]
+            keys = batch.column(0).take(pa.array([row for row, _ in at], pa.int64()))
+            ids = [f"{k}_chunk_{i}" for k, (_, i) in zip(keys.to_pylist(), at, strict=True)]
+            texts = [c for chunks in packed for c in chunks]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in at], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[key, "chunk_index", "chunk_id", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index long, chunk_id string, text string")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, chunk_index long, chunk_id string, text string")
