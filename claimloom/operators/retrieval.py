@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,10 @@ from . import containment
 #: Vectors of one block, and what rounding to six digits can join.
 DENSE_BLOCK = 8192
 TIE = 2e-6
+#: Chunks, and queries, of one matrix product of BM25, and terms of one step of it; a place takes two bytes.
+SCORED, TERMS = 512, 4096
+#: Places of the bitmap of query terms; a driver holds one number for each at most.
+SLOTS = 1 << 20
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -72,23 +77,89 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, *, k: int = config.SPARSE_K
     """(query, key, score, rank): BM25; repeated query terms count each time.
 
     Chunks are split into tokens once. Only terms of the queries are kept from
-    them, before any shuffle; a chunk's terms meet in the task that read it.
+    them; those of ``SCORED`` chunks are one row, which meets packs of as many
+    queries as a matrix product. What leaves it are the ``k`` best of each query.
     """
     asked = queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    n_asked, n_terms = asked.count(), terms.count()
-    # the row without a term stays too: it counts the chunk and its length
-    wanted = terms.unionByName(terms.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "wanted")
-    counts = term_counts(chunks, key)
-    counts = written(counts.join(sized(wanted, n_terms), F.col("term").eqNullSafe(F.col("wanted")), "left_semi"), "counts")
-    total = counts.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = int(total["n"]), float(total["avgdl"] or 0.0) or 1.0
-    posted = counts.where("term IS NOT NULL")
-    idf = term_stats(posted, n).select("term", "idf")
-    k1, b = F.lit(config.BM25_K1), F.lit(config.BM25_B)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = posted.join(sized(idf, n_terms), "term").join(sized(asked, n_asked), "term").groupBy(query, key).agg(F.round(F.sum(part), digits).alias("score"))
-    return top_k(scored.where("score > 0"), query, k, F.desc("score"), F.asc(key))
+    asked = written(asked.groupBy(query).agg(F.collect_list(F.struct("term", "qtf")).alias("terms")).withColumn("no", F.monotonically_increasing_id()), "asked")  # the terms of one query
+    each = asked.select("no", F.inline("terms"))
+    slots = each.select((F.crc32("term") % SLOTS).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()  # SLOTS numbers at most
+    kind = chunks.select(key).schema[0].dataType.simpleString()
+    blocks = written(chunks.select(key, "text").mapInArrow(_term_blocks(slots), f"ids array<{kind}>, dls array<int>, terms array<string>, sizes array<int>, places binary, tfs binary"), "term-blocks")
+    total = blocks.select(F.size("ids").alias("n"), F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens")).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+    n = int(total["n"] or 0)
+    avgdl = float(total["tokens"] / n if n else 0.0) or 1.0
+    df = F.col("df")
+    counted = blocks.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("sizes").alias("df")))).groupBy("term").agg(F.sum("df").alias("df"))
+    idf = counted.select("term", F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
+    shape = asked.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    weighted = each.join(idf, "term").select("no", "term", (F.col("qtf") * F.col("idf") * (config.BM25_K1 + 1)).alias("weight"))
+    packs = weighted.groupBy("no").agg(F.collect_list("term").alias("q_terms"), F.collect_list("weight").alias("q_weights"))
+    packs = packs.groupBy(F.pmod(F.xxhash64("no"), F.lit(-(-int(shape["n"]) // SCORED) or 1)).alias("pack")).agg(F.collect_list(F.struct("no", "q_terms", "q_weights")).alias("p"))  # ``SCORED`` queries on average
+    column = lambda c: F.transform("p", lambda x: x[c])
+    packs = written(packs.select(column("no").alias("nos"), F.transform(column("q_terms"), F.size).alias("held"), F.flatten(column("q_terms")).alias("asked"), F.flatten(column("q_weights")).alias("weights")), "query-packs")
+    # some 64 pairs in a task, as what a task is sent in one batch are rows and not bytes
+    pairs = (n // SCORED + 1) * (int(shape["n"]) // SCORED + 1)
+    met = blocks.repartition(max(pairs // 64, chunks.sparkSession.sparkContext.defaultParallelism)).crossJoin(sized(packs, int(shape["terms"] or 0)))
+    found = met.mapInArrow(_best_of_terms(key, k, avgdl), f"no long, `{key}` {kind}, score double").withColumn("score", F.round("score", digits))
+    return top_k(found.where("score > 0"), "no", k, F.desc("score"), F.asc(key)).join(sized(asked.select("no", query), int(shape["n"])), "no").select(query, key, "score", "rank")
+
+
+def _term_blocks(slots: np.ndarray):
+    """One row for each ``SCORED`` chunks: their ids and lengths, and the postings of terms that fall into the slots."""
+    wanted = np.zeros(SLOTS, bool)
+    wanted[slots] = True
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches, SCORED):
+            names, term, chunk, tf, length = tk.counted(batch.column(1))
+            kept = wanted[[zlib.crc32(t.encode()) % SLOTS for t in names.to_pylist()]] if len(names) else np.zeros(0, bool)
+            term, chunk, tf = (x[kept[term]] for x in (term, chunk, tf))
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [one(batch.column(0)), one(pa.array(length.astype(np.int32))), one(names.cast(pa.string()).take(pa.array(term[first]))), one(pa.array(np.diff(np.append(first, len(term))).astype(np.int32))), pa.array([chunk.astype("<u2").tobytes()]), pa.array([tf.astype("<u4").tobytes()])],
+                names=["ids", "dls", "terms", "sizes", "places", "tfs"],
+            )
+
+    return run
+
+
+def _best_of_terms(key: str, k: int, average: float):
+    """For each pair of a block of chunks and a pack of queries the ``k`` best chunks of each query."""
+    k1, b = config.BM25_K1, config.BM25_B
+
+    def best(row: pa.RecordBatch) -> pa.RecordBatch:
+        cell = lambda c: row.column(c)[0].values
+        dl = cell("dls").to_numpy().astype(float)
+        sizes, held = cell("sizes").to_numpy(), cell("held").to_numpy()
+        place, tf = np.frombuffer(row.column("places")[0].as_py(), "<u2"), np.frombuffer(row.column("tfs")[0].as_py(), "<u4").astype(float)
+        part = tf / (tf + k1 * (1 - b + b * dl[place] / average))
+        row_of = {t: i for i, t in enumerate(cell("terms").to_pylist())}
+        at = np.array([row_of.get(t, -1) for t in cell("asked").to_pylist()], np.int64)
+        of, weight = np.repeat(np.arange(len(held)), held)[at >= 0], cell("weights").to_numpy()[at >= 0]
+        at, ends = at[at >= 0], np.concatenate([[0], np.cumsum(sizes)])
+        score = np.zeros((len(held), len(dl)))
+        for lo in range(0, len(sizes), TERMS):
+            hi = min(lo + TERMS, len(sizes))
+            here, mine = slice(ends[lo], ends[hi]), (at >= lo) & (at < hi)
+            matrix, weights = np.zeros((hi - lo, len(dl))), np.zeros((len(held), hi - lo))
+            matrix[np.repeat(np.arange(hi - lo), sizes[lo:hi]), place[here]] = part[here]
+            weights[of[mine], at[mine] - lo] = weight[mine]
+            score += weights @ matrix
+        # what may tie with the last one after rounding stays
+        bar = np.partition(score, -k, axis=1)[:, -k] - TIE if len(dl) > k else np.zeros(len(held))
+        q, c = np.nonzero((score >= bar[:, None]) & (score > 0))
+        return pa.RecordBatch.from_arrays([cell("nos").take(pa.array(q)), cell("ids").take(pa.array(c)), pa.array(score[q, c])], names=["no", key, "score"])
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield best(batch.slice(i, 1))
+
+    return run
 
 
 def normalized(v: str) -> Column:
