@@ -31,8 +31,8 @@ def _questions(spark, sf_dir):
 
 def _chosen(spark, sf_dir):
     """(questions with their target, chosen hits): the target is the document of a question's second hit."""
-    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", "text")
-    hits = searching.bm25(spark, sf_dir).join(text, "chunk_id")
+    hits = searching.bm25(spark, sf_dir)
+    hits = hits.join(searching.hit_chunks(spark, sf_dir, hits).select("chunk_id", "doc_id", "text"), "chunk_id")
     hits = hits.select("query_id", "chunk_id", "rank", "doc_id", "text", F.when(F.col("doc_id") % 40 == 0, "user_upload").otherwise("case").alias("doc_type"), F.concat(F.lit("Party n"), F.col("doc_id").cast("string"), F.lit("n v. State")).alias("case_name"))
     questions = _questions(spark, sf_dir).join(hits.where("rank = 2").select("query_id", F.col("case_name").alias("second")), "query_id", "left")
     questions = questions.withColumns({"target_case": F.when(F.col("named"), F.col("second")), "target_doc_ids": F.lit(None).cast("array<long>")})

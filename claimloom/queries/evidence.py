@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions import text as tx
 from ..operators import claims, evidence, expansion, grounding
+from ..storage import written
 from . import ORACLES, query, searching, table
 from .verification import ts
 
@@ -97,8 +98,8 @@ NAMED = f"""{searching.BM25}, qt AS (SELECT item_id AS query_id, {ts('text', EV,
 def _named_hits(spark, sf_dir, names="text"):
     """Hits with the tokens of ``names``."""
     hits = searching.bm25(spark, sf_dir)
-    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", tx.token_set(names, EV, 2).alias("name_tokens"))
-    return hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir), "query_id")
+    text = searching.hit_chunks(spark, sf_dir, hits).select("chunk_id", "doc_id", tx.token_set(names, EV, 2).alias("name_tokens"))
+    return written(hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir), "query_id"), "named-hits")
 
 
 def _question_tokens(spark, sf_dir):
@@ -154,7 +155,7 @@ _LEAD = f"(regexp_matches(sentence, '{_pattern('HOLDING_LEAD')}') OR regexp_matc
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, sent, chunk_id) AS rank, chunk_id, sha1(sentence) AS digest, score FROM d QUALIFY rank <= 3""")
 def evidence_sentences_topk(spark, sf_dir):
     hits = searching.bm25(spark, sf_dir, k=8).drop("rank")
-    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "chunk_index", "text")
+    text = searching.hit_chunks(spark, sf_dir, hits).select("chunk_id", "chunk_index", "text")
     rows = hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir).withColumnRenamed("query_tokens", "tokens"), "query_id").withColumn("named", F.lit(False))
     return evidence.best_sentences(rows, query="query_id").select("query_id", "rank", "chunk_id", F.sha1("sentence").alias("digest"), "score")
 
@@ -180,7 +181,7 @@ def verification_scope(spark, sf_dir):
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS place, chunk_id, score FROM p QUALIFY place <= 6""")
 def topic_fallback(spark, sf_dir):
     hits = searching.bm25(spark, sf_dir)
-    text = searching.indexed_chunks(spark, sf_dir).select("chunk_id", "text")
+    text = searching.hit_chunks(spark, sf_dir, hits).select("chunk_id", "text")
     return evidence.topic_fallback(hits.join(text, "chunk_id").join(_question_tokens(spark, sf_dir).withColumnRenamed("query_tokens", "tokens"), "query_id"), query="query_id")
 
 

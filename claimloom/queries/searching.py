@@ -6,7 +6,7 @@ from .. import config
 from ..operators import chunking, retrieval
 from ..sources import segments, versions
 from ..sources import vectors as lists
-from ..storage import new_folder
+from ..storage import new_folder, written
 from . import query, table
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -55,7 +55,13 @@ def indexed_chunks(spark, sf_dir):
 
 
 def bm25(spark, sf_dir, k=config.SPARSE_K):
-    return segments.search(asked(spark, sf_dir), index_of(spark, sf_dir), k=k)
+    """The hits, written: most users read them more than once."""
+    return written(segments.search(asked(spark, sf_dir), index_of(spark, sf_dir), k=k), "bm25-hits")
+
+
+def hit_chunks(spark, sf_dir, hits):
+    """The chunks of hits alone."""
+    return segments.chunks_of_hits(hits, index_of(spark, sf_dir))
 
 
 def dense(spark, sf_dir, k=config.DENSE_K):
@@ -152,9 +158,10 @@ def rrf_fusion(spark, sf_dir):
     FROM fr LEFT JOIN chunks USING (chunk_id) LEFT JOIN documents d USING (doc_id)""".replace("sha1(text)", "sha1(chunks.text)"))
 def hybrid_projection(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    text = indexed_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.sha1("text").alias("digest"))
+    hits = written(fused(spark, sf_dir), "fused")
+    text = hit_chunks(spark, sf_dir, hits).select("chunk_id", "doc_id", F.sha1("text").alias("digest"))
     return (
-        fused(spark, sf_dir).join(text, "chunk_id", "left").join(docs, "doc_id", "left")
+        hits.join(text, "chunk_id", "left").join(docs, "doc_id", "left")
         .select("query_id", F.col("chunk_id").alias("id"), F.col("rrf").alias("rrf_score"), F.coalesce("digest", F.lit("N/A")).alias("digest"), F.coalesce("source", F.lit("API Corpus")).alias("source"), F.lit("N/A").alias("citation"))
     )
 

@@ -121,6 +121,12 @@ def live_chunks(spark: SparkSession, path: str) -> DataFrame:
     return _live(spark, path, manifest).drop("segment") if manifest else spark.createDataFrame([], "chunk_id string, text string")
 
 
+def chunks_of_hits(hits: DataFrame, path: str) -> DataFrame:
+    """The live chunks with the ids of ``hits`` (chunk_id), once each, written: where the ids are few no other text is shuffled or kept."""
+    ids = written(hits.select("chunk_id").distinct(), "hit-ids")
+    return written(live_chunks(hits.sparkSession, path).join(sized(ids, ids.count()), "chunk_id", "left_semi"), "hit-chunks")
+
+
 def _live(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
     stored = _stored(spark, path, manifest)
     if not any(x["gone"] for x in manifest["segments"]):
@@ -326,6 +332,7 @@ def search(queries: DataFrame, path: str, *, k: int = config.SPARSE_K, query: st
     weighted = written(each.join(idf, "term").select("no", "term", (F.col("qtf") * F.col("idf") * (config.BM25_K1 + 1)).alias("weight")), "weights")
     most = F.col("weight") * F.col("max_tf") / (F.col("max_tf") + k1 * (1 - b + b * F.col("min_dl") / F.lit(average or 1.0)))
     bounds = heads.where("shard IS NOT NULL").join(sized(weighted, shape["n"]), "term").groupBy("no", "segment", "shard").agg(F.sum(most).alias("bound"))
+    bounds = written(bounds, "bounds")
     packs = weighted.groupBy("no").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
     posts = _of_terms(_postings(spark, path, manifest["segments"]), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs")
     # a number of parts that small data is not packed into fewer ones
