@@ -24,11 +24,13 @@ def verify_claims(docs: DataFrame, asked: DataFrame, *, k: int = config.MERGED_L
     watched = progress.watched if progress else lambda stage, df: df
     said = watched("claims", asked).select("claim_id", "text")
     if index:
-        chunks, hits = segments.live_chunks(docs.sparkSession, index), segments.search(said, index, k=k, query="claim_id")
+        hits = segments.search(said, index, k=k, query="claim_id")
     else:
         chunks = written(chunking.word_windows(docs.select("doc_id", "text")), "chunks")
         hits = retrieval.bm25_topk(chunks, said, k=k, query="claim_id")
     hits = written(watched("retrieval", hits), "hits")
+    if index:
+        chunks = segments.chunks_of_hits(hits, index)
     meta = docs.select("doc_id", "court_level", "doc_type")
     premise = chunks.select("chunk_id", "doc_id", F.col("text").alias("premise"))
     pairs = hits.join(premise, "chunk_id").join(meta, "doc_id").join(asked.select("claim_id", F.col("text").alias("hypothesis")), "claim_id")
