@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import config, lexicon
 from ..operators import answers, citations, drafting, grounding, metrics, posture, verification
 from ..sources import index, uploads
+from ..storage import written
 from . import evidence, query, searching, table
 from .evidence import quoted
 from .verification import PAIRS, scored_pairs, ts
@@ -158,7 +159,8 @@ def polarity_inverted(spark, sf_dir):
 @query()
 def extractive_answers(spark, sf_dir):
     """The benchmark's items as questions, answered from their best chunks."""
-    hits = searching.bm25(spark, sf_dir, k=config.MERGED_LIMIT).join(searching.indexed_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(evidence._question_tokens(spark, sf_dir), "query_id")
+    found = searching.bm25(spark, sf_dir, k=config.MERGED_LIMIT)
+    hits = found.join(searching.hit_chunks(spark, sf_dir, found).select("chunk_id", "text"), "chunk_id").join(evidence._question_tokens(spark, sf_dir), "query_id")
     return metrics.extractive_answers(hits, query="query_id").select("query_id", "answer")
 
 
@@ -233,7 +235,8 @@ def _named_hits(spark, sf_dir):
     hits = evidence._named_hits(spark, sf_dir, "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("family"))
     name = F.concat(F.lit("Party "), F.col("doc_id").cast("string"), F.lit(" v. "), "family")
-    return hits.join(docs, "doc_id").select("query_id", "doc_id", "rank", name.alias("case_name"), F.concat((F.col("doc_id") % 500).cast("string"), F.lit(" U.S. "), (F.col("rank")).cast("string")).alias("citation"), F.when(F.col("doc_id") % 97 == 0, "user_upload").otherwise("case").alias("doc_type"), "name_tokens", "query_tokens", "family")
+    hits = hits.join(docs, "doc_id").select("query_id", "doc_id", "rank", name.alias("case_name"), F.concat((F.col("doc_id") % 500).cast("string"), F.lit(" U.S. "), (F.col("rank")).cast("string")).alias("citation"), F.when(F.col("doc_id") % 97 == 0, "user_upload").otherwise("case").alias("doc_type"), "name_tokens", "query_tokens", "family")
+    return written(hits, "named-cases")  # the ways of a resolution each read them
 
 
 @query()
