@@ -13,13 +13,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All tokens of an array of texts, and the number of tokens of each text (0 for null)."""
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and where each begins (none for null)."""
     texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return raw, at - at[0]
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of an array of texts, and the number of tokens of each text (0 for null)."""
+    raw, at = bytes_of(texts)
     inside = _INSIDE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]

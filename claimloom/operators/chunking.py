@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
-from ..functions import text as tx
+from ..functions import tokens as tk
 from ..storage import pieces, releasing
 
+#: Windows of one batch.
+WINDOWS = 1024
+#: The bytes that part words.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
 
 def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, chunk_index, chunk_id, text, *keep): windows of ``size`` words, the last may be short.
@@ -20,13 +28,57 @@ def word_windows(docs: DataFrame, *, size: int = config.CHUNK_WORDS, overlap: in
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and larger than the overlap")
-    step = size - overlap
-    n = F.size("w")
-    last = F.when(n > size, F.ceil((n - size) / F.lit(step))).otherwise(0).cast("int")
-    # finished texts are exploded, not copies of the word array; no word, no window
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * step + 1, size), " ")))
-    split = docs.select(key, *keep, tx.words("text").alias("w")).select(key, *keep, F.posexplode(windows).alias("chunk_index", "text"))
-    return split.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", *keep)
+    rest = docs.select(key, *keep, "text")
+    fields = rest.schema.fields[:-1]
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.LongType()), T.StructField("text", T.StringType())])
+    found = rest.mapInArrow(_windows(size, size - overlap), schema)
+    return found.select(key, "chunk_index", F.concat(F.col(key).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", *keep)
+
+
+def _windows(size: int, step: int):
+    """Windows of the last column's words, cut from its bytes; the other columns are repeated."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = batch.column(batch.num_columns - 1)
+            raw, at = tk.bytes_of(texts)
+            blank = _BLANK[raw]
+            # a word begins at the start of a row or after a blank, and ends before one or with the row
+            begins, ends = ~blank, ~blank
+            begins[1:] &= blank[:-1]
+            ends[:-1] &= blank[1:]
+            rows = at[:-1][np.diff(at) > 0]
+            begins[rows] = ~blank[rows]
+            rows = at[1:][np.diff(at) > 0] - 1
+            ends[rows] = ~blank[rows]
+            starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            # the words with one blank after each that has one: a window is a slice of them
+            raw = raw.copy()
+            raw[blank] = 0x20
+            kept = ~blank
+            kept[1:] |= ~blank[:-1]
+            joined = raw[kept].data
+            after = np.zeros(len(starts) + 1, np.int64)
+            followed = np.append(kept, False)[stops] & np.append(blank, False)[stops]
+            np.cumsum(stops - starts + followed, out=after[1:])
+            first = np.searchsorted(starts, at)
+            n = np.diff(first)
+            many = np.where(n > 0, 1 + np.maximum(-(-(n - size) // step), 0), 0)
+            row = np.repeat(np.arange(len(n)), many)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            lo = first[row] + index * step
+            hi = np.minimum(lo + size, first[row] + n[row])
+            lo, hi = after[lo], after[hi - 1] + (stops - starts)[hi - 1]
+            for cut in range(0, len(row), WINDOWS):
+                own = slice(cut, cut + WINDOWS)
+                offsets = np.append(0, np.cumsum(hi[own] - lo[own])).astype(np.int32)
+                data = b"".join([joined[x:y] for x, y in zip(lo[own].tolist(), hi[own].tolist(), strict=True)])
+                text = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                repeated = [c.take(pa.array(row[own])) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*repeated, pa.array(index[own]), text], names=[*batch.schema.names[:-1], "chunk_index", "text"])
+
+    return run
 
 
 def disjoint_groups(docs: DataFrame, *, size: int = config.DISJOINT_WORDS, key: str = "doc_id") -> DataFrame:

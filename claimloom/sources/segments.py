@@ -2,9 +2,10 @@
 
 A folder holds ``chunks``, ``postings`` and ``gone`` (tombstones), each by
 ``segment``, and ``_versions`` with one manifest for each committed change. The
-postings of a segment lie in folders by a hash of their term; a row is a block:
-the postings of one term among ``BLOCK`` chunks, with the greatest count and
-the least length in it. A query reads the folders of its terms alone. What a
+postings of a segment lie in folders by a hash of their term. A block holds the
+postings of one term among ``BLOCK`` chunks, with the greatest count and the
+least length in it; the blocks of a folder's terms among the same chunks are one
+row, as most of them hold a single posting. A query reads the folders of its terms alone. What a
 block can add to a score at most follows from those two numbers, so blocks of
 chunks that can't reach the k best of a query are never looked into, and the
 result is exactly that of a search without blocks.
@@ -21,6 +22,7 @@ an unknown id does nothing; an index without chunks finds nothing.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as tx
@@ -47,23 +50,28 @@ FIRST = 2
 #: Scores are compared after rounding to six digits.
 TIE = 2e-6
 
-#: Places are numbers of two bytes, counts of one byte or, in a block with a greater one, of four.
-#: The row without a term has the ids and lengths of the block's chunks.
-POSTINGS = "shard long, term string, n int, tokens long, max_tf int, min_dl int, places binary, tfs binary, ids array<string>, dls array<int>"
+#: Blocks of many terms. Places are numbers of two bytes, counts of one byte or, in a block with a greater one, of four.
+#: The row of bucket -1 has the ids and lengths of the chunks.
+POSTINGS = "shard long, term array<string>, n array<int>, max_tf array<int>, min_dl array<int>, places array<binary>, tfs array<binary>, ids array<string>, dls array<int>"
 GONE = "chunk_id string, of int, shard long, place int"
 _FOLDERS = "segment int, bucket int"
+#: What a block of one term has.
+_OF_BLOCK = ("term", "n", "max_tf", "min_dl", "places", "tfs")
+#: The form of the files; a folder of another form is not read.
+FORM = 2
 
 
 def bucket_of(term, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return (F.crc32(term) % F.lit(buckets)).cast("int")
 
 
-def _blocks(block: int):
-    """Posting blocks of each ``block`` chunks; the row without a term lists the chunks themselves."""
+def _blocks(block: int, buckets: int):
+    """A row for each ``block`` chunks and bucket with the posting blocks of its terms, and one that lists the chunks themselves."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        columns = ["shard", *_OF_BLOCK, "ids", "dls", "bucket"]
         for no, batch in enumerate(tk.slices(batches, block)):
             ids, n = batch.column(0), batch.num_rows
             names, term, doc, tf, length = tk.counted(batch.column(1))
@@ -77,18 +85,38 @@ def _blocks(block: int):
             kept[:, 1:] = wide[:, None]
             ends = np.concatenate([[0], np.cumsum(np.where(wide, 4, 1))])[cuts]
             binary = lambda at, data: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-            fill = lambda kind: pa.nulls(len(first), kind)
-            blocks = [
-                pa.array(np.full(len(first), (task << 32) + no)), names.cast(pa.string()).take(pa.array(term[first])), pa.array(np.diff(cuts).astype(np.int32)), fill(pa.int64()),
-                pa.array(most.astype(np.int32)), pa.array((np.minimum.reduceat(length[doc], first) if len(first) else most).astype(np.int32)),
-                binary(2 * cuts, doc.astype("<u2")), binary(ends, counts[kept]), fill(pa.list_(pa.string())), fill(pa.list_(pa.int32())),
-            ]
-            listed = [
-                pa.array([(task << 32) + no]), pa.nulls(1, pa.string()), pa.array([n], pa.int32()), pa.array([int(length.sum())], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()),
-                pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.string())), pa.array([length.tolist()], pa.list_(pa.int32())),
-            ]
-            for columns in (blocks, listed):
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "tokens", "max_tf", "min_dl", "places", "tfs", "ids", "dls"])
+            names = names.cast(pa.string()).take(pa.array(term[first]))
+            bucket = np.fromiter(map(zlib.crc32, names.cast(pa.binary()).to_pylist()), np.int64, len(first)) % buckets
+            order = pa.array(np.argsort(bucket, kind="stable"))
+            held, of = np.unique(bucket, return_counts=True)
+            bounds = pa.array(np.append(0, np.cumsum(of)).astype(np.int32))
+            small = lambda values: pa.array(values.astype(np.int32))
+            least = np.minimum.reduceat(length[doc], first) if len(first) else most
+            of_block = [names, small(np.diff(cuts)), small(most), small(least), binary(2 * cuts, doc.astype("<u2")), binary(ends, counts[kept])]
+            packed = [pa.ListArray.from_arrays(bounds, values.take(order)) for values in of_block]
+            none = [pa.nulls(len(held), pa.list_(kind)) for kind in (pa.string(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), (task << 32) + no)), *packed, *none, small(held)], names=columns)
+            none = [pa.nulls(1, values.type) for values in packed]
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + no]), *none, pa.array([ids.to_pylist()], pa.list_(pa.string())), pa.array([length.tolist()], pa.list_(pa.int32())), pa.array([-1], pa.int32())], names=columns)
+
+    return run
+
+
+def _lost(block: int):
+    """(bucket, term, n): among how many of the deleted places (dead) a term stands."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                gone = np.zeros(block, np.int64)
+                gone[batch.column("dead")[i].values.to_numpy()] = 1
+                names, places = batch.column("term")[i].values, batch.column("places")[i].values
+                at = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1]
+                hit = gone[np.frombuffer(places.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view("<u2")]
+                n = np.add.reduceat(hit, (at[:-1] - at[0]) // 2)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column("bucket")[i].as_py()), pa.int32()), names.take(pa.array(some)), pa.array(n[some])], names=["bucket", "term", "n"])
 
     return run
 
@@ -97,15 +125,33 @@ def _read(spark: SparkSession, path: str, what: str, schema: str, segments: list
     """A part of the index, of the segments of a manifest alone."""
     own = [s["id"] for s in segments if s[what]]
     full = f"{schema}, {folders}"
-    if not own:
-        return spark.createDataFrame([], full)
+    if not own:  # a range needs no Python worker
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(full).fields])
     return spark.read.schema(full).parquet(f"{path}/{what}").where(F.col("segment").isin(own))
 
 
-def _postings(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+def _latest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of the folder as it is now."""
+    found = versions.latest(spark, path)
+    if found and found.get("form") != FORM:
+        raise ValueError(f"{path} holds an index of another form; build it again")
+    return found
+
+
+def _rows(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
     return _read(spark, path, "postings", POSTINGS, segments, _FOLDERS)
 
 
+def _postings(spark: SparkSession, path: str, segments: list[dict], columns: tuple[str, ...] = _OF_BLOCK) -> DataFrame:
+    """(segment, bucket, shard, ``columns``) of each posting block."""
+    return _rows(spark, path, segments).where("bucket >= 0").select("segment", "bucket", "shard", F.inline(F.arrays_zip(*columns)))
+
+
+def _lists(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+    """(segment, shard, ids, dls) of the chunks."""
+    return _rows(spark, path, segments).where("bucket = -1").select("segment", "shard", "ids", "dls")
+
+
 def _stored(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
     return _read(spark, path, "chunks", manifest["chunk_schema"], manifest["segments"])
 
@@ -117,7 +163,7 @@ def _gone(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
 
 def live_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunks that are in the index now, as they were given."""
-    manifest = versions.latest(spark, path)
+    manifest = _latest(spark, path)
     return _live(spark, path, manifest).drop("segment") if manifest else spark.createDataFrame([], "chunk_id string, text string")
 
 
@@ -136,7 +182,7 @@ def _live(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 
 def _change(spark: SparkSession, path: str, chunks: DataFrame | None, gone: DataFrame | None, *, fresh: bool = False, block: int = BLOCK) -> dict:
     """Write one segment and commit it; ``fresh``: it replaces all segments."""
-    old = versions.latest(spark, path)
+    old = _latest(spark, path)
     known = old or {"segments": [], "chunk_schema": None, "block": block, "buckets": None}
     no = versions.claim_number(spark, f"{path}/_segments")
     entry = {"id": no, "postings": False, "chunks": False, "gone": False, "n": 0, "tokens": 0, "shards": 0}
@@ -153,35 +199,40 @@ def _change(spark: SparkSession, path: str, chunks: DataFrame | None, gone: Data
     if entry["chunks"]:
         buckets = buckets or min(max(shape["n"] // CHUNKS_A_BUCKET, LEAST_BUCKETS), MOST_BUCKETS)
         lanes = 1 + shape["n"] // LANE_CHUNKS
-        blocks = own.select("chunk_id", "text").mapInArrow(_blocks(known["block"]), POSTINGS)
-        dealt = blocks.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of("term", buckets)))
-        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(lanes))).sortWithinPartitions("bucket", "term", "shard")
+        blocks = own.select("chunk_id", "text").mapInArrow(_blocks(known["block"], buckets), f"{POSTINGS}, bucket int")
+        dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(lanes))).sortWithinPartitions("bucket", "shard")
         dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/segment={no}")
         entry["postings"] = True
-        total = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings/segment={no}").where("bucket = -1").agg(F.sum("n"), F.sum("tokens"), F.count("*")).first()
+        tokens = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+        total = _lists(spark, path, [entry]).agg(F.sum(F.size("ids")), F.sum(tokens), F.count("*")).first()
         entry |= {"n": int(total[0]), "tokens": int(total[1]), "shards": int(total[2])}
     if old and not fresh:
         again = [x.select("chunk_id") for x in (gone, own if entry["chunks"] else None) if x is not None]
         ids = again[0] if len(again) == 1 else again[0].unionByName(again[1])
-        dead = written(_live(spark, path, old).select("chunk_id", "text", "segment").join(ids.distinct(), "chunk_id", "left_semi"), "dead")
-        # counts of the terms of deleted chunks, below zero, under folders of the same terms
-        lost = written(dead.select("chunk_id", "text").mapInArrow(_blocks(known["block"]), POSTINGS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "lost")
-        total = lost.where("term IS NULL").select("n", "tokens").first()
-        if total:
-            lists = _postings(spark, path, old["segments"]).where("bucket = -1").select("segment", "shard", F.posexplode("ids").alias("place", "chunk_id"))
-            lists.join(dead.select("chunk_id", "segment"), ["chunk_id", "segment"]).select("chunk_id", F.col("segment").alias("of"), "shard", "place").write.parquet(f"{path}/gone/segment={no}")
-            minus = lost.where("term IS NOT NULL").select("term", (-F.col("n")).cast("int").alias("n"), bucket_of("term", buckets).alias("bucket"))
+        each = _lists(spark, path, old["segments"]).select("segment", "shard", F.posexplode(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("dls").alias("dl"))).alias("place", "x"))
+        each = each.select("segment", "shard", "place", "x.chunk_id", "x.dl")
+        if any(x["gone"] for x in old["segments"]):
+            each = each.join(_gone(spark, path, old["segments"]).select("segment", "shard", "place"), ["segment", "shard", "place"], "left_anti")
+        dead = written(each.join(ids.distinct(), "chunk_id", "left_semi"), "dead")
+        total = dead.agg(F.count("*"), F.sum("dl")).first()
+        if total[0]:
+            dead.select("chunk_id", F.col("segment").alias("of"), "shard", "place").write.parquet(f"{path}/gone/segment={no}")
+            # counts of the terms of deleted chunks, below zero, under folders of the same terms
+            places = dead.groupBy("segment", "shard").agg(F.collect_list("place").alias("dead"))  # a block's at most
+            blocks = _rows(spark, path, old["segments"]).where("bucket >= 0").select("segment", "shard", "bucket", "term", "places")
+            lost = blocks.join(sized(places, int(total[0]) // 16), ["segment", "shard"]).select("bucket", "term", "places", "dead").mapInArrow(_lost(known["block"]), "bucket int, term string, n long")
+            minus = lost.groupBy("bucket", "term").agg((-F.sum("n")).cast("int").alias("n"))
             minus.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/lost/segment={no}")
             entry |= {"gone": True, "n": entry["n"] - int(total[0]), "tokens": entry["tokens"] - int(total[1])}
     kept = [] if fresh else known["segments"]
-    after = {"segments": [*kept, entry] if entry["chunks"] or entry["gone"] else kept, "chunk_schema": schema, "block": known["block"], "buckets": buckets}
+    after = {"segments": [*kept, entry] if entry["chunks"] or entry["gone"] else kept, "chunk_schema": schema, "block": known["block"], "buckets": buckets, "form": FORM}
     return versions.commit(spark, path, old, after)
 
 
 def build(chunks: DataFrame, path: str, *, block: int = BLOCK) -> dict:
     """A new index over chunks (chunk_id, text, ..) in an empty folder, with ``block`` chunks to a block."""
     spark = chunks.sparkSession
-    if versions.latest(spark, path):
+    if _latest(spark, path):
         raise ValueError(f"{path} holds an index already")
     return _change(spark, path, chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")), None, block=block)
 
@@ -203,7 +254,7 @@ def compact(spark: SparkSession, path: str) -> dict:
 
 def statistics(spark: SparkSession, path: str) -> tuple[int, float]:
     """Number of live chunks and their average length in tokens."""
-    segments = (versions.latest(spark, path) or {"segments": []})["segments"]
+    segments = (_latest(spark, path) or {"segments": []})["segments"]
     n = sum(s["n"] for s in segments)
     return n, sum(s["tokens"] for s in segments) / n if n else 0.0
 
@@ -211,7 +262,7 @@ def statistics(spark: SparkSession, path: str) -> tuple[int, float]:
 def _heads(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
     """(term, segment, shard, n, max_tf, min_dl, bucket) of posting blocks, and counts below zero of deleted chunks without a shard."""
     segments = manifest["segments"]
-    heads = _postings(spark, path, segments).where("bucket >= 0").select("term", "segment", "shard", "n", "max_tf", "min_dl", "bucket")
+    heads = _postings(spark, path, segments, ("term", "n", "max_tf", "min_dl")).select("term", "segment", "shard", "n", "max_tf", "min_dl", "bucket")
     down = [s["id"] for s in segments if s["gone"]]
     if down:
         lost = spark.read.schema("term string, n int, segment int, bucket int").parquet(f"{path}/lost").where(F.col("segment").isin(down))
@@ -221,7 +272,7 @@ def _heads(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 
 def document_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """(term, df) over the live chunks."""
-    manifest = versions.latest(spark, path) or {"segments": []}
+    manifest = _latest(spark, path) or {"segments": []}
     return _frequencies(_heads(spark, path, manifest))
 
 
@@ -237,7 +288,7 @@ def _of_terms(rows: DataFrame, terms: DataFrame, buckets: list[int], n: int) ->
 def _scored(k: int, average: float):
     """For each block of chunks the ``k`` best of each query, by a product of weights and counts.
 
-    Rows come by (segment, shard): deleted places (kind 0), postings (1), queries (2), the lengths of the chunks (3).
+    Rows come by (segment, shard): deleted places (kind 0), postings (1), queries (2), the ids and lengths of the chunks (3).
     """
     k1, b = config.BM25_K1, config.BM25_B
 
@@ -265,7 +316,8 @@ def _scored(k: int, average: float):
         tf = np.zeros(len(place))
         tf[~wide] = packed[np.repeat(width == count, width)]
         tf[wide] = packed[np.repeat(width != count, width)].view("<u4")
-        dl = cells(rows.column("dls"), np.flatnonzero(kind == 3).tolist())[0].astype(float)[place]
+        listed = int(np.flatnonzero(kind == 3)[0])
+        dl = rows.column("dls")[listed].values.to_numpy().astype(float)[place]
         size = int(place.max()) + 1
         part = np.zeros((len(posts), size))
         part[np.repeat(np.arange(len(posts)), count), place] = tf / (tf + k1 * (1 - b + b * dl / average))
@@ -282,9 +334,7 @@ def _scored(k: int, average: float):
             # what may tie with the last one after rounding stays
             q, place_of = np.nonzero((score >= bar[:, None]) & (score > 0))
             no = rows.column("no").take(pa.array(pack, pa.int64())).to_numpy()[q]
-            segment, shard = rows.column("segment")[pack[0]].as_py(), rows.column("shard")[pack[0]].as_py()
-            n = len(q)
-            yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(no), pa.array(place_of.astype(np.int32)), pa.array(score[q, place_of])], names=["segment", "shard", "no", "place", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(no), rows.column("ids")[listed].values.take(pa.array(place_of)), pa.array(score[q, place_of])], names=["no", "chunk_id", "score"])
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +370,7 @@ def search(queries: DataFrame, path: str, *, k: int = config.SPARSE_K, query: st
     that can still reach its k-th score.
     """
     spark = queries.sparkSession
-    manifest = versions.latest(spark, path) or {"segments": [], "buckets": 1}
+    manifest = _latest(spark, path) or {"segments": [], "buckets": 1}
     asked = queries.select(query, F.explode(tx.search_tokens("text")).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     asked = written(asked.groupBy(query).agg(F.collect_list(F.struct("term", "qtf")).alias("terms")).withColumn("no", F.monotonically_increasing_id()), "asked")  # the terms of one query
     each = asked.select("no", F.inline("terms"))
@@ -334,28 +384,25 @@ def search(queries: DataFrame, path: str, *, k: int = config.SPARSE_K, query: st
     bounds = heads.where("shard IS NOT NULL").join(sized(weighted, shape["n"]), "term").groupBy("no", "segment", "shard").agg(F.sum(most).alias("bound"))
     bounds = written(bounds, "bounds")
     packs = weighted.groupBy("no").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    posts = _of_terms(_postings(spark, path, manifest["segments"]), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs")
+    posts = _of_terms(_postings(spark, path, manifest["segments"], ("term", "places", "tfs")), weighted, shape["buckets"], shape["n"]).select("segment", "shard", F.lit(1).alias("kind"), "term", "places", "tfs")
     # a number of parts that small data is not packed into fewer ones
     shards = sum(x["shards"] for x in manifest["segments"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dead = _gone(spark, path, manifest["segments"]).groupBy("segment", "shard").agg(F.collect_list("place").alias("dead")).withColumn("kind", F.lit(0))
-
-    lists = _postings(spark, path, manifest["segments"]).where("bucket = -1").select("segment", "shard", "ids", "dls")
+    lists = _lists(spark, path, manifest["segments"]).withColumn("kind", F.lit(3))
 
     def best(chosen: DataFrame) -> DataFrame:
         wanted = chosen.select("no", "segment", "shard").join(packs, "no").withColumn("kind", F.lit(2))
         here = sized(chosen.select("segment", "shard").distinct(), shards)
-        lengths = lists.select("segment", "shard", F.lit(3).alias("kind"), "dls")
-        rows = posts.unionByName(lengths, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True).join(here, ["segment", "shard"], "left_semi").unionByName(wanted, allowMissingColumns=True)
-        rows = rows.select("segment", "shard", "kind", "term", "dead", "places", "tfs", "dls", "no", "terms", "weights").repartition(parts, "segment", "shard").sortWithinPartitions("segment", "shard")
-        found = rows.mapInArrow(_scored(k, average or 1.0), "segment int, shard long, no long, place int, score double")
+        rows = posts.unionByName(lists, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True).join(here, ["segment", "shard"], "left_semi").unionByName(wanted, allowMissingColumns=True)
+        # no null lists: Arrow's writer fills the offsets of all of a batch's anew at each row
+        full = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("dead", "ids", "dls", "terms", "weights")]
+        rows = rows.select("segment", "shard", "kind", "term", "places", "tfs", "no", *full).repartition(parts, "segment", "shard").sortWithinPartitions("segment", "shard")
+        found = rows.mapInArrow(_scored(k, average or 1.0), "no long, chunk_id string, score double")
         return found.withColumn("score", F.round("score", digits)).where("score > 0")
 
-    def named(found: DataFrame) -> DataFrame:
-        return found.join(lists.drop("dls"), ["segment", "shard"]).select("no", F.get("ids", "place").alias("chunk_id"), "score")
-
     seen = written(top_k(bounds, "no", FIRST, F.desc("bound"), "segment", "shard").select("no", "segment", "shard"), "best-bounds")
-    first = written(named(best(seen)), "first-hits")
+    first = written(best(seen), "first-hits")
     bar = top_k(first, "no", k, F.desc("score"), F.asc("chunk_id")).where(F.col("rank") == k).select("no", F.col("score").alias("bar"))
-    both = first.unionByName(named(best(_open(bounds, seen, bar))))
+    both = first.unionByName(best(_open(bounds, seen, bar)))
     return top_k(both, "no", k, F.desc("score"), F.asc("chunk_id")).join(sized(asked.select("no", query), shape["n"]), "no").select(query, "chunk_id", "score", "rank")
