@@ -26,16 +26,18 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All tokens of an array of texts, and the number of tokens of each text (0 for null)."""
     raw, at = bytes_of(texts)
     inside = _INSIDE[raw]
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    cuts = at[1:-1][at[1:-1] < len(raw)]
+    ends[:-1] &= ~inside[1:]
+    cuts = at[1:-1][(at[1:-1] < len(raw)) & (at[1:-1] > 0)]
     begins[cuts] = inside[cuts]
+    ends[cuts - 1] = inside[cuts - 1]
+    starts = np.flatnonzero(begins)
     # what is left when all other bytes go is one token after the other
-    starts = (np.cumsum(inside) - 1)[begins]
-    bounds = np.append(starts, np.count_nonzero(inside)).astype(np.int64)
+    bounds = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - starts))
     kept = _LOWER[raw[inside]]
     found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
-    return found, np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
+    return found, np.diff(np.searchsorted(starts, at))
 
 
 def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

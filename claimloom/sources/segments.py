@@ -78,12 +78,15 @@ def _blocks(block: int, buckets: int):
             first = np.flatnonzero(np.diff(term, prepend=-1))
             cuts = np.append(first, len(term))
             most = np.maximum.reduceat(tf, first) if len(first) else np.zeros(0, np.int64)
-            wide = np.repeat(most > 255, np.diff(cuts))
-            # four bytes of each count, of which the first is enough in most blocks
-            counts = tf.astype("<u4").view(np.uint8).reshape(-1, 4)
-            kept = np.ones(counts.shape, bool)
-            kept[:, 1:] = wide[:, None]
-            ends = np.concatenate([[0], np.cumsum(np.where(wide, 4, 1))])[cuts]
+            if (most > 255).any():
+                wide = np.repeat(most > 255, np.diff(cuts))
+                # four bytes of each count, of which the first is enough in most blocks
+                counts = tf.astype("<u4").view(np.uint8).reshape(-1, 4)
+                kept = np.ones(counts.shape, bool)
+                kept[:, 1:] = wide[:, None]
+                counts, ends = counts[kept], np.concatenate([[0], np.cumsum(np.where(wide, 4, 1))])[cuts]
+            else:
+                counts, ends = tf.astype(np.uint8), cuts
             binary = lambda at, data: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
             names = names.cast(pa.string()).take(pa.array(term[first]))
             bucket = np.fromiter(map(zlib.crc32, names.cast(pa.binary()).to_pylist()), np.int64, len(first)) % buckets
@@ -92,7 +95,7 @@ def _blocks(block: int, buckets: int):
             bounds = pa.array(np.append(0, np.cumsum(of)).astype(np.int32))
             small = lambda values: pa.array(values.astype(np.int32))
             least = np.minimum.reduceat(length[doc], first) if len(first) else most
-            of_block = [names, small(np.diff(cuts)), small(most), small(least), binary(2 * cuts, doc.astype("<u2")), binary(ends, counts[kept])]
+            of_block = [names, small(np.diff(cuts)), small(most), small(least), binary(2 * cuts, doc.astype("<u2")), binary(ends, counts)]
             packed = [pa.ListArray.from_arrays(bounds, values.take(order)) for values in of_block]
             none = [pa.nulls(len(held), pa.list_(kind)) for kind in (pa.string(), pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), (task << 32) + no)), *packed, *none, small(held)], names=columns)
