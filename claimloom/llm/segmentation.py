@@ -25,9 +25,11 @@ to a space, as the format has it; a null key counts as key 0.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +45,18 @@ SAMPLES = 2
 #: Exponent of the piece probabilities; under 1 it flattens them.
 SMOOTHING = 0.4
 #: Characters of the texts that are sampled together, and of the words whose lattice is kept.
-STEP_CHARS = 60_000
-VOCABULARY_CHARS = 500_000
+STEP_CHARS = 300_000
+VOCABULARY_CHARS = 1_000_000
 #: Words up to this length are summed without logarithms; a character's share of their scale.
 PLAIN_CHARS, SCALE = 48, 4.0
 _STARTS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 #: Stands after each word; no piece holds it.
 _NO_CHAR = (1 << 21) - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MASK = (1 << 64) - 1
+#: Siblings are sought first among arcs whose prefix is likelier than exp(-NEAR). No uniform
+#: number here brings a Gumbel more than TAIL above its location, so it is told what that leaves out.
+NEAR, TAIL = 60.0, 37.0
 
 
 class Pieces:
@@ -75,9 +81,8 @@ class Pieces:
         self.weight = np.exp(self.log_p + SCALE * np.array(list(map(len, self.text))))
         #: Whether words can be treated on their own: no piece goes on past a word start.
         self.by_word = not any(SPACE in self.text[i].lstrip(SPACE) for i in usable)
-        #: Pieces that decode on their own; an ASCII byte is a whole character.
-        self.plain = np.array([self.byte_of.get(i, 0) < 0x80 for i in range(n)])
-        self.alone = [chr(self.byte_of[i]) if self.byte_of.get(i, 0x80) < 0x80 else self.text[i] for i in range(n)]
+        #: What pieces decode to; taken in a row, their bytes are those of the text.
+        self.bytes_of = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else x.encode() for i, x in enumerate(self.text)], pa.binary())
         self.ascii = np.array([self.byte.get(b, -1) for b in range(0x80)], np.int64)
 
         states: dict[tuple[int, int], int] = {}
@@ -117,21 +122,7 @@ class Pieces:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
-        found = np.asarray(ids, np.int64)
-        ids = found.tolist()
-        if self.plain[found].all():
-            joined = "".join(map(self.alone.__getitem__, ids))
-        else:
-            out, held = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
-                    held = bytearray()
-                out.append(self.text[i])
-            joined = "".join(out) + held.decode("utf-8", "replace")
+        joined = str(self.bytes_of.take(pa.array(ids, pa.int64())).buffers()[2] or b"", "utf-8", "replace")
         return joined.removeprefix(SPACE).replace(SPACE, " ")
 
 
@@ -213,28 +204,28 @@ class Lattice:
             if not len(chosen):
                 continue
             backward = np.zeros(n) if logs else np.ones(n)
+            # arcs in the order of their nodes' distance from the word's end
             by_left = chosen[np.argsort(left[chosen].astype(np.int32), kind="stable")]
-            cut = np.searchsorted(left[by_left], np.arange(1, int(left[chosen].max()) + 2))
+            c = counts[by_left]
+            edge = np.cumsum(c) - c
+            arcs = np.repeat(arc_from[by_left] - edge, c) + np.arange(int(c.sum()))
+            own, to = piece[arcs], np.repeat(by_left, c) + length[arcs]
+            value = np.where(own >= 0, pieces.log_p[np.maximum(own, 0)], self._spelling(own)) if logs else pieces.weight[own]
+            cut = np.cumsum(np.bincount(left[chosen]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                nodes = by_left[a:b]
-                if not len(nodes):
+                if a == b:
                     continue
-                c = counts[nodes]
-                edge = np.cumsum(c) - c
-                n_arcs = int(edge[-1] + c[-1])
-                arcs = np.repeat(arc_from[nodes] - edge, c) + np.arange(n_arcs)
-                own = piece[arcs]
-                to = backward[np.repeat(nodes, c) + length[arcs]]
+                i, j = int(edge[a]), int(edge[b]) if b < len(edge) else len(arcs)
                 if logs:
-                    value = np.where(own >= 0, pieces.log_p[np.maximum(own, 0)], self._spelling(own)) + to
-                    backward[nodes] = total = np.logaddexp.reduceat(value, edge)
-                    p[arcs] = np.exp(value - np.repeat(total, c))
+                    value[i:j] += backward[to[i:j]]
+                    backward[by_left[a:b]] = np.logaddexp.reduceat(value[i:j], edge[a:b] - i)
                 else:
-                    value = pieces.weight[own] * to
-                    backward[nodes] = total = np.add.reduceat(value, edge)
-                    p[arcs] = value / np.repeat(total, c)
-        sure = np.flatnonzero(p >= 1)
-        sure = sure[counts[np.searchsorted(arc_from, sure, side="right") - 1] > 1]
+                    value[i:j] *= backward[to[i:j]]
+                    backward[by_left[a:b]] = np.add.reduceat(value[i:j], edge[a:b] - i)
+            total = np.repeat(backward[by_left], c)
+            p[arcs] = np.exp(value - total) if logs else value / total
+        sure = p >= 1
+        sure[arc_from[:-1][counts == 1]] = False
         p[sure] = 1 - 2**-53  # only a lone arc is certain
         nodes, arcs = len(self.is_end), len(self.p)
         for name, more in (("first", first + nodes), ("arc_from", arc_from[1:] + arcs), ("is_end", is_end), ("piece", piece), ("length", length), ("p", p)):
@@ -266,6 +257,15 @@ class Lattice:
             open_ = open_[(sums[open_] <= u[open_]) & (arc[open_] < last[open_])]
         return arc
 
+    def draw_one(self, node: int, u: float) -> int:
+        """``draw`` of a single node."""
+        arc, last = int(self.arc_from[node]), int(self.arc_from[node + 1]) - 1
+        total = self.p[arc]
+        while total <= u and arc < last:
+            arc += 1
+            total += self.p[arc]
+        return arc
+
 
 class Vocabulary:
     """Words met so far, numbered in the order they are first asked for, and their lattice."""
@@ -277,7 +277,7 @@ class Vocabulary:
     def _forget(self) -> None:
         self.lattice = Lattice(self.pieces)
         #: Words by their text without the space mark before it, where no other mark is near.
-        self._number: dict[str, int] = {}
+        self._number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         self._chars = 0
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,14 +296,14 @@ class Vocabulary:
             else:
                 words += text.split(" ")
             ends[i] = len(words)
-        known = self._number
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        known, before = self._number, len(self._number)
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        # those that the lookups have just numbered stand last
+        new = [w if w[0] == SPACE else SPACE + w for w in itertools.islice(reversed(known), len(known) - before)][::-1]
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            new = [w if w[0] == SPACE else SPACE + w for w in new]
             self._chars += sum(map(len, new))
             self.lattice.add(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.diff(ends, prepend=0)
+        return numbers, np.diff(ends, prepend=0)
 
 
 def _keyed(seed: np.ndarray, a, b) -> np.ndarray:
@@ -331,6 +331,21 @@ def _uniform(seed: np.ndarray, a, b, c) -> np.ndarray:
     return _uniform_of(_keyed(seed, a, b), c)
 
 
+def _uniform_one(own: int, a: int, b: int, c: int) -> float:
+    """``_uniform`` of a single key, without arrays."""
+    x = own + a * 0xD1B54A32D192ED03 + b * 0x8CB92BA72F3D8DD7 & _MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    x = (x ^ x >> 31) + c * 0xAAAAAAAAAAAAAAAB & _MASK
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & _MASK
+    return ((x ^ x >> 29) >> 12) * 2.0**-52 + 2.0**-53
+
+
+def _truncated_one(phi: float, bound: float, u: float) -> float:
+    """``_truncated`` of a single location, from a uniform number."""
+    return float(phi - np.log(np.exp(min(phi - bound, 700.0)) - np.log(u)))
+
+
 def _truncated(phi, bound, e):
     """A Gumbel with location phi, truncated at bound, from an exponential number e."""
     with np.errstate(invalid="ignore"):
@@ -390,44 +405,36 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
         run = np.zeros(len(log_c) + 1)
         for a, b in zip(fresh.doc[:-1].tolist(), fresh.doc[1:].tolist(), strict=True):
             np.cumsum(log_c[a:b], out=run[a + 1 : b + 1])
-        rest = lattice.log_rest(fresh.arcs)
-        doc_of = np.repeat(np.arange(n), np.diff(fresh.doc))
-        within = np.arange(len(fresh.arcs)) - fresh.doc[doc_of]
-        e = -np.log(_uniform_of(_keyed(own, s, 1 << 41)[doc_of], within))
-        before = np.where(within > 0, run[:-1], 0.0)
         bound, shift, skip = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
         heads: list = [None] * n
         for d in range(n):
             if popped[d] is None:
                 continue
             priority, _, prefix, node, excluded, log_prefix = popped[d]
-            bound[d] = -priority
+            bound[d] = limit = -priority
             a = int(fresh.doc[d])
             if prefix is None:
                 heads[d] = ()
                 continue
             # the word of the deviation: an arc not yet taken, then on to the word's end
-            w = int(prefix[1])
+            w, key = int(prefix[1]), int(own[d])
             arcs, total = list(prefix[0]), log_prefix
-            choice = np.arange(lattice.arc_from[node], lattice.arc_from[node + 1])
-            choice = choice[~np.isin(choice, excluded)]
+            choice = [arc for arc in range(int(lattice.arc_from[node]), int(lattice.arc_from[node + 1])) if arc not in excluded]
             p = lattice.p[choice]
-            u = float(_uniform(own[d : d + 1], s, 1 << 42, len(arcs))[0]) * p.sum()
-            arc = int(choice[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(choice) - 1)])
-            left = float(p.sum() - lattice.p[arc])
-            taken = (*excluded, arc)
+            u = _uniform_one(key, s, 1 << 42, len(arcs)) * p.sum()
+            arc = choice[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(choice) - 1)]
             if len(choice) > 1:
-                phi = log_prefix + np.log(max(left, 1e-18))
-                g = float(_truncated(phi, bound[d], -np.log(_uniform(own[d : d + 1], s, 1 << 43, len(arcs))[0])))
-                heapq.heappush(agenda[d], (-g, s * 2 + 1, prefix, node, taken, log_prefix))
+                phi = log_prefix + np.log(max(float(p.sum() - lattice.p[arc]), 1e-18))
+                g = _truncated_one(phi, limit, _uniform_one(key, s, 1 << 43, len(arcs)))
+                heapq.heappush(agenda[d], (-g, s * 2 + 1, prefix, node, (*excluded, arc), log_prefix))
             arcs.append(arc)
             total += math.log(max(lattice.p[arc], 1e-300))
             node, t = node + int(lattice.length[arc]), 1
             while not lattice.is_end[node]:
-                arc = int(lattice.draw(np.array([node]), _uniform(own[d : d + 1], s, 1 << 44, t))[0])
+                arc = lattice.draw_one(node, _uniform_one(key, s, 1 << 44, t))
                 if lattice.arc_from[node + 1] - lattice.arc_from[node] > 1:
                     phi = total + math.log(max(1 - lattice.p[arc], 1e-18))
-                    g = float(_truncated(phi, bound[d], -np.log(_uniform(own[d : d + 1], s, 1 << 45, t))[0]))
+                    g = _truncated_one(phi, limit, _uniform_one(key, s, 1 << 45, t))
                     heapq.heappush(agenda[d], (-g, s * 2 + 2 + t, (tuple(arcs), w), node, (arc,), total))
                 arcs.append(arc)
                 total += math.log(max(lattice.p[arc], 1e-300))
@@ -436,27 +443,13 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
             skip[d] = fresh.first[doc_words[d] + w + 1] - a  # arcs of the fresh path up to that word
             shift[d] = total - (run[a + skip[d]] if skip[d] else 0.0)
         # siblings of the fresh part of each path
-        g = _truncated(before + rest + shift[doc_of], bound[doc_of], e)
-        g[within < skip[doc_of]] = -np.inf
-        g[np.isneginf(bound[doc_of])] = -np.inf
-        some = np.flatnonzero(np.diff(fresh.doc) > 0)
-        for _ in range(k + 1 - s):
-            if not len(some):
-                break
-            top = np.maximum.reduceat(g, fresh.doc[some]) if len(g) else np.zeros(0)
-            good = ~np.isneginf(top)
-            hit = np.flatnonzero(g == np.where(np.isneginf(bound), np.nan, _spread(top, some, n))[doc_of])
-            first_hit = hit[np.unique(doc_of[hit], return_index=True)[1]]
-            for i in first_hit.tolist():
-                d = int(doc_of[i])
-                a = int(fresh.doc[d])
-                head = heads[d]
-                w = int(np.searchsorted(fresh.first[doc_words[d] : doc_words[d + 1] + 1], i, side="right")) - 1
-                prefix = (*head, *fresh.arcs[a + skip[d] : i].tolist())
-                source = int(np.searchsorted(lattice.arc_from, fresh.arcs[i], side="right")) - 1
-                heapq.heappush(agenda[d], (-float(g[i]), s * 1000 + 500, (prefix, w), source, (int(fresh.arcs[i]),), float(before[i] + shift[d])))
-            g[first_hit] = -np.inf
-            some = some[good]
+        begins = fresh.doc[:-1] + skip
+        of_doc, at, g, before = _siblings(lattice, fresh, run, _keyed(own, s, 1 << 41), begins, bound, shift, k + 1 - s)
+        in_word = np.searchsorted(fresh.first, at, side="right") - 1 - doc_words[of_doc]
+        source = np.searchsorted(lattice.arc_from, fresh.arcs[at], side="right") - 1
+        for d, i, priority, log_prefix, w, node in zip(*(x.tolist() for x in (of_doc, at, -g, before, in_word, source)), strict=True):
+            prefix = (*heads[d], *fresh.arcs[begins[d] : i].tolist())
+            heapq.heappush(agenda[d], (priority, s * 1000 + 500, (prefix, w), node, (int(fresh.arcs[i]),), log_prefix))
         for d in range(n):
             if heads[d] is not None:
                 a, b = int(fresh.doc[d]), int(fresh.doc[d + 1])
@@ -472,10 +465,39 @@ def sample_step(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int, seed
     return result
 
 
-def _spread(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, np.nan)
-    out[at] = np.where(np.isneginf(values), np.nan, values)
-    return out
+def _siblings(lattice: Lattice, fresh: _Path, run: np.ndarray, key: np.ndarray, begins: np.ndarray, bound: np.ndarray, shift: np.ndarray, most: int) -> tuple:
+    """Of each document, the arcs from ``begins`` on with the greatest Gumbels of what leaves the path there, ``most`` at most.
+
+    Documents, places of the arcs, Gumbels, and log-probabilities of the prefixes. Prefixes get
+    less likely along a path, so few arcs at its begin are likely to hold the greatest.
+    """
+    n, ends = len(begins), fresh.doc[1:]
+    stops, floor = begins.copy(), np.full(n, -np.inf)
+    for d in np.flatnonzero((begins < ends) & ~np.isneginf(bound)).tolist():
+        a, b = int(begins[d]), int(ends[d])
+        start = run[a] if a > fresh.doc[d] else 0.0
+        stops[d] = a + 1 + np.searchsorted(-run[a + 1 : b], NEAR - start)
+        if stops[d] < b:
+            floor[d] = run[stops[d]] + shift[d] + TAIL
+    while True:
+        size = stops - begins
+        doc_of = np.repeat(np.arange(n), size)
+        at = np.arange(len(doc_of)) - np.repeat(np.cumsum(size) - size, size) + begins[doc_of]
+        within = at - fresh.doc[doc_of]
+        before = np.where(within > 0, run[at], 0.0)
+        e = -np.log(_uniform_of(key[doc_of], within))
+        g = _truncated(before + lattice.log_rest(fresh.arcs[at]) + shift[doc_of], bound[doc_of], e)
+        some = np.flatnonzero(~np.isneginf(g))
+        some = some[np.lexsort((-g[some], doc_of[some]))]
+        count = np.bincount(doc_of[some], minlength=n)
+        order = np.arange(len(some)) - np.repeat(np.cumsum(count) - count, count)
+        some = some[order < most]
+        sure = np.bincount(doc_of[some][g[some] > floor[doc_of[some]]], minlength=n) >= most
+        short = np.flatnonzero(~sure & (stops < ends) & (stops > begins))
+        if not len(short):
+            return doc_of[some], at[some], g[some], before[some] + shift[doc_of[some]]
+        stops[short] = ends[short]
+        floor[short] = -np.inf
 
 
 def _log_inclusion(log_p: float, kappa: float) -> float:
@@ -487,11 +509,12 @@ def _log_inclusion(log_p: float, kappa: float) -> float:
 
 
 def _ids(pieces: Pieces, coded: np.ndarray, spelled: bool) -> np.ndarray:
-    if not spelled:
+    odd = np.flatnonzero(coded < 0) if spelled else ()
+    if not len(odd):
         return coded
-    code = -1 - coded
-    coded = np.where((code >= 0) & (code < 0x80), pieces.ascii[np.clip(code, 0, 0x7F)], coded)
-    if not len(coded) or coded.min() >= 0:
+    code = -1 - coded[odd]
+    coded[odd] = np.where(code < 0x80, pieces.ascii[np.minimum(code, 0x7F)], coded[odd])
+    if coded.min() >= 0:
         return coded
     out: list[int] = []
     for c in coded.tolist():
