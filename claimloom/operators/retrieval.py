@@ -256,14 +256,19 @@ def rerank(candidates: DataFrame, score: Column, *, query: str, k: int, fused: s
     return top_k(candidates.withColumn("rerank_score", score), query, k, F.desc("rerank_score"), F.asc(fused)).withColumnRenamed("rank", "reranked")
 
 
-def hybrid(sparse: Callable[[], DataFrame], dense: Callable[[], DataFrame]) -> tuple[DataFrame | None, str]:
-    """Rank lists of both backends; one may fail, both failing raises."""
+def hybrid(sparse: Callable[[], DataFrame], dense: Callable[[], DataFrame], *, whole: bool = False) -> tuple[DataFrame, str]:
+    """Rank lists of both backends; one may fail, which the status tells, both failing raises.
+
+    ``whole``: for callers that can't pass the status on; any failure is raised as it is.
+    """
     found, failed = [], []
     for name, backend in (("dense", dense), ("sparse", sparse)):
         try:
             # written here: what fails while it runs fails inside the try
             found.append(written(backend().select("query_id", "chunk_id", "rank"), f"{name}-ranks"))
         except Exception as error:  # noqa: BLE001 - a backend may fail in any way
+            if whole:
+                raise
             failed.append(f"{name}:{type(error).__name__}")
     if not found:
         raise RuntimeError("error:" + ";".join(failed))

@@ -143,9 +143,12 @@ LISTS = f"""{BM25}, {DENSE},
 
 
 def fused(spark, sf_dir):
-    """Query 20 i of the vectors goes with query i of the texts, vector i with the first chunk of document i."""
+    """Query 20 i of the vectors goes with query i of the texts, vector i with the first chunk of document i.
+
+    The rows have no place for a status, so a search that fails fails the query: the other list alone would look like a result.
+    """
     d = dense(spark, sf_dir).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), "rank")
-    lists, _ = retrieval.hybrid(lambda: bm25(spark, sf_dir), lambda: d)
+    lists, _ = retrieval.hybrid(lambda: bm25(spark, sf_dir), lambda: d, whole=True)
     return retrieval.fuse(lists)
 
 
